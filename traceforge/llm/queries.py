@@ -7,6 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+SQL = {
+    "op9_near_copies": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) WHEN len(ws) = 1 THEN ws ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, t.b FROM r JOIN both_ways t ON r.b = t.a),
+k AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, k.component_id, d.doc_id = k.component_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN k ON k.doc_id = d.doc_id
+""",
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,9 +60,16 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, write_files(_table(spark, sf_dir, "documents")))
 
 
+def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their component of near copies, on 2-word shingles."""
+    from .nearcopies import near_copies
+
+    return near_copies(_table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packing, op5_mixing, op6_quality, op7_token_files)}
+    return {f.__name__: f for f in (op4_packing, op5_mixing, op6_quality, op7_token_files, op9_near_copies)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
