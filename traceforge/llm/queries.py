@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 SQL = {
+    "op8_repeats": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM d WHERE len(ws) >= 20),
+k AS (SELECT rid, s, row_number() OVER (PARTITION BY array_to_string(ws[s:s + 19], ' ') ORDER BY doc_id, s) AS nth FROM w),
+gone AS (SELECT DISTINCT rid, s + i AS pos FROM k, range(0, 20) t(i) WHERE nth > 1),
+u AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM d),
+kept AS (SELECT u.rid, string_agg(word, ' ' ORDER BY u.pos) AS t, count(*) AS n FROM u ANTI JOIN gone USING (rid, pos) GROUP BY u.rid)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.rid = d.rid
+""",
     "op9_near_copies": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -60,6 +70,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, write_files(_table(spark, sf_dir, "documents")))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of windows of 20 that start earlier elsewhere."""
+    from .repeats import repeat_report
+
+    return repeat_report(_table(spark, sf_dir, "documents"), window=20)
+
+
 def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their component of near copies, on 2-word shingles."""
     from .nearcopies import near_copies
@@ -68,7 +85,7 @@ def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packing, op5_mixing, op6_quality, op7_token_files, op9_near_copies)}
+    return {f.__name__: f for f in (op4_packing, op5_mixing, op6_quality, op7_token_files, op8_repeats, op9_near_copies)}
 
 
 def oracle_sql() -> dict[str, str]:
