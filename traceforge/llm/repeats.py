@@ -30,6 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
@@ -238,7 +239,8 @@ def without_repeats(documents: DataFrame, window: int = 20) -> DataFrame:
     """The rows of ``documents``; a text that lost words becomes its kept words joined by one space, and n_chars, if there, its length."""
     ranges = repeated_ranges(documents, window).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))
     joined = documents.join(written(ranges, "ranges"), "doc_id", "left").select(*documents.columns, "_ranges")
-    at = documents.columns.index("text")
+    names, schema = documents.columns, documents.schema
+    at, size_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -253,9 +255,8 @@ def without_repeats(documents: DataFrame, window: int = 20) -> DataFrame:
                 sizes.append(len(text) if ranges and text is not None else None)
             columns = list(b.columns[:-1])
             columns[at] = pa.array(texts, pa.string())
-            if "n_chars" in documents.columns:
-                i = documents.columns.index("n_chars")
-                columns[i] = pa.compute.coalesce(pa.array(sizes, columns[i].type), columns[i])
-            yield pa.RecordBatch.from_arrays(columns, names=documents.columns)
+            if size_at is not None:
+                columns[size_at] = pa.compute.coalesce(pa.array(sizes, columns[size_at].type), columns[size_at])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(run, documents.schema)
+    return joined.mapInArrow(run, schema)
