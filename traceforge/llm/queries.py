@@ -42,6 +42,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their predicted language; held-out ones are not learned from."""
+    from .language import fit, identify
+
+    documents = _table(spark, sf_dir, "documents")
+    return identify(documents, fit(documents))
+
+
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the licence notices that stand in them."""
+    from .licences import licence_scan
+
+    return licence_scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 ids."""
     from .packing import pack_documents
@@ -85,8 +100,10 @@ def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packing, op5_mixing, op6_quality, op7_token_files, op8_repeats, op9_near_copies)}
+    return {f.__name__: f for f in (op2_language, op3_licences, op4_packing, op5_mixing, op6_quality, op7_token_files, op8_repeats, op9_near_copies)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL
+    from .licences import oracle
+
+    return SQL | {"op3_licences": oracle()}
