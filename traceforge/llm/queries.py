@@ -42,6 +42,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from .extraction import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their predicted language; held-out ones are not learned from."""
     from .language import fit, identify
@@ -99,8 +106,15 @@ def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images whose id is divisible by 100, searched for among all images drawn from ``embeddings`` and their edited copies."""
+    from .media import find_copies, gallery
+
+    return find_copies(gallery(_table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op3_licences, op4_packing, op5_mixing, op6_quality, op7_token_files, op8_repeats, op9_near_copies)}
+    return {f.__name__: f for f in (op1_extraction, op2_language, op3_licences, op4_packing, op5_mixing, op6_quality, op7_token_files, op8_repeats, op9_near_copies, op10_image_copies)}
 
 
 def oracle_sql() -> dict[str, str]:
