@@ -31,7 +31,7 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], at: str, place: st
     """Each left row (``keys``) with the right row whose ``place`` is nearest to ``at``, no farther than ``within``; of equals the lower place."""
     found = range_join(left, right, on, place, F.col(at) - within, F.col(at) + within, max(1, int(2 * within)))
     order = Window.partitionBy(*keys).orderBy(F.abs(F.col(place) - F.col(at)), F.col(place))
-    return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return found.withColumn("_pick", F.row_number().over(order)).where("_pick = 1").drop("_pick")
 
 
 def combinations4(points: DataFrame, group: list[str], place: str, score: str, spacing: float, span: float) -> DataFrame:
