@@ -26,15 +26,15 @@ from .textarrays import U, Texts, grams, mix, pieces
 #: Whole-text bands by length in bytes: (from this many bytes, least ratio, greatest ratio).
 BANDS = (
     (0, 0.42, 1.20),
-    (256, 0.38, 0.95),
-    (700, 0.33, 0.85),
-    (1500, 0.29, 0.80),
-    (4000, 0.26, 0.76),
-    (10000, 0.23, 0.74),
-    (40000, 0.20, 0.72),
+    (256, 0.38, 0.92),
+    (700, 0.33, 0.80),
+    (1500, 0.29, 0.72),
+    (4000, 0.26, 0.68),
+    (10000, 0.23, 0.66),
+    (40000, 0.20, 0.64),
 )
 #: Chunks: their size in bytes, the least size of a last one, the band, and the share of bad chunks that rejects.
-CHUNK, LEAST_CHUNK, CHUNK_BAND, BAD_SHARE = 4096, 1024, (0.22, 0.82), 0.34
+CHUNK, LEAST_CHUNK, CHUNK_BAND, BAD_SHARE = 4096, 1024, (0.22, 0.74), 0.34
 LEVEL = 3
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 
