@@ -59,12 +59,6 @@ def middle(values: Column) -> Column:
     return (F.element_at(values, F.floor((n + 1) / 2).cast("int")) + F.element_at(values, F.floor(n / 2 + 1).cast("int"))) / 2
 
 
-def mad_bounds(y: Column, width: int, threshold: float, w: WindowSpec) -> tuple[Column, Column]:
-    """Median of a centred window, and how far a sample may lie from it."""
-    around = F.sort_array(F.collect_list(y).over(w.rowsBetween(-(width // 2), width // 2)))
-    return around, F.lit(threshold)
-
-
 def unmixed(columns: list[str], matrix) -> list[Column]:
     """Each dye's intensity: the inverse of the channels-by-dyes matrix applied to the channels, negatives cut to 0."""
     inverse = np.linalg.inv(np.array(matrix, float))
@@ -74,7 +68,3 @@ def unmixed(columns: list[str], matrix) -> list[Column]:
 def argmax(columns: list[str]) -> Column:
     """Index of the greatest column, the first of equals."""
     return (F.array_position(F.array(*columns), F.greatest(*columns)) - 1).cast("int")
-
-
-def half_even(x: Column, digits: int = 0) -> Column:
-    return F.bround(x, digits)

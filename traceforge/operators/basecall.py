@@ -175,10 +175,11 @@ def summary(calls: DataFrame) -> DataFrame:
     )
 
 
-def caller_names(calls: DataFrame, names: DataFrame) -> DataFrame:
-    """Readable names of callers: exact key, else the longest key that is part of the caller's name, else the name itself. ``names``: key, name (a small table)."""
-    d = calls.select("caller").distinct()
-    hit = d.join(F.broadcast(names.limit(1000)), F.contains("caller", F.col("key")))  # bounded by the limit
-    order = Window.partitionBy("caller").orderBy(F.when(F.col("caller") == F.col("key"), 0).otherwise(1), F.desc(F.length("key")), "key")
-    best = hit.withColumn("_k", F.row_number().over(order)).where("_k = 1").select("caller", "name")
-    return calls.join(best, "caller", "left").withColumn("caller_name", F.coalesce("name", "caller")).drop("name")
+def caller_name(caller: Column, names: dict[str, str]) -> Column:
+    """Readable name of a caller: its exact key, else that of the longest key that is part of it, else itself."""
+    out = F.when(F.lit(False), caller)
+    for key in names:
+        out = out.when(caller == key, names[key])
+    for key in sorted(names, key=lambda k: (-len(k), k)):
+        out = out.when(F.contains(caller, F.lit(key)), names[key])
+    return out.otherwise(caller)

@@ -122,10 +122,8 @@ def match_names(wanted: DataFrame, folders: DataFrame) -> DataFrame:
 
 
 def confusion(results: DataFrame) -> DataFrame:
-    """Counts of (ref, pred), by plate and over all (plate null)."""
-    return results.rollup("plate", "ref", "pred").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_g")).where("_g in (0)").drop("_g").unionByName(
-        results.groupBy("ref", "pred").agg(F.count(F.lit(1)).alias("n")).withColumn("plate", F.lit(None).cast("string")).select("plate", "ref", "pred", "n")
-    )
+    """Counts of (ref, pred), by plate and over all (plate null): two grouping sets of one pass."""
+    return results.groupingSets([["plate", "ref", "pred"], ["ref", "pred"]], "plate", "ref", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
 def accuracy(results: DataFrame) -> DataFrame:
@@ -136,7 +134,6 @@ def accuracy(results: DataFrame) -> DataFrame:
 
 def train_forest(features: DataFrame, columns: list[str], label: str, trees: int = 300, depth: int = 12, leaf: int = 3, seed: int = 42) -> RandomForestClassificationModel:
     """A balanced random forest on scaled features: each class weighs as much as any other."""
-    n, k_ = F.count(F.lit(1)).over(Window.partitionBy()), F.size(F.collect_set(label).over(Window.partitionBy()))
     weights = features.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     d = features.join(weights, label).withColumn("_w", 1.0 / F.col("_c"))
     d = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(d)

@@ -126,8 +126,8 @@ def quality_glyphs(spark: SparkSession, sf: str) -> DataFrame:
 def caller_names(spark: SparkSession, sf: str) -> DataFrame:
     """BC-15: roles of conversations as callers, named by part."""
     d = v.table(spark, sf, "conversations").select("conv_id", "turn", F.concat_ws("_", "role", F.lit("v2")).alias("caller"))
-    names = spark.createDataFrame([("user", "Person"), ("user_v2", "Person 2"), ("assist", "Helper")], "key string, name string")
-    return bc.caller_names(d, names).groupBy("caller", "caller_name").agg(F.count(F.lit(1)).alias("n"))
+    named = d.withColumn("caller_name", bc.caller_name(F.col("caller"), {"user": "Person", "user_v2": "Person 2", "assist": "Helper"}))
+    return named.groupBy("caller", "caller_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _votes(spark: SparkSession, sf: str) -> DataFrame:
