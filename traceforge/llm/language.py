@@ -54,7 +54,7 @@ class Model:
     word_logs: np.ndarray
     gram_logs: np.ndarray
     _seen: dict[str, int] = field(default_factory=dict)
-    _scores: list[np.ndarray] = field(default_factory=list)
+    _scores: np.ndarray | None = None
 
     def score(self, word: str) -> np.ndarray:
         """The word's log score in each language."""
@@ -67,20 +67,31 @@ class Model:
                 return self.gram_logs[known].mean(axis=0)
         return np.zeros(len(self.languages))
 
+    def _row(self, word: str) -> int:
+        """The place of a word's scores among the remembered ones."""
+        at = self._seen.get(word)
+        if at is None:
+            at = self._seen[word] = len(self._seen)
+            if self._scores is None or at >= len(self._scores):
+                grown = np.zeros((max(1024, 2 * at), len(self.languages)))
+                grown[:at] = self._scores[:at] if self._scores is not None else 0
+                self._scores = grown
+            self._scores[at] = self.score(word)
+        return at
+
+    def _afresh(self, found: list[str]) -> list[int]:
+        """Forget all words but these."""
+        self._seen, self._scores = {}, None
+        return [self._row(w) for w in found]
+
     def predict(self, text: str | None) -> tuple[str, float]:
         found = words(text)
         if not found or not self.languages:
             return UNKNOWN, 0.0
-        if len(self._seen) > KEEP:
-            self._seen.clear()
-            self._scores.clear()
-        total = np.zeros(len(self.languages))
-        for w, n in Counter(found).items():
-            at = self._seen.get(w)
-            if at is None:
-                at = self._seen[w] = len(self._scores)
-                self._scores.append(self.score(w))
-            total += n * self._scores[at]
+        rows = list(map(self._seen.get, found))
+        if None in rows:
+            rows = [self._row(w) if i is None else i for w, i in zip(found, rows)] if len(self._seen) + len(found) <= KEEP else self._afresh(found)
+        total = self._scores[rows].sum(axis=0)
         best = int(total.argmax())
         return self.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 

@@ -38,7 +38,7 @@ from .scratch import written
 from .textarrays import U, Texts, grams, mix, pieces
 
 PERMUTATIONS, ROWS, BANDS = 132, 6, 44
-MAP_BITS, BLOCK = 2048, 2048
+MAP_BITS, BLOCK = 2048, 256
 
 _A = mix(np.arange(1, PERMUTATIONS + 1, dtype=U)).astype(np.uint32) | np.uint32(1)
 _B = mix(np.arange(1001, PERMUTATIONS + 1001, dtype=U)).astype(np.uint32) | np.uint32(1)

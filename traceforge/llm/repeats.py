@@ -32,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,7 +39,7 @@ from pyspark.sql.window import Window
 from .scratch import written
 from .textarrays import U, Texts, mix, pieces, prefix, spans
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Documents looked at for frequent anchors, and the share of them that makes an anchor hot.
 HOT_SAMPLE, HOT_SHARE = 2000, 0.02
 GONE, RUN, WINDOW = 0, 1, 2
@@ -60,7 +59,14 @@ def runs(t: Texts, window: int) -> tuple[np.ndarray, ...]:
         return none.astype(U), none.astype(U), none, none, none, pre, other, first
     g = np.arange(n - k + 1)
     gram = spans(pre, g, g + k, 0)
-    anchor = at + sliding_window_view(gram, window - k + 1)[at].argmin(axis=1)
+    # The least gram of each window, the first of equals: one pass per offset, on flat arrays.
+    size = n - window + 1
+    least, offset = gram[:size].copy(), np.zeros(size, np.int32)
+    for j in range(1, window - k + 1):
+        lower = gram[j : j + size] < least
+        np.copyto(least, gram[j : j + size], where=lower)
+        offset[lower] = j
+    anchor = at + offset[at]
     new = np.ones(len(at), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
     i = np.flatnonzero(new)

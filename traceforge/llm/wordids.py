@@ -20,7 +20,7 @@ from .textarrays import Texts
 
 END_ID = 1
 END = np.array([END_ID], "<u4").tobytes()
-KEEP = 800_000
+KEEP = 400_000
 #: Stands between elements that are encoded together; one token of its own, and what holds it is encoded alone.
 MARK = b"~"
 
