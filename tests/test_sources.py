@@ -15,7 +15,7 @@ def plate(tmp_path):
     folder = tmp_path / "OY_GENE_Run1"
     folder.mkdir()
     rec = np.arange(60).reshape(12, 5)
-    (folder / "A01.rsd").write_bytes(rsd.write_trace(rec, {"SAMPLE": "x1"}))
+    (folder / "A01.rsd").write_bytes(rsd.write_trace(rec, {"SAMPLE NAME": "x1"}))
     (folder / "A02.rsd").write_bytes(b"\x01")
     (folder / "B01.txt").write_text("Instrument: z9\nfree line\nScan Channel1 Channel2 Channel3 Channel4 Current\n0 1 2 3 4 5\n1 a 2 3 4 5\n\n")
     return tmp_path
@@ -26,7 +26,25 @@ def test_binary_traces(spark, plate):
     good = d[d["_corrupt"].isna()].sort_values("scan")
     assert len(good) == 12 and good["current"].tolist() == [5 * i for i in range(12)] and set(good["well"]) == {"A01"} and set(good["plate"]) == {"OY_GENE_Run1"}
     assert d[d["_corrupt"].notna()]["well"].tolist() == ["A02"]
-    assert rsd.read_headers(spark, str(plate)).where("well = 'A01'").first()["header"]["SAMPLE"] == "x1"
+    assert rsd.read_headers(spark, str(plate)).where("well = 'A01'").first()["header"]["SAMPLE NAME"] == "x1"
+
+
+def test_header_keys_channels_and_binary_values():
+    tag = lambda s: b"\x05" + bytes([len(s) + 1]) + s.encode() + b"\0"
+    parts = ["BAR CODE", "77", "PLATE ID", "NAME", "n", "CHANNEL1", "BASE", "T", "DYE", "ROX", "FILTER", "610", "CHANNEL2", "DYE", "FAM", "COMMENT", "", "other", "WELL ID"]
+    raw = b"\0" * 40 + b"".join(tag(p) for p in parts[:2]) + b"\x01\x02\x03" + b"".join(tag(p) for p in parts[2:])
+    want = {"BAR CODE": "77", "PLATE ID": "", "NAME": "n", "CHANNEL1_DYE": "ROX", "CHANNEL1_FILTER": "610", "CHANNEL2_DYE": "FAM", "COMMENT": "", "WELL ID": ""}
+    assert rsd.trace_header(raw) == want
+    assert rsd.trace_header(b"\0" * 40) == {}
+
+
+def test_base_file_sequences_of_both_types():
+    seq = "acgtn" * 24
+    short, one = b"SEQUENCE\0\x06\x05\x00ACGTA", b"SEQUENCE\0\x05" + bytes([len(seq)]) + seq.encode()
+    numbers = b"BASES POSITIONS\0\x09\x08\x00" + np.array([150, 160], "<u4").tobytes()
+    got = rsd.base_file(short + one + numbers + b"DYE SET\0\x05\x03ET\0")
+    assert got["sequence"] == seq.upper() and got["BASES POSITIONS"] == [150, 160] and got["meta"] == {"DYE SET": "ET"}
+    assert rsd.base_file(short)["sequence"] is None
 
 
 def test_both_boundaries():

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import kernels as k
 from ..functions import stencils as st
 from ..schema import CHANNELS, GENOTYPES, WELL
+from .joins import by_group
 
 
 def trace_stats(trace: DataFrame, channels: list[str] = CHANNELS) -> DataFrame:
@@ -91,7 +92,7 @@ def mutant_fraction(peaks: DataFrame) -> DataFrame:
 
 def quality_grade(n_standards: Column, standard_fwhm: Column, sample_fwhm: Column) -> Column:
     """A plate's grade from standards per well and median half widths."""
-    return F.when(n_standards < 2.5, "FAILED").when((standard_fwhm <= 10) & (sample_fwhm <= 12), "GOOD").when((standard_fwhm <= 15) & (sample_fwhm <= 18), "FAIR").otherwise("POOR")
+    return F.when(n_standards < 2.5, "FAILED").when((standard_fwhm < 10) & (sample_fwhm < 12), "GOOD").when((standard_fwhm < 15) & (sample_fwhm < 18), "FAIR").otherwise("POOR")
 
 
 FWHM_LIMITS = {"FAILED": 10, "GOOD": 10, "FAIR": 15, "POOR": 25}
@@ -171,7 +172,7 @@ def match_samples(standards: DataFrame, samples: DataFrame, low: int = 5, high:
         return pd.DataFrame(out, columns=[*WELL, "standard_scan", "scan"])
 
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in standards.select(*WELL).schema)
-    return standards.select(*WELL, "scan").groupBy(*WELL).cogroup(samples.select(*WELL, "scan").groupBy(*WELL)).applyInPandas(run, f"{keys}, standard_scan long, scan long")
+    return by_group(standards.select(*WELL, "scan"), samples.select(*WELL, "scan"), WELL, run, f"{keys}, standard_scan long, scan long")
 
 
 def walk_spacing(candidates: DataFrame, spacing: list[float], tolerance: float = 30, anchors: int = 20, least: float = 0.7) -> DataFrame:
@@ -218,4 +219,4 @@ def spike_free(long: DataFrame, peaks: DataFrame, least: float = 2.5) -> DataFra
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.select(*WELL, "channel").schema)
     by = [*WELL, "channel"]
     right = peaks.select(*by, "scan", "height")
-    return long.select(*by, "scan", "y").groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, f"{keys}, scan long, height double, fwhm double").where(F.col("fwhm") >= least)
+    return by_group(long.select(*by, "scan", "y"), right, by, run, f"{keys}, scan long, height double, fwhm double").where(F.col("fwhm") >= least)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,6 +36,12 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], at: str, place: st
     return found.withColumn("_pick", F.row_number().over(order)).where("_pick = 1").drop("_pick")
 
 
+def by_group(left: DataFrame, right: DataFrame, keys: list[str], run: Callable, schema: str) -> DataFrame:
+    """``run`` on the rows of both frames that share ``keys``; either side may derive from the other, as the right one's columns are named anew."""
+    anew = right.select(*[F.col(c).alias(c) for c in right.columns])
+    return left.groupBy(*keys).cogroup(anew.groupBy(*keys)).applyInPandas(run, schema)
+
+
 def combinations4(points: DataFrame, group: list[str], place: str, score: str, spacing: float, span: float) -> DataFrame:
     """All four-point sets of a group with increasing places, neighbours at least ``spacing`` apart, first to last at least ``span``."""
     sets = points.select(*group, F.col(place).alias("p1"), F.col(score).alias("s1"))

@@ -18,6 +18,7 @@ from ..functions import kernels as k
 from ..functions import stencils as st
 from ..schema import BASE_DETECT, CHANNELS, DETECTOR, MOBILITY_OFFSETS, NOISE_SCANS, SMOOTH_WINDOW, WELL, WIDTH_HEIGHT
 from . import signal
+from .joins import by_group
 
 BY_CHANNEL = [*WELL, "channel"]
 
@@ -235,7 +236,7 @@ def half_width(long: DataFrame, peaks: DataFrame) -> DataFrame:
 
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.select(*BY_CHANNEL).schema)
     right = peaks.select(*BY_CHANNEL, "scan", "height")
-    return long.select(*BY_CHANNEL, "scan", "y").groupBy(*BY_CHANNEL).cogroup(right.groupBy(*BY_CHANNEL)).applyInPandas(run, f"{keys}, scan long, height double, left long, right long, fwhm long")
+    return by_group(long.select(*BY_CHANNEL, "scan", "y"), right, BY_CHANNEL, run, f"{keys}, scan long, height double, left long, right long, fwhm long")
 
 
 def deconvolve(long: DataFrame, peaks: DataFrame, margin: int = 15) -> DataFrame:
@@ -255,7 +256,7 @@ def deconvolve(long: DataFrame, peaks: DataFrame, margin: int = 15) -> DataFrame
 
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.select(*BY_CHANNEL).schema)
     left, right = long.select(*BY_CHANNEL, "scan", "y"), peaks.select(*BY_CHANNEL, F.col("scan").cast("double"), "height", "area")
-    return left.groupBy(*BY_CHANNEL).cogroup(right.groupBy(*BY_CHANNEL)).applyInPandas(run, f"{keys}, scan double, height double, area double, sigma double, fwhm double")
+    return by_group(left, right, BY_CHANNEL, run, f"{keys}, scan double, height double, area double, sigma double, fwhm double")
 
 
 def split_broad(long: DataFrame, groups: DataFrame, wider_than: int = 50, gap: int = 15) -> DataFrame:
@@ -281,7 +282,7 @@ def split_broad(long: DataFrame, groups: DataFrame, wider_than: int = 50, gap: i
 
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.select(*BY_CHANNEL).schema)
     right = groups.select(*BY_CHANNEL, "scan", "height", "area", "left", "right")
-    return long.select(*BY_CHANNEL, "scan", "y").groupBy(*BY_CHANNEL).cogroup(right.groupBy(*BY_CHANNEL)).applyInPandas(run, f"{keys}, scan long, height double, area double, n_parts long")
+    return by_group(long.select(*BY_CHANNEL, "scan", "y"), right, BY_CHANNEL, run, f"{keys}, scan long, height double, area double, n_parts long")
 
 
 def with_edits(peaks: DataFrame, edits: DataFrame) -> DataFrame:

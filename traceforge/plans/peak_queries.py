@@ -423,7 +423,7 @@ QUERIES: v.Queries = {
     "robust_scale": (robust_scale, sql("SELECT plate, well, round((m - quantile_cont(m, 0.5) OVER p) / greatest(quantile_cont(m, 0.75) OVER p - quantile_cont(m, 0.25) OVER p, 1e-8), 4) AS m, round((x - quantile_cont(x, 0.5) OVER p) / greatest(quantile_cont(x, 0.75) OVER p - quantile_cont(x, 0.25) OVER p, 1e-8), 4) AS x FROM (SELECT plate, well, round(avg(c1), 6) AS m, max(c2) AS x FROM tr GROUP BY ALL) WINDOW p AS (PARTITION BY plate)", TR)),
     "mutant_fraction": (mutant_fraction, sql("SELECT plate, well, n_peaks, round(mf, 6) AS mf, status FROM mf", TR, lg("c1"), PK, MF)),
     "plate_summary_rollup": (plate_summary_rollup, sql("SELECT plate, count(*) AS n_wells, count(*) FILTER (WHERE n_peaks = 1) AS n_one, count(*) FILTER (WHERE n_peaks = 4) AS n_four, count(*) FILTER (WHERE n_peaks NOT IN (1, 4)) AS n_other FROM mf GROUP BY ROLLUP (plate)", TR, lg("c1"), PK, MF)),
-    "plate_grade": (plate_grade, sql("SELECT plate, round(pw, 3) AS per_well, fwhm, CASE WHEN pw < 2.5 THEN 'FAILED' WHEN fwhm <= 10 THEN 'GOOD' WHEN fwhm <= 15 THEN 'FAIR' ELSE 'POOR' END AS grade FROM (SELECT plate, count(*) / count(DISTINCT well) AS pw, quantile_cont(fwhm, 0.5) AS fwhm FROM hw GROUP BY plate)", TR, lg("c1"), PK, TOP(4), "hw AS (SELECT p.plate, p.well, p.scan, coalesce(min(q.scan) FILTER (WHERE q.y <= p.height / 2 AND q.scan > p.scan), max(q.scan)) - coalesce(max(q.scan) FILTER (WHERE q.y <= p.height / 2 AND q.scan < p.scan), min(q.scan)) AS fwhm FROM tp p JOIN lg q ON p.plate = q.plate AND p.well = q.well GROUP BY p.plate, p.well, p.scan, p.height)")),
+    "plate_grade": (plate_grade, sql("SELECT plate, round(pw, 3) AS per_well, fwhm, CASE WHEN pw < 2.5 THEN 'FAILED' WHEN fwhm < 10 THEN 'GOOD' WHEN fwhm < 15 THEN 'FAIR' ELSE 'POOR' END AS grade FROM (SELECT plate, count(*) / count(DISTINCT well) AS pw, quantile_cont(fwhm, 0.5) AS fwhm FROM hw GROUP BY plate)", TR, lg("c1"), PK, TOP(4), "hw AS (SELECT p.plate, p.well, p.scan, coalesce(min(q.scan) FILTER (WHERE q.y <= p.height / 2 AND q.scan > p.scan), max(q.scan)) - coalesce(max(q.scan) FILTER (WHERE q.y <= p.height / 2 AND q.scan < p.scan), min(q.scan)) AS fwhm FROM tp p JOIN lg q ON p.plate = q.plate AND p.well = q.well GROUP BY p.plate, p.well, p.scan, p.height)")),
     "prediction_counts": (prediction_counts, sql("SELECT CASE pred WHEN 0 THEN 'fail' WHEN 1 THEN 'hom1' END AS prediction, count(*) AS n FROM pr GROUP BY ALL", PR)),
     "validation_confusion": (validation_confusion, sql("SELECT plate, ref, pred, count(*) AS n FROM pr GROUP BY ALL UNION ALL SELECT NULL, ref, pred, count(*) FROM pr GROUP BY ref, pred", PR)),
     "validation_accuracy": (validation_accuracy, sql("SELECT plate, count(*) AS n, count(*) FILTER (WHERE ref = pred) AS n_ok, round(100.0 * count(*) FILTER (WHERE ref = pred) / count(*), 2)::DOUBLE AS accuracy FROM pr GROUP BY ROLLUP (plate)", PR)),

@@ -5,6 +5,7 @@ Plate, well and caller come from the path. Files that cannot be read give a row
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -18,7 +19,11 @@ from ..schema import RSD_CEILING
 
 # Fixed formats: anchors and tags of the binary files.
 ANCHORS = (b"\x05\tBAR CODE\0", b"\x05\x0cBASE CALLER\0")
-TEXT_TAGS = ("BASE CALLER", "CHEMISTRY", "DATE", "INSTRUMENT", "MATRIX", "SAMPLE", "USER")
+HEADER_TAGS = (
+    "BAR CODE", "BASE CALLER", "CHEMISTRY", "APPLICATION", "BEAMSPLITTER A", "BEAMSPLITTER B", "CHANNEL1", "CHANNEL2", "CHANNEL3", "CHANNEL4",
+    "LASER MODE", "NAME", "COMMENT", "MACHINE ID", "PLATE ID", "SAMPLE NAME", "WELL ID", "BASE", "DYE", "FILTER",
+)
+TEXT_TAGS = ("SAMPLE NAME", "WELL ID", "CHEMISTRY", "DYE SET", "PLATE ID", "INSTRUMENT", "BAR CODE")
 NUMBER_TAGS = ("PEAK POSITIONS", "BASES POSITIONS", "QUALITY SCORES", "QUALITY INDEX", "FWHM VALUES", "SPACING")
 RSD = "plate string, well string, scan int, channel1 long, channel2 long, channel3 long, channel4 long, current long, _corrupt string"
 ESD = "plate string, well string, caller string, sequence string, positions array<long>, quality array<float>, spacing array<float>, fwhm array<float>, meta map<string,string>, _corrupt string"
@@ -38,14 +43,36 @@ def trace_records(raw: bytes, boundary: str = "ceiling", ceiling: int = RSD_CEIL
 
 
 def trace_header(raw: bytes, most: int = 200) -> dict[str, str]:
-    """Metadata after the first anchor: length-prefixed strings that alternate key and value."""
-    at, out, parts = raw.find(ANCHORS[0]), {}, []
-    while 0 <= at < len(raw) - 1 and raw[at] == 5 and len(parts) < most:
-        n = raw[at + 1]
-        parts.append(raw[at + 2 : at + 2 + n].split(b"\0")[0].decode("latin-1"))
-        at += 2 + n
-    for k, v in zip(parts[::2], parts[1::2]):
-        out[k] = v
+    """Metadata after the first anchor: known keys, each with the string that follows it (empty if a key follows), binary values skipped.
+
+    Dyes and filters stand under the channel named before them: ``CHANNEL1_DYE``.
+    """
+    found, at = [], raw.find(ANCHORS[0])
+    while 0 <= at < len(raw) - 3 and len(found) < most:
+        if raw[at] != 5:
+            at += 1
+            continue
+        body = raw[at + 2 : at + 2 + raw[at + 1]]
+        found.append(body.split(b"\0")[0].decode("latin-1") if b"\0" in body else "")
+        at += 2 + raw[at + 1]
+    out: dict[str, str] = {}
+    channel = key = None
+    for text in found:
+        if text not in HEADER_TAGS:
+            if key:
+                out[key] = text
+            key = None
+            continue
+        if key:
+            out[key] = ""
+        if text.startswith("CHANNEL"):
+            channel, key = text, None
+        elif channel and text in ("DYE", "FILTER", "BASE"):
+            key = f"{channel}_{text}" if text != "BASE" else None
+        else:
+            channel, key = None, text
+    if key:
+        out[key] = ""
     return out
 
 
@@ -95,34 +122,29 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def base_file(raw: bytes) -> dict:
-    """A vendor base-call file: its sequence, numeric arrays and texts; what is missing is null."""
+    """A vendor base-call file: its sequence, numeric arrays and texts; what is missing is null.
+
+    The sequence is the first one of a plausible length: 101 to 4999 letters behind a two-byte length (type 6), or over 100 behind one byte (type 5).
+    Numbers count whatever type byte stands before their two-byte length.
+    """
     out: dict = {"sequence": None, "meta": {}}
-    at = raw.find(b"SEQUENCE\0")
-    if at >= 0:
-        at += len(b"SEQUENCE\0")
-        kind = raw[at : at + 1]
-        if kind == b"\x06":
-            n, at = struct.unpack_from("<H", raw, at + 1)[0], at + 3
-            n = n if 100 < n < 5000 else 0
-        elif kind == b"\x05":
-            n, at = raw[at + 1], at + 2
-            n = n if n > 100 else 0
-        else:
-            n = 0
-        text = raw[at : at + n].decode("latin-1")
-        out["sequence"] = "".join(c for c in text if c in "ACGTNacgtn").upper() or None
+    for m in re.finditer(rb"SEQUENCE\0(?:\x06(..)|\x05(.))", raw, re.S):
+        n = int.from_bytes(m[1] or m[2], "little")
+        if 100 < n < 5000:
+            out["sequence"] = re.sub("[^ACGTN]", "", raw[m.end() : m.end() + n].decode("latin-1").upper()) or None
+            break
     for tag in TEXT_TAGS:
         i = raw.find(tag.encode() + b"\0\x05")
         if i >= 0:
             i += len(tag) + 2
             out["meta"][tag] = raw[i + 1 : i + 1 + raw[i]].split(b"\0")[0].decode("latin-1")
     for tag in NUMBER_TAGS:
-        i = raw.find(tag.encode() + b"\0\x06")
-        if i >= 0:
+        i = raw.find(tag.encode() + b"\0")
+        if 0 <= i <= len(raw) - len(tag) - 4:
             i += len(tag) + 2
             n = struct.unpack_from("<H", raw, i)[0]
             body = raw[i + 2 : i + 2 + n]
-            if n and n % 4 == 0 and len(body) == n:
+            if body and len(body) % 4 == 0:
                 words = np.frombuffer(body, "<u4")
                 whole = tag.endswith("POSITIONS") and 100 < words[0] < 100000
                 out[tag] = words.astype(np.int64).tolist() if whole else np.frombuffer(body, "<f4").tolist()
