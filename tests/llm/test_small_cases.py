@@ -102,3 +102,14 @@ def test_images(spark):
     got = media.find_copies(spark.createDataFrame(rows, kind)).toPandas()
     assert got[got["query_id"] == 100]["n_rows"].tolist() == [3]
     assert media.find_copies(spark.createDataFrame([], kind)).count() == 0
+
+
+@pytest.mark.parametrize("notice", [n for n in licences.TEMPLATES if n not in licences.BASE])
+def test_prose_does_not_crowd_out_a_notice(notice, spark):
+    """The notice's label, also after every other template's words in another order and after other notices."""
+    words = sorted({w for _, t, _ in licences.TEMPLATES.values() for w in t.split()})
+    label, text, _ = licences.TEMPLATES[notice]
+    others = " . ".join(t for n, (_, t, _) in licences.TEMPLATES.items() if n != notice)
+    rows = [(1, text), (2, " ".join(words) + " so " + text), (3, others + " . " + text)]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[i] for i in (1, 2, 3))

@@ -2,9 +2,9 @@
 
 The index holds every word of the notice templates with its places there; a word's IDF is taken over
 the templates. Files with none of the templates' marks are done after one pattern test. In the rest,
-words are looked up; a file's highest-IDF licence words vote for placements (template, word where it
-would begin), all its template words at a placement are intersected by relative position, and a
-placement counts if every mandatory phrase stands there in full and enough IDF weight is matched.
+words are looked up; every one stands for placements (template, word where it would begin), all of a
+file's template words at a placement are intersected by relative position, and a placement counts if
+every mandatory phrase stands there in full and enough IDF weight is matched, whatever else is in the text.
 The base phrases are templates that are mandatory from end to end.
 
 The index is a constant of some hundred rows: the only thing that is broadcast. A document's hits
@@ -22,7 +22,6 @@ from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Words of a text in lower case, and the same words in any case.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,7 +53,7 @@ TEMPLATES = BASE | {
 }
 #: A word of each template without which no mandatory phrase can stand.
 MARKS = "license|reserved|permission|redistribution|unencumbered|cc0|cc[^a-z0-9]+by"
-#: A file's words of highest IDF that vote, the votes a placement needs (or all words there are), the least matched share of IDF.
+#: The least matched share of IDF; the SQL's own bound on voting words and votes, which the scan doesn't have.
 VOTERS, VOTES, LEAST_SHARE = 8, 2, 0.6
 
 
@@ -84,18 +83,14 @@ def licence_scan(documents: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("h"))
     words = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORDS), F.lit(0))
     hits = docs.where(F.col("text").rlike(f"(?i){MARKS}")).select("doc_id", "h", F.posexplode(words).alias("at", "word")).join(F.broadcast(index), "word")  # a constant table
-    ranked = hits.withColumn("rank", F.dense_rank().over(Window.partitionBy("doc_id", "h").orderBy(F.desc("idf"), "word")))
     placed = (
-        ranked.groupBy("doc_id", "h", "template", "label", "is_base", (F.col("at") - F.col("place")).alias("begin"))
-        .agg(
-            F.collect_set(F.struct("place", "idf", "must")).alias("found"),
-            F.size(F.collect_set(F.when(F.col("rank") <= VOTERS, F.col("word")))).alias("votes"),
-        )
+        hits.groupBy("doc_id", "h", "template", "label", "is_base", (F.col("at") - F.col("place")).alias("begin"))
+        .agg(F.collect_set(F.struct("place", "idf", "must")).alias("found"))
         .join(F.broadcast(needs), "template")  # a constant table
     )
     share = F.round(F.aggregate("found", F.lit(0.0), lambda s, f: s + f["idf"]) / F.col("weight"), 6)
     must = F.size(F.filter("found", lambda f: f["must"]))
-    stands = (must == F.col("n_must")) & (F.col("is_base") | ((F.col("votes") >= F.col("n_votes")) & (share >= LEAST_SHARE)))
+    stands = (must == F.col("n_must")) & (F.col("is_base") | (share >= LEAST_SHARE))
     per_doc = (
         placed.withColumn("share", share).where(stands & (F.col("begin") >= 0))
         .groupBy("doc_id", "h")
