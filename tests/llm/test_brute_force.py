@@ -299,6 +299,19 @@ def test_a_turned_picture_is_found(spark):
     assert sum((100 * i, 100 * i + 1) in found for i in range(6)) >= 5
 
 
+def test_a_small_part_of_a_large_picture_is_found(spark):
+    """Cut-outs of 80 x 80 of 800 x 800: a hundredth of the area."""
+    r = np.random.default_rng(10)
+    rows = []
+    for i in range(4):
+        p = media.render(r.normal(size=64), side=800, grain=240)
+        cut = np.ascontiguousarray(p[90 * i + 111 : 90 * i + 191, 301 : 381])
+        rows += [(100 * i, 800, 800, bytearray(p.tobytes())), (100 * i + 1, 80, 80, bytearray(cut.tobytes()))]
+    got = media.find_copies(spark.createDataFrame(rows, "media_id long, width int, height int, pixels binary")).toPandas()
+    found = set(map(tuple, got[["query_id", "copy_id"]].values.tolist()))
+    assert found == {(100 * i, 100 * i + k) for i in range(4) for k in (0, 1)}
+
+
 def test_pipeline_is_its_stages(spark, sf, local):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = [r["doc_id"] for r in quality.quality_report(docs).where("kept").collect()]
