@@ -94,7 +94,7 @@ def test_repeats(spark):
         want[i] = (len(ws), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest())
     got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in repeats.repeat_report(d).collect()}
     assert got == want
-    hot = repeats._first_length(d, 20, np.array([], np.uint64)).where("kind = 1").select("h").distinct().collect()
+    hot = repeats._first_length(repeats.with_versions(d), 20, np.array([], np.uint64)).where("kind = 1").select("h").distinct().collect()
     every = np.array([x["h"] for x in hot], np.int64).view(np.uint64)
     saved = repeats.hot_anchors
     try:  # every anchor hot: the other path gives the same

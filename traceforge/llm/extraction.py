@@ -6,8 +6,9 @@ trained once per query on the driver, on ``PAGES`` generated labelled pages (a f
 its weights, some hundred numbers, go to the tasks. Pages are independent: no shuffle.
 
 Rows and edge cases: a null or empty page gives an empty text; a page cut off anywhere keeps what is
-readable; a very long page is read whole; repeated rows are extracted each; an empty table gives an empty
-result; only page_id, url and html are read.
+readable; a very long page is read whole; repeated rows are extracted each; a tie between two labelings of a
+page goes to the one that leaves blocks out; an empty table gives an empty result; null ids and urls pass through;
+only page_id, url and html are read, so other columns never clash.
 """
 
 from __future__ import annotations

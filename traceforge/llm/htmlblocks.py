@@ -1,7 +1,8 @@
 """Pages as leaf blocks: the text between block-level tags, with its ancestors and how much of it is links.
 
 A tag-soup reader: unclosed and misnested tags, missing ends and cut-off pages never fail; what
-stands in scripts, styles, titles, templates, comments and other unseen elements is no text.
+stands in scripts, styles, titles, templates, comments and other unseen elements is no text. A page's
+formulas are text, their machine annotations are not.
 """
 
 from __future__ import annotations
@@ -10,13 +11,18 @@ import html
 import re
 from dataclasses import dataclass
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)""", re.S)
+#: Comments, CDATA, declarations and tags. In a tag a quote opens a string only where a value begins, after "=".
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"""
+    r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*)?)*)(>|\Z)""",
+    re.S,
+)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+")
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mspace mstyle semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_UNSEEN = frozenset("script style title template noscript iframe svg math object head textarea select option canvas audio video".split())
+_UNSEEN = frozenset("script style title template noscript iframe svg annotation annotation-xml object head textarea select option canvas audio video".split())
 _RAW = frozenset("script style title template noscript iframe textarea".split())
 #: What a start tag closes if it is open.
 _CLOSES = {"li": ("li", "p"), "p": ("p",), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "tr": ("tr", "td", "th", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "body": ("head",)}

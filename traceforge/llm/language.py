@@ -6,34 +6,38 @@ each language; an unseen one the mean of its longest known n-grams; a word of un
 says nothing. A text goes to the language of the greatest sum over all its words; ``score`` is that
 language's share of the softmax.
 
-Fitting reads at most about ``TRAIN_ROWS`` labelled rows, drawn by a hash of doc_id, and keeps
-``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams, so the model that is broadcast is bounded. Counting is a
-Spark aggregation that combines inside tasks. Prediction needs no shuffle and reads whole texts.
-
-Rows and edge cases: a null text, or one without letters, is ``und`` with score 0, as is everything
-if no labelled row exists; ties go to the first language in code point order; null labels and
-doc_ids are not learned from; repeated rows are judged each; only doc_id, text and lang are read.
+Fitting reads at most about ``TRAIN_ROWS`` labelled rows of each language, drawn by a hash of doc_id, so a
+rare language is learned as well as a frequent one; it keeps every word and n-gram seen ``LEAST`` times in
+them (a word seen once tells no more than its n-grams). So the rows bound the model, which is broadcast. Counting
+is a Spark aggregation that combines inside tasks. Prediction needs no shuffle and reads whole texts.
+
+Rows and edge cases: a word is a run of letters with their marks (fractions, powers and circled numbers are none); a
+null text, or one without letters, is ``und`` with score 0, as is everything if no labelled row exists; ties go to the
+first language in code point order; null labels and doc_ids are not learned from; a very long text or word is scored
+whole, in stretches; repeated rows are judged each; only doc_id, text and lang are read, so other columns never clash.
 """
 
 from __future__ import annotations
 
-import math
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_ROWS, MAX_WORDS, MAX_GRAMS = 20_000, 60_000, 80_000
+from .scratch import spent, written
+
+#: Labelled rows of a language, and how often a word or n-gram must stand in them.
+TRAIN_ROWS, LEAST = 5_000, 2
 LONGEST, ADD = 5, 0.1
-#: Words whose scores a worker remembers.
-KEEP = 300_000
+#: Words whose scores a worker remembers; longer words than this many letters are scored anew.
+KEEP, KEEP_LETTERS = 300_000, 40
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words(text: str | None) -> list[str]:
@@ -61,10 +65,11 @@ class Model:
         at = self.words.get(word)
         if at is not None:
             return self.word_logs[at]
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            known = [i for i in map(self.grams.get, grams(word, n)) if i is not None]
+        marked = f"<{word}>"
+        for n in range(min(LONGEST, len(marked)), 0, -1):
+            known = Counter(i for i in (self.grams.get(marked[j : j + n]) for j in range(len(marked) - n + 1)) if i is not None)
             if known:
-                return self.gram_logs[known].mean(axis=0)
+                return np.average(self.gram_logs[list(known)], axis=0, weights=list(known.values()))
         return np.zeros(len(self.languages))
 
     def _row(self, word: str) -> int:
@@ -88,10 +93,19 @@ class Model:
         found = words(text)
         if not found or not self.languages:
             return UNKNOWN, 0.0
-        rows = list(map(self._seen.get, found))
-        if None in rows:
-            rows = [self._row(w) if i is None else i for w, i in zip(found, rows)] if len(self._seen) + len(found) <= KEEP else self._afresh(found)
-        total = self._scores[rows].sum(axis=0)
+        total = np.zeros(len(self.languages))
+        for k in range(0, len(found), KEEP):
+            some = found[k : k + KEEP]
+            rows = list(map(self._seen.get, some))
+            if None in rows:
+                long = [w for w in some if len(w) > KEEP_LETTERS]
+                if long:
+                    some = [w for w in some if len(w) <= KEEP_LETTERS]
+                    rows = list(map(self._seen.get, some))
+                    total += sum(map(self.score, long))
+                rows = [self._row(w) if i is None else i for w, i in zip(some, rows)] if len(self._seen) + len(some) <= KEEP else self._afresh(some)
+            if rows:
+                total += self._scores[rows].sum(axis=0)
         best = int(total.argmax())
         return self.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
@@ -130,32 +144,33 @@ def _gram_counts(counts: DataFrame) -> DataFrame:
     return counts.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _table(counts: DataFrame, most: int, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """The ``most`` frequent words with their log frequencies by language."""
-    per_word = counts.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    rows = per_word.orderBy(F.desc("n"), "word").limit(most).collect()
+def _table(counts: DataFrame, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Words of at least LEAST occurrences with their log frequencies by language."""
+    often = counts.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by")).where(F.col("n") >= LEAST)
+    got = often.select("word", F.explode("by").alias("b")).select("word", "b.lang", "b.n").toArrow()
+    by_word = got["word"].combine_chunks().dictionary_encode()
+    names = by_word.dictionary.to_pylist()
+    order = sorted(range(len(names)), key=names.__getitem__)
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
     at = {lang: i for i, lang in enumerate(languages)}
-    table = np.zeros((len(rows), len(languages)))
-    for i, r in enumerate(rows):
-        for lang, n in r["by"]:
-            table[i, at[lang]] = n
+    table = np.zeros((len(names), len(languages)))
+    table[place[by_word.indices.to_numpy()], [at[x] for x in got["lang"].to_pylist()]] = got["n"].to_numpy()
     totals = table.sum(axis=0)
-    return {r["word"]: i for i, r in enumerate(rows)}, np.log((table + ADD) / (totals + ADD * max(1, len(rows))))
+    logs = np.log((table + ADD) / (totals + ADD * max(1, len(names))))
+    return {names[i]: k for k, i in enumerate(order)}, logs.astype(np.float32)
 
 
 def fit(documents: DataFrame) -> Model:
     """A model from rows with a lang that are not held out."""
     labelled = documents.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    rows = labelled.select("doc_id").count()
-    every = max(1, math.ceil(rows / TRAIN_ROWS))
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    counts = _counted(drawn).persist()
-    try:
-        languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-        ws, word_logs = _table(counts, MAX_WORDS, languages)
-        gs, gram_logs = _table(_gram_counts(counts), MAX_GRAMS, languages)
-    finally:
-        counts.unpersist()
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))  # one row per language
+    drawn = labelled.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("rows")) < TRAIN_ROWS)
+    counts = written(_counted(drawn), "word-counts")
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    ws, word_logs = _table(counts, languages)
+    gs, gram_logs = _table(_gram_counts(counts), languages)
+    spent(counts)
     return Model(languages, ws, gs, word_logs, gram_logs)
 
 

@@ -18,13 +18,17 @@ steps draw from a hash of the document's id: reruns agree. Memory per task is on
 (id, size, fraction) rows, no texts.
 
 Rows and edge cases: a null text or one without words has size 0 and takes 0; a source with no words
-has target 0; a repeated row is a document of its own; empty in, empty out. Extra columns are not
-read by ``mix_plan``.
+has target 0; a repeated row (same source, doc_id and text) is a document of its own: m such rows share the whole part
+of m times their expected copies as evenly as can be, and one fraction flies for them all, so they land as close as any
+other document; an empty table gives an empty result; ties go by draws and ids. ``mix_plan`` reads doc_id, source
+and text alone; ``mixed_rows`` keeps all columns, of any name.
 """
 
 from __future__ import annotations
 
 import itertools
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -32,9 +36,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import written
+from .scratch import fresh, spent, written
 
 WEIGHTS, SHARE, MOST_COPIES = (3.0, 1.0, 2.0), 1.5, 2.0
+#: Repeated rows that are listed at a time.
+TOGETHER = 4096
 #: Rows of a block of the first flight; blocks that meet in one flight of the second; open units left to the landing.
 BLOCK, FANOUT, LANDING = 4_000, 2_000, 10
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -46,8 +52,8 @@ def n_words(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """One row per source: its words, its number of documents and its target. ``sizes`` has source and size."""
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    """One row per source: its words, its number of distinct rows and its target. ``sizes`` has source, size and n_rows."""
+    s = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size"), F.count(F.lit(1)).alias("n_units"))
     # One row per source in a single window: sources, not documents, set its size.
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), ((F.row_number().over(order) - 1) % len(WEIGHTS) + 1).cast("int"))
@@ -62,7 +68,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     rate = F.min(F.when(F.col("rate") * F.col("weight") <= F.col("cap"), F.struct("pos", "rate"))).over(every)["rate"]
     s = s.withColumn("pos", F.row_number().over(by_fill)).withColumn("rate", rate)
     target = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("cap"), F.coalesce(F.col("rate") * F.col("weight"), F.col("cap"))))
-    return s.select("source", "source_size", "n_docs", target.alias("target"))
+    return s.select("source", "source_size", "n_units", target.alias("target"))
 
 
 def flight(p: np.ndarray, words: np.ndarray, docs: np.ndarray, draws: np.ndarray, left: int = 2) -> np.ndarray:
@@ -111,16 +117,16 @@ def landing(p: np.ndarray, words: np.ndarray, docs: np.ndarray, draws: np.ndarra
 def _fly(last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["draw", "doc_id", "size", "hash"], na_position="last", kind="stable")
-        docs, draws = pdf["n_rows"].to_numpy(), pdf["draw"].to_numpy()
-        words = pdf["size"].to_numpy() * docs
+        words, draws = pdf["size"].to_numpy(), pdf["draw"].to_numpy()
+        docs = np.ones(len(pdf))
         p = flight(pdf["p"].to_numpy(), words, docs, draws, LANDING if last else 2)
         return pdf.assign(p=landing(p, words, docs, draws) if last else p)
 
     return run
 
 
-def mix_plan(documents: DataFrame) -> DataFrame:
-    """Per distinct row (source, doc_id, text hash): n_rows alike, size, source_size, target and copies of each."""
+def _plan(documents: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``mix_plan``, and the written tables that it reads."""
     sizes = written(
         documents.groupBy("source", "doc_id", F.xxhash64("text").alias("hash")).agg(F.max(n_words(F.col("text"))).alias("size"), F.count(F.lit(1)).alias("n_rows")),
         "mix-sizes",
@@ -128,41 +134,74 @@ def mix_plan(documents: DataFrame) -> DataFrame:
     # One row per source; Spark broadcasts the written table only if its file is below the session's threshold.
     targets = written(source_targets(sizes), "mix-targets").withColumnRenamed("source", "of_source")
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
+    expected = rate * F.col("n_rows")
     units = (
         sizes.join(targets, sizes["source"].eqNullSafe(F.col("of_source")))
         .drop("of_source")
-        .withColumn("whole", F.when(F.col("size") > 0, F.floor(rate + 1e-9)).otherwise(0).cast("long"))
-        .withColumn("p", F.when(F.col("size") > 0, F.greatest(rate - F.col("whole"), F.lit(0.0))).otherwise(0.0))
+        .withColumn("whole", F.when(F.col("size") > 0, F.floor(expected + 1e-9)).otherwise(0).cast("long"))
+        .withColumn("p", F.when(F.col("size") > 0, F.greatest(expected - F.col("whole"), F.lit(0.0))).otherwise(0.0))
         .withColumn("place", F.xxhash64("doc_id", "hash"))
         .withColumn("draw", F.pmod("place", F.lit(1 << 30)) / float(1 << 30))
-        .withColumn("block", F.pmod(F.shiftrightunsigned("place", 30), F.ceil(F.col("n_docs") / BLOCK)).cast("long"))
+        .withColumn("block", F.pmod(F.shiftrightunsigned("place", 30), F.ceil(F.col("n_units") / BLOCK)).cast("long"))
         .drop("place")
     )
-    flown = units
-    schema = units.schema
-    done = []
+    flown, schema = units, units.schema
+    done, tables = [], []
     for name, keys, last in (
         ("block", ["source", "block"], False),
         ("group", ["source", F.floor(F.col("block") / FANOUT)], False),
         ("source", ["source"], True),
     ):
         flown = written(flown.groupBy(*keys).applyInPandas(_fly(last), schema), f"mix-{name}")
+        tables.append(flown)
         is_open = (F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9)
         done.append(flown.where(~is_open))
         flown = flown.where(is_open)
+    spent(sizes, targets)
     plan = done[0].unionByName(done[1]).unionByName(done[2])
-    return plan.select("source", "doc_id", "hash", "size", "n_rows", "source_size", "target", (F.col("whole") + F.round("p").cast("long")).alias("copies"))
+    return plan.select("source", "doc_id", "hash", "size", "n_rows", "source_size", "target", (F.col("whole") + F.round("p").cast("long")).alias("copies")), tables
+
+
+def mix_plan(documents: DataFrame) -> DataFrame:
+    """Per distinct row (source, doc_id, text hash): n_rows alike, size, source_size, target and the copies of all of them together."""
+    return _plan(documents)[0]
+
+
+def _share(copies: Column, rows: Column, place: Column) -> Column:
+    """What the row at a place (from 0) among equal ones gets of their copies."""
+    return (F.floor(copies / rows) + F.when(place < copies % rows, 1).otherwise(0)).cast("long")
 
 
 def mix(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies."""
     plan = mix_plan(documents)
-    return plan.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.explode(F.array_repeat(F.lit(0), F.col("n_rows").cast("int"))).alias("_")).drop("_")
+    # Equal rows are listed TOGETHER at a time, the many of one document over several tasks.
+    few = plan.where(F.col("n_rows") <= TOGETHER).withColumn("first", F.lit(0).cast("long"))
+    many = plan.where(F.col("n_rows") > TOGETHER).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1, F.lit(TOGETHER).cast("long")))).repartition("doc_id", "hash", "first")
+    rows = few.unionByName(many).withColumn("place", F.explode(F.sequence("first", F.least(F.col("first") + TOGETHER, F.col("n_rows")) - 1)))
+    rows = rows.withColumn("copies", _share(F.col("copies"), F.col("n_rows"), F.col("place")))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed_rows(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents``, each as often as the mix takes it."""
-    plan = mix_plan(documents).where("copies > 0").select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("hash").alias("_h"), "copies")
-    d = documents.withColumn("_hash", F.xxhash64("text"))
-    same = (d["_hash"] == F.col("_h")) & d["doc_id"].eqNullSafe(F.col("_d")) & d["source"].eqNullSafe(F.col("_s"))
-    return d.join(plan, same).withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*documents.columns)
+    """The rows of ``documents``, each as often as the mix takes it, with all their columns."""
+    plan = _plan(documents)[0].where("copies > 0")
+    names = documents.columns
+    source, doc, hash_, copies, rows, place, of = (fresh(names, c) for c in ("of_source", "of_doc", "of_hash", "of_copies", "of_rows", "place_", "text_hash"))
+    plan = plan.select(F.col("source").alias(source), F.col("doc_id").alias(doc), F.col("hash").alias(hash_), F.col("copies").alias(copies), F.col("n_rows").alias(rows))
+    d = documents.withColumn(of, F.xxhash64("text"))
+    same = (d[of] == F.col(hash_)) & d["doc_id"].eqNullSafe(F.col(doc)) & d["source"].eqNullSafe(F.col(source))
+    repeated = not plan.where(F.col(rows) > 1).isEmpty()
+    taken = d.join(plan.where(F.col(rows) == 1) if repeated else plan, same)
+    if repeated:
+        # Equal rows are numbered: by the task that wrote them, then inside that task's rows. Both are fixed once written.
+        again = written(d.join(plan.where(F.col(rows) > 1), same).withColumn(place, F.monotonically_increasing_id()), "mix-repeated")
+        key, task = [source, doc, hash_], fresh([*again.columns], "task")
+        again = again.withColumn(task, F.shiftright(place, 33))
+        before = Window.partitionBy(*key).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+        counts = again.groupBy(*key, task).agg(F.count(F.lit(1)).alias("n")).select(*[F.col(c).alias(f"{c}_k") for c in (*key, task)], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before_k"))
+        inside = F.row_number().over(Window.partitionBy(*key, task).orderBy(place)) - 1
+        numbered = again.withColumn(place, inside).join(counts, reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_k")) for c in (*key, task)]))
+        numbered = numbered.withColumn(copies, _share(F.col(copies), F.col(rows), F.col(place) + F.col("before_k")))
+        taken = taken.select(*names, copies).unionByName(numbered.where(F.col(copies) > 0).select(*names, copies))
+    return taken.withColumn(of, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).select(*names)

@@ -33,8 +33,8 @@ BANDS = (
     (10000, 0.23, 0.66),
     (40000, 0.20, 0.64),
 )
-#: Chunks: their size in bytes, the least size of a last one, the band, and the share of bad chunks that rejects.
-CHUNK, LEAST_CHUNK, CHUNK_BAND, BAD_SHARE = 4096, 1024, (0.22, 0.74), 0.34
+#: Chunks: their size in bytes, the least size of a last one (a shorter one joins the chunk before), the band, and the share of bad chunks that rejects.
+CHUNK, LEAST_CHUNK, CHUNK_BAND, BAD_SHARE = 4096, 1024, (0.22, 0.74), 1 / 3
 LEVEL = 3
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 
@@ -84,10 +84,11 @@ def base_counts(t: Texts) -> dict[str, np.ndarray]:
     used = c[hi] > c[lo]
     owner = _row_of(lines)[used]
     salt = mix(np.arange(1, len(t) + 1, dtype=U))
-    keys = mix(t.hashes(lo[used], hi[used]) ^ salt[owner])
-    order = np.argsort(keys, kind="stable")
+    lo, hi = lo[used], hi[used]
+    keys, check = (mix(t.hashes(lo, hi, lane) ^ salt[owner]) for lane in (0, 1))
+    order = np.lexsort((check, keys))
     later = np.zeros(len(keys), bool)
-    later[order[1:]] = keys[order[1:]] == keys[order[:-1]]
+    later[order[1:]] = (keys[order[1:]] == keys[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
     n_dup = np.bincount(owner[later], minlength=len(t))
 
     at, h = grams(t.hashes(starts, ends), first, WINDOW)
@@ -116,16 +117,17 @@ def bands(t: Texts, pack: zstandard.ZstdCompressor) -> dict[str, np.ndarray]:
         text = t.text(i)
         ratio[i] = len(pack.compress(text)) / size[i]
         if size[i] > CHUNK:
-            for k in range(0, size[i], CHUNK):
-                part = text[k : k + CHUNK]
-                if len(part) >= LEAST_CHUNK:
-                    chunks[i] += 1
-                    bad[i] += not CHUNK_BAND[0] <= len(pack.compress(part)) / len(part) <= CHUNK_BAND[1]
+            cuts = list(range(0, size[i], CHUNK))
+            if size[i] - cuts[-1] < LEAST_CHUNK:
+                cuts.pop()
+            chunks[i] = len(cuts)
+            for k, end in zip(cuts, [*cuts[1:], size[i]]):
+                bad[i] += not CHUNK_BAND[0] <= len(pack.compress(text[k:end])) / (end - k) <= CHUNK_BAND[1]
         if ratio[i] < _LEAST[band[i]]:
             reason[i] = "repetitive"
         elif ratio[i] > _MOST[band[i]]:
             reason[i] = "incompressible"
-        elif bad[i] > BAD_SHARE * chunks[i]:
+        elif bad[i] and bad[i] >= BAD_SHARE * chunks[i]:
             reason[i] = "bad chunks"
     return {"ratio": ratio, "n_chunks": chunks, "n_bad_chunks": bad, "reason": reason}
 
@@ -159,7 +161,7 @@ def quality_report(documents: DataFrame) -> DataFrame:
 
 
 def keep_good(documents: DataFrame) -> DataFrame:
-    """The rows whose text passes, with all their columns."""
+    """The rows whose text passes, with all their columns, of any name. Null, empty and wordless texts go; repeated rows stay or go alike."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -12,7 +12,7 @@ SQL = {
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 u AS (SELECT rid, doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM d),
 w AS (SELECT rid, doc_id, pos, """ + " || ' ' || ".join(["word", *[f"lead(word, {i}) OVER f" for i in range(1, 20)]]) + r""" AS g FROM u WINDOW f AS (PARTITION BY rid ORDER BY pos)),
-k AS (SELECT rid, pos, row_number() OVER (PARTITION BY g ORDER BY doc_id, pos) AS nth FROM w WHERE g IS NOT NULL),
+k AS (SELECT rid, pos, rank() OVER (PARTITION BY g ORDER BY doc_id, pos) AS nth FROM w WHERE g IS NOT NULL),
 gone AS (SELECT DISTINCT rid, pos + i AS pos FROM k, range(0, 20) t(i) WHERE nth > 1),
 kept AS (SELECT u.rid, string_agg(word, ' ' ORDER BY u.pos) AS t, count(*) AS n FROM u ANTI JOIN gone USING (rid, pos) GROUP BY u.rid)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256

@@ -1,21 +1,29 @@
 """Intermediate tables in the folder that driver and executors share.
 
-A cluster names that folder in ``spark.checkpoint.dir``; only where it is unset
-(unit tests in local mode) does this module pick one itself.
+A cluster names that folder in ``spark.checkpoint.dir``; only where it is unset and the master is
+local (unit tests) does this module pick one itself: executors elsewhere could not read it.
+Tables that no later step reads are deleted with ``spent``.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session, as named by ``spark.checkpoint.dir``."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="traceforge-")
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
@@ -27,4 +35,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def view(table: DataFrame, df: DataFrame) -> DataFrame:
+    """``df``, which reads ``table`` alone, as its stand-in for ``spent``."""
+    _paths[df] = _paths[table]
+    return df
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again, on whatever file system they lie."""
+    for t in tables:
+        path = _paths.pop(t, None)
+        if path:
+            jvm = t.sparkSession._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, lengthened until it differs from all ``taken`` names, in any case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name

@@ -1,9 +1,10 @@
 """Whole Arrow batches of texts as flat byte arrays: words, hashes and per-document sums without a Python loop.
 
 All offsets are byte offsets into the batch's UTF-8 buffer. A null text counts as empty.
-Hashes are polynomial sums modulo 2**64 over odd bases, finished by a mixer; equal
-byte or word sequences always get equal hashes, so hashes only ever propose candidates
-or, taken 128 bits wide, stand for the sequence itself.
+A span of bytes is hashed eight bytes at a time, a word sequence by doubling; each step is a bijective
+mix of what came before plus what comes next, so no arrangement of bytes or words cancels out, as it does in
+polynomials. Two seeds give two independent 64-bit lanes. Equal sequences always get equal hashes; one lane
+proposes candidates, both together (128 bits) stand for the sequence itself.
 """
 
 from __future__ import annotations
@@ -13,10 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-STRETCH = 1 << 20
+#: Spans beyond this many bytes are hashed by xxh3, one by one.
+LONG = 256
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+#: Seeds of the two lanes, and what tells the doubling steps apart from one another.
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+STEP = U(0x5851F42D4C957F2D)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -32,37 +38,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE_VALUES = [mix(np.arange(1, 257, dtype=U) * U(b)) for b in _BASES]
-_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of sequences from those of their two parts, in order."""
+    return mix(mix(left + STEP) + right)
 
 
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of base ``which`` and of its inverse; kept, and grown by doubling."""
-    have = _powers.get(which)
-    if have is None or len(have[0]) <= n:
-        size = 1 << max(16, int(n).bit_length())
-        base = _BASES[which]
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, U(b), dtype=U)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        have = _powers[which] = (out[0], out[1])
-    return have
+def renamed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers for pairs of numbers, the same for the same pair and only for it."""
+    return np.unique(left * (right.max(initial=0) + 1) + right, return_inverse=True)[1]
 
 
-def prefix(values: np.ndarray, which: int) -> np.ndarray:
-    """Prefix sums of values[i] * base**i, with a leading 0."""
-    up, _ = powers(which, len(values))
-    out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * up[: len(values)], out=out[1:])
-    return out
-
-
-def spans(pre: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-    """Hash of each [start, end) from its prefix sums, the same wherever the span stands."""
-    _, down = powers(which, len(pre))
-    return mix((pre[end] - pre[start]) * down[start])
+def sequence_hashes(values: np.ndarray, k: int, join=joined) -> np.ndarray:
+    """A hash of every k consecutive values (k >= 1), by doubling: lengths 1, 2, 4, ... and their sums to k. With ``renamed``, exact numbers."""
+    power, whole, done = values, None, 0
+    length = 1
+    while True:
+        if k & length:
+            whole = power if whole is None else join(whole[: len(whole) - length], power[done:])
+            done += length
+        if done == k:
+            return whole
+        if len(power) <= length:
+            return values[:0]
+        power = join(power[:-length], power[length:])
+        length *= 2
 
 
 @dataclass
@@ -104,17 +103,35 @@ class Texts:
         """The same rows with A-Z in lower case."""
         return Texts(self.first, _LOWER[self.data], self.offsets)
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-        """A 64-bit hash of each byte span; spans are in order and don't overlap. Sums cover about STRETCH bytes at a time."""
-        out = np.empty(len(starts), U)
-        i = 0
-        while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + STRETCH, side="right")))
-            lo, hi = starts[i], ends[j - 1]
-            out[i:j] = spans(prefix(_BYTE_VALUES[which][self.data[lo:hi]], which), starts[i:j] - lo, ends[i:j] - lo, which)
-            i = j
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+        """A 64-bit hash of each byte span."""
+        size = ends - starts
+        out = mix(size.astype(U) + U(SEEDS[lane]))
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        for i in np.flatnonzero(size > LONG):
+            out[i] = xxhash.xxh3_64_intdigest(memoryview(self.data[starts[i] : ends[i]]), SEEDS[lane])
+        at, now = np.flatnonzero((size > 0) & (size <= LONG)), 0
+        while len(at):
+            left = size[at] - now
+            bytes_ = eight[starts[at] + now] & _FIRST[np.minimum(left, 8)]
+            out[at] = joined(out[at], bytes_)
+            at, now = at[left > 8], now + 8
         return out
 
+    def codes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A number for each byte span, the same for the same bytes and only for them."""
+        if not len(starts):
+            return np.zeros(0, np.int64)
+        change = np.zeros(len(self.data) + 1, np.int8)
+        change[starts] += 1
+        change[ends] -= 1
+        at = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(ends - starts, out=at[1:])
+        inside = self.data[np.cumsum(change[:-1], dtype=np.int8).view(bool)]
+        spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(inside)])
+        return spans.dictionary_encode().indices.to_numpy().astype(np.int64)
+
     def text(self, row: int) -> bytes:
         return self.data[self.offsets[row] : self.offsets[row + 1]].tobytes()
 
@@ -138,11 +155,16 @@ def pieces(column: pa.Array, most: int = 2 << 20) -> Iterator[Texts]:
         row = end
 
 
-def grams(values: np.ndarray, first: np.ndarray, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def grams(values: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k consecutive words of one row: (index of the first word, hash)."""
     n = len(values)
     if n < k:
         return np.zeros(0, np.int64), np.zeros(0, U)
+    at = starts_of(first, n, k)
+    return at, sequence_hashes(values, k)[at]
+
+
+def starts_of(first: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Where k consecutive words of one row begin."""
     left = np.repeat(first[1:], np.diff(first)) - np.arange(n)  # words from here to the row's end
-    at = np.flatnonzero(left >= k)
-    return at, spans(prefix(values, which), at, at + k, which)
+    return np.flatnonzero(left >= k)

@@ -9,13 +9,15 @@ executor leaves no half file behind):
   arrays over its documents (doc_id, number of ids, end offset in ``payload``). ``payload`` holds one
   zstandard frame per document, so one document is read by one slice and one decompression.
 
-The dictionary is trained on at most ``SAMPLE`` documents, drawn by a hash of their ids; every
-document is encoded and written. Order comes from one range exchange of the texts; where a
-document starts follows from the partitions' totals, a table of one row per partition.
+The dictionary is trained on ``SAMPLE`` documents, those with the least hashes of id and text; of one with over
+``STRETCH`` bytes of ids a stretch is taken that starts anywhere in it, by the same hash. A few documents
+make a small dictionary; where there are too few to train on, their ids themselves are the dictionary. Every
+document is encoded and written. Order comes from one range exchange of the texts, into partitions of about
+``PARTITION_BYTES``; where a document starts follows from their totals, a table of one row per partition.
 
 Rows and edge cases: a null text counts as empty and holds only the end id; null doc_ids come first;
-repeated rows are written each; an empty table gives no blocks and an empty result; extra columns
-are ignored. Any single text must fit a worker's memory, blocks are bounded.
+repeated rows are written each, those of one doc_id in the order of their texts' hashes; an empty table gives an
+empty dictionary, no blocks and an empty result; extra columns, of any name, are ignored. Any single text must fit a worker's memory, blocks are bounded.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ from .scratch import shared_dir
 from .textarrays import pieces
 
 SAMPLE, DICTIONARY_BYTES, LEVEL, BLOCK_BYTES = 1000, 64 << 10, 3, 4 << 20
-LONGEST_SAMPLE = 1 << 16  # bytes of ids; longer documents are not taken into the training sample
+STRETCH = 1 << 14  # bytes of ids that the training sample takes of a document
+PARTITION_BYTES = 64 << 20
 
 BLOCKS = (
     "part int, block int, before long, n_ids long, dictionary_hash string, min_doc_id long, max_doc_id long, "
@@ -68,24 +71,32 @@ def _wide(ids: bytes, width: int) -> bytes:
 
 
 def train_dictionary(documents: DataFrame, path: str, width: int) -> bytes:
-    """A dictionary from about ``SAMPLE`` serialized id arrays (at most twice as many); empty if there are too few."""
-    rows = documents.count()
-    if not rows:
-        return b""
-    every = max(1, rows // SAMPLE)
+    """A dictionary from at most ``SAMPLE`` serialized id arrays; empty only if no document has ids."""
+    key = F.xxhash64("doc_id", "text")
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = wordids.worker(path)
         for b in batches:
             for t in pieces(b.column("text")):
-                got = [x for x in (_narrow(i, width) for i in w.encode(t)) if len(x) <= LONGEST_SAMPLE]
+                got = []
+                for h, raw in zip(b.column("h").slice(t.first, len(t)).to_pylist(), w.encode(t)):
+                    ids = _narrow(raw, width)
+                    at = h % max(1, (len(ids) - STRETCH) // width) * width if len(ids) > STRETCH else 0
+                    got.append(ids[at : at + STRETCH])
                 yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], names=["ids"])
 
-    drawn = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").limit(2 * SAMPLE)
-    samples = sorted(bytes(r["ids"]) for r in drawn.mapInArrow(encode, "ids binary").collect())
-    if sum(map(len, samples)) < 10 * DICTIONARY_BYTES or len(samples) < 100:
+    # The least hashes of each task, then of all: no sort of the table.
+    least = documents.where(F.length("text") > 0).select(key.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h").alias("most")).first()["most"]
+    if least is None:
         return b""
-    return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
+    drawn = documents.withColumn("h", key).where((F.col("h") <= least) & (F.length("text") > 0)).dropDuplicates(["h"]).select("h", "text")
+    samples = sorted(bytes(r["ids"]) for r in drawn.mapInArrow(encode, "ids binary").collect())
+    whole = b"".join(samples)
+    size = min(DICTIONARY_BYTES, max(1 << 10, len(whole) // 8))
+    try:
+        return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:  # too few to find what they share
+        return whole[:size]
 
 
 def write_files(documents: DataFrame, tokenizer: str | None = None, folder: str | None = None) -> TokenFiles:
@@ -133,7 +144,8 @@ def write_files(documents: DataFrame, tokenizer: str | None = None, folder: str
         if ids:
             yield full()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
     # The text's hash orders repeated ids, and splits them over partitions if they are many.
     ordered = documents.withColumn("_tie", F.xxhash64("text")).repartitionByRange(n, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
     ordered.mapInArrow(encode, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")

@@ -1,15 +1,16 @@
 """Token ids of whole texts by the ``tokenizers`` library, one Arrow batch at a time.
 
-The tokenizer file is a parameter. ``word_bpe_49k.json`` folds case, drops white space, never lets a
-token cross it, and splits off punctuation; so a text's ids are the ids of its white-space separated
-words, one after another, and those of a word are the ids of its body, if that ends in a letter or digit of
-ASCII, and of the punctuation (``_CLOSING``) that ends it. Each distinct such element is encoded once per worker, many in one call
-(a table of at most ``KEEP`` of them, then started afresh). Texts are never cut, and a text that
-holds a special token's mark goes through the library whole.
+The tokenizer file is a parameter. One that folds case, drops white space, never lets a token cross it, and splits off
+punctuation, as ``word_bpe_49k.json`` does (told by its normalizer and splitting rule, ``_SPLIT``), gives a text the ids of its
+white-space separated words, one after another, and those of a word are the ids of its body, if that ends in a letter or
+digit of ASCII, and of the punctuation (``_CLOSING``) that ends it. Each distinct such element is encoded once per worker,
+many in one call; a worker remembers at most ``KEEP`` of them and ``KEEP_BYTES``, then starts afresh. Texts of other
+tokenizer files, and those that hold a special token's mark, go through the library whole. Texts are never cut.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass, field
 
@@ -20,7 +21,10 @@ from .textarrays import Texts
 
 END_ID = 1
 END = np.array([END_ID], "<u4").tobytes()
-KEEP = 400_000
+KEEP, KEEP_BYTES = 400_000, 64 << 20
+#: The normalizer and splitting rule for which words can be encoded apart.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Stands between elements that are encoded together; one token of its own, and what holds it is encoded alone.
 MARK = b"~"
 
@@ -42,6 +46,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordIds:
     path: str
     known: dict[bytes, bytes] = field(default_factory=dict)
+    held: int = 0
 
     def __post_init__(self) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -49,14 +54,25 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(self.path)
         self.between = f" {MARK.decode()} "
-        (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        marks = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        self.mark, self.by_word = marks[0] if marks else None, len(marks) == 1 and self._splits()
+
+    def _splits(self) -> bool:
+        rules = json.loads(self.tokenizer.to_str())
+        steps = [s.get("type") for s in (rules.get("normalizer") or {}).get("normalizers", [])]
+        first = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        return steps == _NORMAL and first.get("pattern") == {"Regex": _SPLIT}
+
+    def _whole(self, text: bytes) -> bytes:
+        return np.array([*self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, END_ID], "<u4").tobytes()
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         """Each word's ids as little-endian unsigned 32-bit integers."""
         known = self.known
         unseen = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(unseen) > KEEP and known:
+        if (len(known) + len(unseen) > KEEP or self.held > KEEP_BYTES) and known:
             known.clear()
+            self.held = 0
             unseen = list(dict.fromkeys(words))
         alone = [w for w in unseen if MARK in w]
         joined = [w for w in unseen if MARK not in w] if alone else unseen
@@ -73,10 +89,13 @@ class WordIds:
                 for w, end in zip(g, [*cut, len(raw)], strict=True):
                     known[w] = raw[at:end]
                     at = end + 4
+        self.held += sum(len(w) + len(known[w]) for w in unseen)
         return [known[w] for w in words]
 
     def encode(self, t: Texts) -> list[bytes]:
         """Each row's ids, END_ID at the end included, as little-endian unsigned 32-bit integers."""
+        if not self.by_word:
+            return [self._whole(t.text(i)) for i in range(len(t))]
         low = t.lowered()
         starts, ends, first = low.words()
         rows = len(t)
@@ -103,7 +122,7 @@ class WordIds:
             for i in range(rows):
                 text = t.text(i)
                 if b"<|" in text:
-                    out[i] = np.array([*self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, END_ID], "<u4").tobytes()
+                    out[i] = self._whole(text)
         return out
 
 
