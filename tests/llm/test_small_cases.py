@@ -1,9 +1,11 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for each operator and stage."""
 
+from types import SimpleNamespace
+
 import pytest
 
 import corpus_pipeline
-from traceforge.llm import extraction, language, licences, media, mixing, nearcopies, packing, quality, repeats, tokenfiles
+from traceforge.llm import extraction, htmlblocks, language, licences, media, mixing, nearcopies, packing, quality, repeats, scratch, tokenfiles
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PROSE = " ".join(f"w{i * 7919 % 911} and the{i % 13} of{i * 31 % 97}x" for i in range(40))
@@ -63,6 +65,48 @@ def test_packing_small_cases(odd, none):
     assert whole[7] == got[got["doc_id"] == 7]["doc_tokens"].iloc[0]
 
 
+#: Names that operators and stages use inside.
+INNER = "size n h kept ranges z component_id hash copies _hash _n _s _d _h _ranges version many gone of_doc of_version ranges_gone of_source of_hash of_copies of_rows place_ text_hash task sig lo hi DOC_ID_K".split()
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_with_clashing_columns(name, stage, spark, odd, sf):
+    """Extra columns of any name come through unchanged."""
+    extra = odd.selectExpr("*", *[f"{i} AS {c}" for i, c in enumerate(INNER)])
+    got = stage(spark, extra, sf)
+    if name == corpus_pipeline.STAGES[-1][0]:
+        assert got.count() > 0
+    else:
+        assert got.columns == extra.columns
+        assert all([r[c] for c in INNER] == list(range(len(INNER))) for r in got.collect())
+
+
+def test_versions_of_one_id(spark):
+    """Texts under one doc_id lose what is theirs to lose, each by its own words."""
+    a, b = [" ".join(f"{x}{i}" for i in range(30)) for x in "ab"]
+    d = spark.createDataFrame([(1, a), (5, b), (5, f"{a} {b}"), (9, b)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in repeats.repeat_report(d).collect())
+    assert got == [(1, 30, 0), (5, 30, 0), (5, 60, 60), (9, 30, 30)]
+    kept = sorted((r["doc_id"], r["text"]) for r in repeats.without_repeats(d).collect())
+    assert kept == [(1, a), (5, ""), (5, b), (9, "")]
+
+
+def test_scratch_needs_a_shared_folder_on_clusters():
+    def session(master):
+        conf = SimpleNamespace(get=lambda k, d=None: {"spark.master": master}.get(k, d))
+        return SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, applicationId=master), conf=SimpleNamespace(get=lambda k, d=None: d))
+
+    for master in ("spark://elsewhere:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            scratch.shared_dir(session(master))
+    assert scratch.shared_dir(session("local[4]")) == scratch.shared_dir(session("local[4]")) != scratch.shared_dir(session("local"))
+
+
+def test_quotes_in_tags():
+    got = [b.text for b in htmlblocks.blocks("<p don't>First block.</p><p title='a>b' class=x\"y>Second block.</p><p>So <math><mi>x</mi>=1</math> holds.</p>")]
+    assert got == ["First block.", "Second block.", "So x=1 holds."]
+
+
 @pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
 def test_stages(name, stage, spark, odd, none, sf):
     assert stage(spark, none, sf).count() == 0

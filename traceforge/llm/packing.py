@@ -9,9 +9,15 @@ A document of more than a sequence first fills sequences of its own; its tail jo
 live inside the tasks of the scan: no shuffle, and memory is one pool of at most ``POOL`` tails. What is
 left at the end of a task makes sequences whose lengths are powers of two, so it needs no padding.
 
+Plain documents bear loss on all tokens after a piece's first, so there the token limit alone binds, and the heuristic
+places the largest fitting piece first. Instruction data (``conversation_sizes``, ``pack_examples``) has all three demands:
+loss is on what the assistant says. Examples stay whole there; one without tokens, or that exceeds a limit by
+itself, gets no sequence (null), for the caller to shorten.
+
 Sequence ids are ``partition << 32 | number``; the same splits give the same sequences when a task
-runs again. Tokens after a piece's first bear loss. A null text is a document of the end id alone;
-repeated rows are packed each; an empty table gives no rows; extra columns are not read.
+runs again. Of equal scores the example that came first is taken. A null text is a document of the end id alone, a null
+turn has no tokens; repeated rows are packed each (of turns: count each); an empty table gives no rows; extra columns,
+of any name, are not read. A document of any length is encoded whole.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import wordids
 from .textarrays import pieces
@@ -43,7 +50,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Packer:
     """Examples in, (example, start, length, sequence, offset) out. ``cut`` allows to split examples."""
 
-    def __init__(self, limits: Limits, emit: Callable[[object, int, int, int, int], None], cut: bool = True):
+    def __init__(self, limits: Limits, emit: Callable[[object, int, int, int | None, int | None], None], cut: bool = True):
         self.limits, self.emit, self.cut = limits, emit, cut
         self.keys: list[object] = []
         self.begin: list[int] = []
@@ -59,8 +66,9 @@ class Packer:
                 self.emit(key, start, full, self.sequence, 0)
                 self.sequence += 1
                 start += full
-        elif tokens > full or (loss or 0) > self.limits.loss_tokens:
-            raise ValueError(f"an example of {tokens} tokens, {loss} of them loss-bearing, exceeds the limits and may not be cut")
+        elif not tokens or tokens > full or (loss or 0) > self.limits.loss_tokens:
+            self.emit(key, 0, tokens, None, None)
+            return
         if start < tokens:
             self.keys.append(key)
             self.begin.append(start)
@@ -166,13 +174,30 @@ def pack_documents(documents: DataFrame, limits: Limits = Limits(), tokenizer: s
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def conversation_sizes(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """example_id, n_tokens and n_loss_tokens of each conversation (conv_id, role, text): a turn is its text's ids and the end id; loss is on the assistant's."""
+    path = tokenizer or wordids.tokenizer_path()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = wordids.worker(path)
+        for b in batches:
+            for t in pieces(b.column("text"), 4 << 20):
+                own = b.slice(t.first, len(t))
+                n = [len(x) // 4 if own.column("text")[i].is_valid else 0 for i, x in enumerate(w.encode(t))]
+                loss = [x if role == "assistant" else 0 for x, role in zip(n, own.column("role").to_pylist())]
+                yield pa.RecordBatch.from_arrays([own.column("conv_id"), pa.array(n, pa.int64()), pa.array(loss, pa.int64())], names=["example_id", "n", "loss"])
+
+    sizes = turns.select("conv_id", "role", "text").mapInArrow(run, "example_id long, n long, loss long")
+    return sizes.groupBy("example_id").agg(F.sum("n").alias("n_tokens"), F.sum("loss").alias("n_loss_tokens"))
+
+
 def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Instruction data: whole examples (example_id, n_tokens, n_loss_tokens) under the three limits, never cut."""
     schema = "example_id long, n_tokens long, n_loss_tokens long, sequence_id long, offset long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, out = TaskContext.get().partitionId() << 32, []
-        packer = Packer(limits, lambda key, start, length, sequence, offset: out.append((*key, base + sequence, offset)), cut=False)
+        packer = Packer(limits, lambda key, start, length, sequence, offset: out.append((*key, None if sequence is None else base + sequence, offset)), cut=False)
 
         def rows() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], names=[f.split()[0] for f in schema.split(", ")])

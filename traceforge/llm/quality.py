@@ -4,12 +4,16 @@ Each whole text, and each fixed 4096-byte chunk of a longer one, is compressed w
 Text that repeats itself compresses far below prose of its length, encoded or random bytes
 compress hardly at all: both fall outside the band that is set for the text's length.
 
-Everything is computed per row inside the scan's own partitions: no shuffle, no state, and a
+Lengths are told apart by half octaves. ``fit`` sets the least ratio of each from labelled documents of good quality: the
+``QUANTILE`` of their ratios less ``MARGIN``, where at least ``LEAST_LABELLED`` of them have that length, and never below the
+standing limit of ``BANDS``, which holds everywhere else and without labels. It reads about ``FIT_ROWS`` labelled rows, drawn by a hash of doc_id.
+
+Everything else is computed per row inside the scan's own partitions: no shuffle, no state, and a
 lost executor only means that its splits run again.
 
 Rows and edge cases: a null text counts as empty; a text without words has zeros everywhere and
-fails the base rule; repeated rows are judged each on their own; an empty table gives an empty
-result; only ``doc_id`` and ``text`` are read, so other columns never clash.
+fails the base rule; ties with a limit pass; repeated rows are judged each on their own; an empty table gives an
+empty result; only ``doc_id`` and ``text`` are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .textarrays import U, Texts, grams, mix, pieces
 
@@ -36,6 +41,8 @@ BANDS = (
 #: Chunks: their size in bytes, the least size of a last one (a shorter one joins the chunk before), the band, and the share of bad chunks that rejects.
 CHUNK, LEAST_CHUNK, CHUNK_BAND, BAD_SHARE = 4096, 1024, (0.22, 0.74), 1 / 3
 LEVEL = 3
+#: Fitting: labelled rows read, how many make a length's own limit, the quantile of good ratios, and what is taken off it.
+FIT_ROWS, LEAST_LABELLED, QUANTILE, MARGIN = 20_000, 50, 0.002, 0.008
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 
 _SYMBOL = np.zeros(256, bool)
@@ -44,6 +51,9 @@ _STARTS = np.array([b[0] for b in BANDS])
 _LEAST = np.array([b[1] for b in BANDS])
 _MOST = np.array([b[2] for b in BANDS])
 
+#: Least ratio by half octave of the length, where fitted.
+Limits = dict[int, float]
+
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, kept boolean, ratio double, n_chunks long, n_bad_chunks long, reason string"
@@ -104,12 +114,18 @@ def base_counts(t: Texts) -> dict[str, np.ndarray]:
     }
 
 
-def bands(t: Texts, pack: zstandard.ZstdCompressor) -> dict[str, np.ndarray]:
+def half_octave(size: np.ndarray) -> np.ndarray:
+    """Twice the binary logarithm of a length, rounded down."""
+    return np.floor(2 * np.log2(np.maximum(size, 1)) + 1e-9).astype(np.int64)
+
+
+def bands(t: Texts, pack: zstandard.ZstdCompressor, limits: Limits) -> dict[str, np.ndarray]:
     """Compression ratios of each row and of its chunks, and the verdict: a reason, or null."""
     n = len(t)
     ratio, chunks, bad, reason = np.ones(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, None, object)
     size = np.diff(t.offsets)
     band = np.searchsorted(_STARTS, size, side="right") - 1
+    least = np.maximum(_LEAST[band], [limits.get(int(x), 0.0) for x in half_octave(size)])
     for i in range(n):
         if not size[i]:
             reason[i] = "empty"
@@ -123,7 +139,7 @@ def bands(t: Texts, pack: zstandard.ZstdCompressor) -> dict[str, np.ndarray]:
             chunks[i] = len(cuts)
             for k, end in zip(cuts, [*cuts[1:], size[i]]):
                 bad[i] += not CHUNK_BAND[0] <= len(pack.compress(text[k:end])) / (end - k) <= CHUNK_BAND[1]
-        if ratio[i] < _LEAST[band[i]]:
+        if ratio[i] < least[i]:
             reason[i] = "repetitive"
         elif ratio[i] > _MOST[band[i]]:
             reason[i] = "incompressible"
@@ -132,22 +148,43 @@ def bands(t: Texts, pack: zstandard.ZstdCompressor) -> dict[str, np.ndarray]:
     return {"ratio": ratio, "n_chunks": chunks, "n_bad_chunks": bad, "reason": reason}
 
 
-def _judged(column: pa.Array) -> Iterator[tuple[Texts, dict[str, np.ndarray]]]:
+def fit(documents: DataFrame, labels: DataFrame) -> Limits:
+    """Least ratios by length from documents whose label says quality 1 and that pass the base rules."""
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    every = max(1, -(-good.count() // FIT_ROWS))
+    drawn = lambda d: d.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=LEVEL)
+        for b in batches:
+            for t in pieces(b.column("text")):
+                ratio, size = bands(t, pack, {})["ratio"], np.diff(t.offsets)
+                i = np.flatnonzero(~base_counts(t)["base_failed"])
+                yield pa.RecordBatch.from_arrays([pa.array(half_octave(size[i])), pa.array(ratio[i])], names=["band", "ratio"])
+
+    # Both sides are cut to the sample before they meet.
+    ratios = drawn(documents.select("doc_id", "text")).join(drawn(good), "doc_id", "left_semi").select("text").mapInArrow(run, "band long, ratio double")
+    rows = ratios.groupBy("band").agg(F.percentile("ratio", F.lit(QUANTILE)).alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_LABELLED).collect()
+    return {r["band"]: round(r["least"] - MARGIN, 6) for r in rows}
+
+
+def _judged(column: pa.Array, limits: Limits) -> Iterator[tuple[Texts, dict[str, np.ndarray]]]:
     pack = zstandard.ZstdCompressor(level=LEVEL)
     for t in pieces(column):
-        got = base_counts(t) | bands(t, pack)
+        got = base_counts(t) | bands(t, pack, limits)
         got["kept"] = ~got["base_failed"] & np.array([r is None for r in got["reason"]], bool)
         got["reason"] = np.where(got["base_failed"], "base", got["reason"])
         yield t, got
 
 
-def quality_report(documents: DataFrame) -> DataFrame:
+def quality_report(documents: DataFrame, limits: Limits | None = None) -> DataFrame:
     """One row per document: base counts, compression figures, verdict and its reason."""
+    limits = limits or {}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id")
-            for t, got in _judged(b.column("text")):
+            for t, got in _judged(b.column("text"), limits):
                 long = lambda k: pa.array(got[k], pa.int64())
                 flag = lambda k: pa.array(got[k], pa.bool_())
                 yield pa.RecordBatch.from_arrays(
@@ -160,12 +197,13 @@ def quality_report(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def keep_good(documents: DataFrame) -> DataFrame:
+def keep_good(documents: DataFrame, limits: Limits | None = None) -> DataFrame:
     """The rows whose text passes, with all their columns, of any name. Null, empty and wordless texts go; repeated rows stay or go alike."""
+    limits = limits or {}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t, got in _judged(b.column("text")):
+            for t, got in _judged(b.column("text"), limits):
                 yield b.slice(t.first, len(t)).filter(pa.array(got["kept"], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

@@ -71,6 +71,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's operator on instruction data: whole conversations under limits of tokens, segments and loss-bearing tokens."""
+    from .packing import Limits, conversation_sizes, pack_examples
+
+    return pack_examples(conversation_sizes(_table(spark, sf_dir, "conversations")), Limits(tokens=2048, segments=8, loss_tokens=1024))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
     from .mixing import mix
@@ -79,10 +86,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents judged by the base rules and the compression bands."""
-    from .quality import quality_report
+    """All documents judged by the base rules and the compression bands, their lower limits fitted on labelled documents."""
+    from .quality import fit, quality_report
 
-    return quality_report(_table(spark, sf_dir, "documents"))
+    documents = _table(spark, sf_dir, "documents")
+    return quality_report(documents, fit(documents, _table(spark, sf_dir, "labels")))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +122,7 @@ def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_extraction, op2_language, op3_licences, op4_packing, op5_mixing, op6_quality, op7_token_files, op8_repeats, op9_near_copies, op10_image_copies)}
+    return {f.__name__: f for f in (op1_extraction, op2_language, op3_licences, op4_packing, conversation_packing, op5_mixing, op6_quality, op7_token_files, op8_repeats, op9_near_copies, op10_image_copies)}
 
 
 def oracle_sql() -> dict[str, str]:

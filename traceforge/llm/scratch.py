@@ -13,6 +13,8 @@ import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of a local session that names none.
+_own: dict[str, str] = {}
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -24,9 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
         master = conf.get("spark.master", "")
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="traceforge-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        spark.sparkContext.setCheckpointDir(named)
+        named = _own.get(spark.sparkContext.applicationId)
+        if not named:
+            named = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="traceforge-")
     return named.rstrip("/")
 
 
