@@ -36,6 +36,8 @@ TRAIN_ROWS, LEAST = 5_000, 2
 LONGEST, ADD = 5, 0.1
 #: Words whose scores a worker remembers; longer words than this many letters are scored anew.
 KEEP, KEEP_LETTERS = 300_000, 40
+#: N-grams of a word that are looked up at a time.
+STRETCH = 1 << 16
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -65,11 +67,15 @@ class Model:
         at = self.words.get(word)
         if at is not None:
             return self.word_logs[at]
-        marked = f"<{word}>"
+        marked, get = f"<{word}>", self.grams.get
         for n in range(min(LONGEST, len(marked)), 0, -1):
-            known = Counter(i for i in (self.grams.get(marked[j : j + n]) for j in range(len(marked) - n + 1)) if i is not None)
-            if known:
-                return np.average(self.gram_logs[list(known)], axis=0, weights=list(known.values()))
+            total, found = 0.0, 0
+            for k in range(0, len(marked) - n + 1, STRETCH):
+                known = [i for j in range(k, min(k + STRETCH, len(marked) - n + 1)) if (i := get(marked[j : j + n])) is not None]
+                if known:
+                    total, found = total + np.add.reduce(self.gram_logs[known], axis=0), found + len(known)
+            if found:
+                return total / found
         return np.zeros(len(self.languages))
 
     def _row(self, word: str) -> int:
