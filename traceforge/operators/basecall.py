@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from ..functions import kernels as k
 from ..functions import stencils as st
-from ..schema import CHANNELS, CHEMISTRY_BASES, MOBILITY_SEARCH, WELL
+from ..schema import CHANNELS, CHEMISTRY_BASES, MOBILITY_SEARCH, NOISE_SCANS, SPECTRAL_MATRIX, WELL
+from .peaks import detect_for_bases
 
 DYES = ["d1", "d2", "d3", "d4"]
 
@@ -95,6 +96,28 @@ def even_spacing(calls: DataFrame) -> DataFrame:
     return grouped.withColumn("k", kept).select(*WELL, F.inline("k"))
 
 
+def call_bases(trace: DataFrame, chemistry: str, matrix=SPECTRAL_MATRIX, detect: Callable[[DataFrame], DataFrame] = detect_for_bases) -> DataFrame:
+    """Calls of a trace by the name of a chemistry or caller: plate, well, position, base, quality.
+
+    A chemistry of ``CHEMISTRY_BASES`` calls each detected peak by its channel. "Cimarron 3.12" and its variants unmix the trace with ``matrix``, move
+    peaks by the mobility search and check gaps: "... Aligned" rounds the places of good calls, "... Even Spacing" thins the calls. Any other name is refused.
+    """
+    if chemistry in CHEMISTRY_BASES and chemistry != "Cimarron":
+        return chemistry_calls(detect(trace), trace, chemistry).select(*WELL, F.col("scan").cast("double").alias("position"), "base", F.col("quality").cast("long").alias("quality"))
+    if not chemistry.startswith("Cimarron"):
+        raise ValueError(f"no caller for {chemistry}")
+    check_matrix(matrix)
+    dyed = trace.withColumns(dict(zip(DYES, st.unmixed(CHANNELS, matrix))))
+    noise = dyed.groupBy(*WELL).agg(*[(F.stddev_pop(F.when(F.col("scan") < NOISE_SCANS, F.col(x))) + 1e-8).alias(f"noise_{x}") for x in DYES])
+    found = detect(trace).select(*WELL, "scan").distinct()
+    moved = mobility_search(dyed, found).select(*WELL, (F.col("scan") + F.col("offset")).alias("scan")).distinct()
+    calls = gap_check(dye_calls(dyed, moved, noise)).select(*WELL, "scan", "base", "quality")
+    if chemistry.endswith("Even Spacing"):
+        calls = even_spacing(calls)
+    calls = calls.select(*WELL, F.col("scan").cast("double").alias("position"), "base", F.col("quality").cast("long").alias("quality"))
+    return rounded_positions(calls) if chemistry.endswith("Aligned") else calls
+
+
 def rounded_positions(calls: DataFrame, least: int = 30) -> DataFrame:
     """Whole positions (halves to even) for called bases of enough quality."""
     return calls.withColumn("position", F.when((F.col("base") != "N") & (F.col("quality") >= least), F.bround("position")).otherwise(F.col("position")))

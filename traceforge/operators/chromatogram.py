@@ -1,50 +1,12 @@
-"""Window grids of simulated chromatograms: simulation, label encoding and decoding, and metrics."""
+"""Window grids of chromatograms: label encoding and decoding, and metrics."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-GRID, POINTS = 256, 8192
-SIMULATED = "id long, chromatogram array<double>, loc array<double>, scale array<double>, amplitude array<double>, s1 array<double>, s2 array<double>, area array<double>"
-
-
-def simulate_one(seed: int, points: int = POINTS, fewest: int = 10, most: int = 100) -> dict:
-    """One chromatogram: a log-uniform number of asymmetric Gaussians, an offset and white or pink noise, all from one seed."""
-    r = np.random.default_rng(seed)
-    n = int(round(np.exp(r.uniform(np.log(fewest), np.log(most)))))
-    x = np.linspace(0, 1, points)
-    loc, scale, amplitude = np.sort(r.uniform(0.02, 0.98, n)), np.exp(r.uniform(np.log(5e-4), np.log(3e-3), n)), np.exp(r.uniform(np.log(5), np.log(250), n))
-    s1, s2 = r.uniform(0.8, 1.2, n), r.uniform(0.8, 1.6, n)
-    d = x[None, :] - loc[:, None]
-    width = np.where(d < 0, (scale * s1)[:, None], (scale * s2)[:, None])
-    each = amplitude[:, None] * np.exp(-0.5 * (d / width) ** 2)
-    noise = r.normal(0, 1, points)
-    if r.uniform() < 0.5:  # pink: power falls with frequency
-        f = np.fft.rfft(noise)
-        f[1:] /= np.sqrt(np.arange(1, len(f)))
-        noise = np.fft.irfft(f, points)
-        noise /= max(noise.std(), 1e-12)
-    y = each.sum(axis=0) + r.normal(0, 2) + noise * np.exp(r.uniform(np.log(0.05), np.log(2)))
-    area = np.trapezoid(each, x * points, axis=1)
-    return {"chromatogram": y.tolist(), "loc": loc.tolist(), "scale": scale.tolist(), "amplitude": amplitude.tolist(), "s1": s1.tolist(), "s2": s2.tolist(), "area": area.tolist()}
-
-
-def simulate(spark: SparkSession, n: int, points: int = POINTS) -> DataFrame:
-    """n chromatograms; the id is the seed, so any task makes the same rows again."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part in range(0, len(pdf), 64):
-                ids = pdf["id"].iloc[part : part + 64]
-                yield pd.DataFrame([{"id": i} | simulate_one(int(i), points) for i in ids])
-
-    return spark.range(n).mapInPandas(run, SIMULATED)
+GRID = 256
 
 
 def encode(peaks: DataFrame, grid: int = GRID) -> DataFrame:

@@ -6,8 +6,10 @@ from itertools import combinations
 
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,20 +107,32 @@ def plate_name(name: Column) -> Column:
 
 
 def match_names(wanted: DataFrame, folders: DataFrame) -> DataFrame:
-    """A folder for each wanted plate: equal, equal once normalised, then one name starting with the other, then containing it; of equals the first by name.
+    """A folder for each wanted plate, the first kind that is found: 0 equal, 1 equal once run numbers are padded, 2 a folder that starts with the
+    wanted name, 3 one name inside the other. Of equals the first by name.
 
-    Equal names meet by key; only plates without one are compared further, by the tokens the names share.
+    All are joins by key: a name meets the folders' prefixes and, for the last kind, each name the other side's substrings. So no pair of
+    names is looked at that doesn't match; a name of n characters has at most n * (n + 1) / 2 keys.
     """
-    norm = lambda c: F.lower(plate_name(F.col(c)))
-    w, f = wanted.withColumn("wn", norm("wanted")), folders.withColumn("fn", norm("folder"))
-    exact = w.join(f, F.col("wn") == F.col("fn")).withColumn("how", F.when(F.col("wanted") == F.col("folder"), 0).otherwise(1))
-    token = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, r"[^0-9a-z]+"), lambda t: t != "")))
-    rest = w.join(exact.select("wanted").distinct(), "wanted", "left_anti")
-    near = rest.withColumn("t", token("wn")).join(f.withColumn("t", token("fn")), "t").drop("t").distinct()
-    starts = F.startswith("fn", F.col("wn")) | F.startswith("wn", F.col("fn"))
-    near = near.withColumn("how", F.when(starts, 2).when(F.contains("fn", F.col("wn")) | F.contains("wn", F.col("fn")), 3)).where("how IS NOT NULL")
+    norm = lambda c: plate_name(F.col(c))
+    w, f = wanted.select("wanted", norm("wanted").alias("wn")).distinct(), folders.select("folder", norm("folder").alias("fn")).distinct()
+    equal = w.join(f, F.col("wn") == F.col("fn")).withColumn("how", F.when(F.col("wanted") == F.col("folder"), 0).otherwise(1))
+    rest = w.join(equal.select("wanted").distinct(), "wanted", "left_anti")
+    ends = F.explode(F.sequence(F.lit(1), F.length("folder")))
+    starts = f.where(F.length("folder") > 0).withColumn("size", ends).select("folder", "fn", F.expr("left(folder, size)").alias("part"))
+    prefixed = rest.join(starts, rest["wn"] == starts["part"]).select("wanted", "wn", "folder", "fn", F.lit(2).alias("how"))
+    last = rest.join(prefixed.select("wanted").distinct(), "wanted", "left_anti")
+
+    def parts(d: DataFrame, name: str) -> DataFrame:
+        """All substrings of a name, once each."""
+        begin = d.where(F.length(name) > 0).withColumn("_i", F.explode(F.sequence(F.lit(1), F.length(name))))
+        cut = begin.withColumn("_n", F.explode(F.sequence(F.lit(1), F.length(name) - F.col("_i") + 1)))
+        return cut.withColumn("part", F.substring(F.col(name), F.col("_i"), F.col("_n"))).select(*d.columns, "part").distinct()
+
+    inside = last.join(parts(f, "fn"), F.col("wn") == F.col("part"))
+    around = parts(last, "wn").join(f, F.col("part") == F.col("fn")).select("wanted", "wn", "folder", "fn")
+    held = inside.select("wanted", "wn", "folder", "fn").unionByName(around).distinct().withColumn("how", F.lit(3))
     order = Window.partitionBy("wanted").orderBy("how", "folder")
-    both = exact.unionByName(near)
+    both = equal.unionByName(prefixed).unionByName(held)
     return both.withColumn("_k", F.row_number().over(order)).where("_k = 1").select("wanted", "folder", "how")
 
 
@@ -149,6 +163,28 @@ def predict(features: DataFrame, columns: list[str], model: RandomForestClassifi
     return d.select(*WELL, F.col("prediction").cast("int").alias("prediction_code"), F.try_element_at(names, F.col("prediction").cast("int")).alias("prediction_name"), F.bround(F.array_max(p), 3).alias("confidence"), F.transform(p, lambda x: F.bround(x, 4)).alias("probabilities"))
 
 
+def standard_only_calls(features: DataFrame, labels: DataFrame, columns: list[str], least: int = 5, seed: int = 42) -> DataFrame:
+    """Calls of all wells from standard features by a forest of 200 trees (depth 8, leaves of 5) trained on the labelled ones (plate, well, label).
+
+    With fewer than ``least`` labels there is nothing to learn: every well is heterozygous, with confidence 0.
+    """
+    known = features.join(labels.select(*WELL, F.col("label").cast("double").alias("label")), WELL)
+    if known.limit(least).count() < least:
+        return features.select(*WELL, F.lit(4).alias("prediction_code"), F.lit(GENOTYPES[4]).alias("prediction_name"), F.lit(0.0).alias("confidence"))
+    return predict(features, columns, train_forest(known.na.fill(0.0, columns), columns, "label", 200, 8, 5, seed)).drop("probabilities")
+
+
+def peak_forest(peaks: DataFrame, label: str, columns: tuple[str, ...] = ("scan", "height", "width", "area"), trees: int = 100, folds: int = 3, seed: int = 42) -> tuple[RandomForestClassificationModel, float, float]:
+    """A forest that tells peaks apart: trained on four fifths by a hash of the row, with its accuracy on the rest and by cross-validation on the training part."""
+    share = F.pmod(F.xxhash64(*WELL, "channel", "scan", F.lit(seed)), F.lit(5))
+    d = VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep").transform(peaks).withColumn(label, F.col(label).cast("double"))
+    train, test = d.where(share > 0), d.where(share == 0)
+    forest = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, seed=seed)
+    judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+    cv = CrossValidator(estimator=forest, estimatorParamMaps=[{}], evaluator=judge, numFolds=folds, seed=seed).fit(train)
+    return cv.bestModel, judge.evaluate(cv.bestModel.transform(test)), cv.avgMetrics[0]
+
+
 def gated(predictions: DataFrame, wells: DataFrame, with_standard: DataFrame, with_product: DataFrame) -> DataFrame:
     """Calls of wells that have a standard: the prediction if they are amplified, else FAIL with confidence 0; wells without a standard are left out."""
     usable = wells.select(*WELL).join(with_standard.select(*WELL).distinct(), WELL, "left_semi")

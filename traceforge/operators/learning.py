@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import stencils as st
 from ..schema import CHANNELS, WELL
+from .training import discriminant_sums
 
 
 def emission(samples: DataFrame, base: str = "base", channels: list[str] = CHANNELS) -> DataFrame:
@@ -63,28 +64,14 @@ def confusion(samples: DataFrame, truth: str, called: str) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("truth")))
 
 
-def scatter(samples: DataFrame, label: str, channels: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Within- and between-class scatter matrices from one pass of class sums and products: k * k numbers per class reach the driver."""
-    aggs = [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(channels)]]
-    aggs += [F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(channels) for j, b in enumerate(channels) if j >= i]
-    rows = samples.groupBy(label).agg(*aggs).limit(1000).collect()
-    size = len(channels)
-    within, total, n_all, means = np.zeros((size, size)), np.zeros(size), 0, []
-    for r in rows:
-        s, n = np.array([r[f"s{i}"] for i in range(size)]), r["n"]
-        gram = np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)])
-        within += gram - np.outer(s, s) / n
-        total, n_all = total + s, n_all + n
-        means.append((n, s / n))
-    mean = total / max(1, n_all)
-    return within, sum((n * np.outer(m - mean, m - mean) for n, m in means), np.zeros((size, size)))
-
-
 def discriminants(samples: DataFrame, label: str, channels: list[str], most: int = 4) -> np.ndarray:
-    """Directions of linear discriminant analysis, best first."""
-    within, between = scatter(samples, label, channels)
-    values, vectors = np.linalg.eig(np.linalg.pinv(within) @ between)
-    return vectors[:, np.argsort(-values.real)[:most]].real
+    """Directions of linear discriminant analysis, best first, each of length 1 with its greatest entry positive; the scatter matrices come from one aggregate."""
+    r, size = discriminant_sums(samples, label, channels).first(), len(channels)
+    square = lambda m: np.array([[r[f"{m}_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(size)] for i in range(size)])
+    values, vectors = np.linalg.eig(np.linalg.pinv(square("w")) @ square("b"))
+    best = vectors[:, np.argsort(-values.real, kind="stable")[:most]].real
+    best = best / np.maximum(np.linalg.norm(best, axis=0), 1e-300)
+    return best * np.sign(best[np.abs(best).argmax(axis=0), np.arange(best.shape[1])])
 
 
 def fitted_matrix(samples: DataFrame, label: str, channels: list[str] = CHANNELS, rounds: int = 100):

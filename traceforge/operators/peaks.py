@@ -18,7 +18,7 @@ from ..functions import kernels as k
 from ..functions import stencils as st
 from ..schema import BASE_DETECT, CHANNELS, DETECTOR, MOBILITY_OFFSETS, NOISE_SCANS, SMOOTH_WINDOW, WELL, WIDTH_HEIGHT
 from . import signal
-from .joins import by_group
+from .joins import by_group, range_join
 
 BY_CHANNEL = [*WELL, "channel"]
 
@@ -38,9 +38,9 @@ def detect(long: DataFrame, height: float | None = None, prominence: float | Non
            scan_range: tuple[int, int] | None = None, stutter: int | None = None) -> DataFrame:
     """Peaks of each channel: baseline, noise, smoothing, the four filters, then the scan range, integration bounds and areas.
 
-    ``noise_factor`` raises the height to that multiple of the noise. Rows: scan, height, prominence, width, left, right, baseline, area, noise.
+    ``noise_factor`` raises the height to that multiple of the noise. Rows: scan, height, prominence, width, left, right, baseline, area, noise, count (of merged peaks), left_at (the left edge before rounding, in places from the trace's start).
     """
-    columns = ("scan", "height", "prominence", "width", "left", "right", "baseline", "area", "noise", "count")
+    columns = ("scan", "height", "prominence", "width", "left", "right", "baseline", "area", "noise", "count", "left_at")
     taps = st.fit_rows(smooth)
 
     def smoothed(y: np.ndarray) -> np.ndarray:
@@ -70,7 +70,7 @@ def detect(long: DataFrame, height: float | None = None, prominence: float | Non
         out = []
         for q, h, a, z, n in rows:
             left, right = max(0, round(a)), min(len(y) - 1, round(z))
-            out.append((scan[q], h, prom[q], float(right - left), float(scan[left]), float(scan[right]), base[q], k.simpson(y[left : right + 1]), noise, n))
+            out.append((scan[q], h, prom[q], float(right - left), float(scan[left]), float(scan[right]), base[q], k.simpson(y[left : right + 1]), noise, n, float(a)))
         got = pd.DataFrame(out, columns=columns)
         for c in BY_CHANNEL:
             got[c] = pdf[c].iloc[0]
@@ -86,7 +86,7 @@ def detect(long: DataFrame, height: float | None = None, prominence: float | Non
         return [[*max(g, key=lambda r: r[1])[:2], min(r[2] for r in g), max(r[3] for r in g), len(g)] for g in groups]
 
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.select(*BY_CHANNEL).schema)
-    schema = f"{keys}, scan long, height double, prominence double, width double, left double, right double, baseline double, area double, noise double, count long"
+    schema = f"{keys}, scan long, height double, prominence double, width double, left double, right double, baseline double, area double, noise double, count long, left_at double"
     return long.select(*BY_CHANNEL, "scan", "y").groupBy(*BY_CHANNEL).applyInPandas(run, schema)
 
 
@@ -326,6 +326,13 @@ def cut_short_wells(trace: DataFrame, least: int = 50) -> DataFrame:
     return trace.withColumn("_n", F.count(F.lit(1)).over(st.whole())).where(F.col("_n") >= least).drop("_n")
 
 
+def picked(clicks: DataFrame, peaks: DataFrame, within: float = 10) -> DataFrame:
+    """The peak nearest to each clicked place (plate, well, at) and nearer than ``within``; of equals the lower one."""
+    found = range_join(clicks, peaks, WELL, "scan", F.col("at") - within, F.col("at") + within, max(1, int(2 * within))).where(F.abs(F.col("scan") - F.col("at")) < within)
+    order = Window.partitionBy(*WELL, "at").orderBy(F.abs(F.col("scan") - F.col("at")), "scan", "channel")
+    return found.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+
+
 def channel_of_greatest(trace: DataFrame) -> DataFrame:
     """Each scan's channel of the greatest sample, the first of equals."""
     return trace.withColumn("channel", F.element_at(F.array(*[F.lit(c) for c in CHANNELS]), st.argmax(CHANNELS) + 1))

@@ -15,6 +15,7 @@ from ..schema import DUPLEX_REGION, NOISE_SCANS, WELL
 from . import genotype as gt
 from . import peaks as pk
 from . import signal as sg
+from .joins import nearest
 
 
 def duplex_wells(trace: DataFrame, low: int = DUPLEX_REGION[0], high: int = DUPLEX_REGION[1], standard: str = "c3", sample: str = "c2") -> DataFrame:
@@ -43,6 +44,34 @@ def duplex_wells(trace: DataFrame, low: int = DUPLEX_REGION[0], high: int = DUPL
     )
 
 
+def plate_run(trace: DataFrame, low: int = DUPLEX_REGION[0], high: int = DUPLEX_REGION[1]) -> DataFrame:
+    """A whole plate: each well's peaks, mutant fraction and areas over its nearest standard peak's, beside the grade of its plate.
+
+    The grade comes from the standard peaks per well and the median half widths of standard and sample peaks; half widths of the sample over the
+    grade's limit are left out before the fractions. Rows: plate, well, grade, n_peaks, mf, status, scans, norm_areas.
+    """
+    inside = trace.where((F.col("scan") >= low) & (F.col("scan") < high))
+    std_long, smp_long = sg.to_long(inside, ["c3"]), sg.to_long(inside, ["c2"])
+    std = pk.refine(pk.threshold_groups(std_long, 0.08, 6), 3, 0.1).select(*pk.BY_CHANNEL, "scan", "height", "area")
+    smp = pk.refine(pk.threshold_groups(smp_long, 0.15, 6), 3, 0.15).select(*pk.BY_CHANNEL, "scan", "height", "area")
+    wide = lambda long, p: pk.half_width(long, p.select(*pk.BY_CHANNEL, "scan", "height")).select(*pk.BY_CHANNEL, "scan", "fwhm")
+    std, smp = std.join(wide(std_long, std), [*pk.BY_CHANNEL, "scan"]), smp.join(wide(smp_long, smp), [*pk.BY_CHANNEL, "scan"])
+    wells = trace.groupBy("plate").agg(F.countDistinct("well").alias("wells"))
+    quality = std.groupBy("plate").agg(F.count(F.lit(1)).alias("n"), F.percentile("fwhm", F.lit(0.5)).alias("s")).join(smp.groupBy("plate").agg(F.percentile("fwhm", F.lit(0.5)).alias("m")), "plate", "full")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    graded = wells.join(quality, "plate", "left").select("plate", gt.quality_grade(z("n") / F.col("wells"), z("s"), z("m")).alias("grade"))
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in gt.FWHM_LIMITS.items() for x in kv]), F.col("grade"))
+    used = smp.join(graded, "plate").where(F.col("fwhm") <= limit).drop("grade")
+    near = nearest(used.select(*WELL, F.col("scan").alias("at")), std.select(*WELL, "scan", F.col("area").alias("standard")), WELL, "at", "scan", high - low, [*WELL, "at"]).select(*WELL, F.col("at").alias("scan"), "standard")
+    norm = used.join(near, [*WELL, "scan"], "left").withColumn("norm", F.when(F.col("standard").isNull(), 0.0).otherwise(F.col("area") / F.greatest("standard", F.lit(1.0))))
+    lists = norm.groupBy(*WELL).agg(F.array_sort(F.collect_list(F.struct("scan", "norm"))).alias("p")).select(*WELL, F.col("p.scan").alias("scans"), F.col("p.norm").alias("norm_areas"))
+    d = trace.select(*WELL).distinct().join(graded, "plate").join(gt.mutant_fraction(used), WELL, "left").join(lists, WELL, "left")
+    return d.select(
+        *WELL, "grade", F.coalesce("n_peaks", F.lit(0)).cast("long").alias("n_peaks"), z("mf").alias("mf"), F.coalesce("status", F.lit("no peaks")).alias("status"),
+        F.coalesce("scans", F.expr("cast(array() as array<bigint>)")).alias("scans"), F.coalesce("norm_areas", F.expr("cast(array() as array<double>)")).alias("norm_areas"),
+    )
+
+
 def _tallest(long: DataFrame) -> DataFrame:
     """Number, place and height of the tallest (first of equals) of a channel's peaks over max(50, 3 noise), half of it in prominence."""
 

@@ -119,12 +119,27 @@ def normalise_current(trace: DataFrame) -> DataFrame:
 
 
 def align_to_peak(trace: DataFrame, channel: str) -> DataFrame:
-    """Shift each well so that its greatest sample (the first of equals) stands at the plate's median place."""
+    """Shift each well so that its greatest sample (the first of equals) stands at the plate's median place: a plain form of ``align_to_left_edge`` without a detector."""
     place = trace.groupBy(*WELL).agg(F.max(F.struct(F.col(channel), (-F.col("scan")).alias("s"))).alias("_t")).select(*WELL, (-F.col("_t.s")).alias("_place"))
     shift = place.withColumn("shift", F.percentile("_place", F.lit(0.5)).over(Window.partitionBy("plate")) - F.col("_place")).select(*WELL, "shift")
     return trace.join(shift, WELL).withColumn("scan_pos", F.col("scan") + F.col("shift"))
 
 
+def align_to_left_edge(trace: DataFrame, peaks: DataFrame, place: str = "scan") -> DataFrame:
+    """Shift each well so that the left edge of its tallest peak stands at the plate's median of such edges.
+
+    ``peaks``: plate, well, channel, scan, height, and ``left_at``, the edge in scans from the trace's start, between two of which the
+    column ``place`` is interpolated. Of equal heights the lower scan counts, then the first channel. Wells without peaks stay where they are (shift 0).
+    """
+    top = peaks.groupBy(*WELL).agg(F.max_by("left_at", F.struct("height", (-F.col("scan")).alias("s"), (-F.substring("channel", 2, 9).cast("int")).alias("c"))).alias("_edge"))
+    w = st.scans()
+    ends = trace.select(*WELL, F.col("scan").alias("_scan"), F.col(place).cast("double").alias("_at"), F.coalesce(F.lead(F.col(place).cast("double")).over(w), F.col(place)).alias("_next"))
+    edge = top.withColumn("_scan", F.floor("_edge")).join(ends, [*WELL, "_scan"]).withColumn("_left", F.col("_at") + (F.col("_next") - F.col("_at")) * (F.col("_edge") - F.col("_scan")))
+    shift = edge.withColumn("shift", F.percentile("_left", F.lit(0.5)).over(Window.partitionBy("plate")) - F.col("_left")).select(*WELL, "shift")
+    d = trace.join(shift, WELL, "left").withColumn("shift", F.coalesce("shift", F.lit(0.0)))
+    return d.withColumn("scan_pos", F.col(place) + F.col("shift"))
+
+
 def resample(long: DataFrame, points: int) -> DataFrame:
     """Linear interpolation on ``points`` places from the first scan to the last: each gap makes the places inside it, without a join."""
     w = st.scans("channel")

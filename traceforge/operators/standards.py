@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,6 +48,85 @@ def best_four(candidates: DataFrame, group: list[str], place: str = "scan", scor
     return sets.withColumn("total", F.round(total, 6)).withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
+def farthest_spread(candidates: DataFrame, n: int = 4, least: float = 100) -> DataFrame:
+    """Reference places of a plate where no set of four fits: the best-scored candidate, then again and again the one of the greatest
+    distance to the nearest chosen one times its score, while that is ``least`` or more.
+
+    ``candidates``: plate, scan, score, at most some dozens a plate. Plates that reach fewer than max(2, n - 1) have none. Of equals the earlier candidate by
+    score, then scan. Places are rounded half to even.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "scan"], ascending=[False, True], kind="stable")
+        place, score = pdf["scan"].to_numpy(float), pdf["score"].to_numpy(float)
+        chosen, free = [0], list(range(1, len(pdf)))
+        while len(chosen) < n and free:
+            value = [np.abs(place[i] - place[chosen]).min() * score[i] for i in free]
+            j = int(np.argmax(value))
+            if value[j] < least:
+                break
+            chosen.append(free.pop(j))
+        at = sorted(int(np.rint(place[i])) for i in chosen) if len(chosen) >= max(2, n - 1) else []
+        return pd.DataFrame({"plate": [pdf["plate"].iloc[0]] * len(at), "ref_idx": range(1, len(at) + 1), "ref_scan": at})
+
+    kind = candidates.schema["plate"].dataType.simpleString()
+    return candidates.select("plate", "scan", "score").groupBy("plate").applyInPandas(run, f"plate {kind}, ref_idx long, ref_scan long")
+
+
+def plate_references(candidates: DataFrame, manual: DataFrame, n: int = 4) -> DataFrame:
+    """References of each plate (plate, ref_idx, ref_scan, how): the best four of its consistent candidates, else the farthest spread ones, else those set by hand.
+
+    Plates with fewer than ``n`` candidates have none of their own. ``manual``: plate, ref_idx, ref_scan.
+    """
+    enough = candidates.groupBy("plate").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n).select("plate")
+    c = candidates.join(enough, "plate", "left_semi")
+    four = best_four(c, ["plate"]).select("plate", F.posexplode(F.array("p1", "p2", "p3", "p4")).alias("i", "p"))
+    four = four.select("plate", (F.col("i") + 1).cast("long").alias("ref_idx"), F.col("p").cast("long").alias("ref_scan"), F.lit("pattern").alias("how"))
+    spread = farthest_spread(c.join(four.select("plate").distinct(), "plate", "left_anti"), n).withColumn("how", F.lit("spread"))
+    own = four.unionByName(spread)
+    rest = manual.join(own.select("plate").distinct(), "plate", "left_anti")
+    return own.unionByName(rest.select("plate", F.col("ref_idx").cast("long").alias("ref_idx"), F.col("ref_scan").cast("long").alias("ref_scan"), F.lit("manual").alias("how")))
+
+
+def greedy_references(references: DataFrame, peaks: DataFrame, within: int = 150) -> DataFrame:
+    """Each reference in order takes the nearest peak of a well that no earlier one took and that is no farther than ``within``; of equals the lower one.
+
+    ``references``: plate, ref_idx, ref_scan; ``peaks``: plate, well, scan, of any number of sources. Folded over the references inside a well's row.
+    """
+    wells = peaks.groupBy(*WELL).agg(F.collect_set(F.col("scan").cast("long")).alias("p"))
+    refs = references.groupBy("plate").agg(F.array_sort(F.collect_list(F.struct(F.col("ref_idx").cast("long").alias("ref_idx"), F.col("ref_scan").cast("long").alias("ref_scan")))).alias("r"))
+    empty = F.expr("cast(array() as array<struct<ref_idx:bigint,ref_scan:bigint,scan:bigint>>)")
+
+    def step(taken: Column, ref: Column) -> Column:
+        far = lambda x: F.abs(x - ref["ref_scan"])
+        free = F.filter("p", lambda x: (far(x) <= within) & ~F.array_contains(F.transform(taken, lambda t: t["scan"]), x))
+        best = F.array_min(F.transform(free, lambda x: F.struct(far(x).alias("d"), x.alias("s"))))
+        return F.when(best.isNull(), taken).otherwise(F.concat(taken, F.array(F.struct(ref["ref_idx"].alias("ref_idx"), ref["ref_scan"].alias("ref_scan"), best["s"].alias("scan")))))
+
+    return wells.join(refs, "plate").select(*WELL, F.inline(F.aggregate("r", empty, step)))
+
+
+def standard_examples(features: DataFrame, candidates: DataFrame, marked: DataFrame, n: int = 4) -> DataFrame:
+    """Rows that a classifier of standard peaks learns from: in wells with exactly ``n`` marked peaks these (label 1), and the first 2 n other candidates by scan (label 0).
+
+    ``features``: plate, well, scan and columns; ``candidates`` and ``marked``: plate, well, scan.
+    """
+    m = marked.select(*WELL, "scan").distinct()
+    usable = m.groupBy(*WELL).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == n).select(*WELL)
+    good = m.join(usable, WELL, "left_semi").withColumn("label", F.lit(1.0))
+    order = Window.partitionBy(*WELL).orderBy("scan")
+    others = candidates.select(*WELL, "scan").distinct().join(usable, WELL, "left_semi").join(m, [*WELL, "scan"], "left_anti")
+    bad = others.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= 2 * n).select(*WELL, "scan", F.lit(0.0).alias("label"))
+    return features.join(good.unionByName(bad), [*WELL, "scan"])
+
+
+def best_scored(scored: DataFrame, n: int = 4) -> DataFrame:
+    """The ``n`` best-scored candidates of each well (plate, well, scan, score), of equals the lower scan, numbered by scan."""
+    order = Window.partitionBy(*WELL).orderBy(F.desc("score"), "scan")
+    top = scored.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n)
+    return top.select(*WELL, "scan", "score", F.row_number().over(st.scans()).cast("long").alias("idx"))
+
+
 def match_references(references: DataFrame, peaks: DataFrame, within: float = 50, missing: int = 1) -> DataFrame:
     """Each reference's nearest peak in every well; wells that match at least max(2, references - missing) stay. ``references``: plate, ref_idx, ref_scan."""
     found = nearest(references, peaks, ["plate"], "ref_scan", "scan", within, ["plate", "well", "ref_idx"])

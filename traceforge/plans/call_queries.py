@@ -10,31 +10,26 @@ from pyspark.sql.window import Window
 from ..operators import basecall as bc
 from ..operators import chromatogram as ch
 from ..operators import learning as ln
-from ..operators import peaks as pk
 from ..operators import sequences as sq
 from ..operators import signal as sg
 from ..schema import CHANNELS, DISPLAY_MATRIX, MOBILITY_SEARCH, SPECTRAL_MATRIX, WELL
 from ..sources import sinks
 from ..streaming import ingest
 from . import views as v
-from .peak_queries import TOP
+from .peak_queries import ALL
 from .signal_queries import UN, _unmix_exprs
 from .views import PK, SM, TR, lg, sql
 
 REFERENCE = "ACGTTGCAACGGTTCAGTCAAGCTTGCATGCCTGCAGGTCGACTCTAGAGGATCCCCGGGTACCGAGCTCG"
 
 
-def _tall(spark: SparkSession, sf: str, n: int = 10) -> DataFrame:
-    return pk.top_peaks(v.peaks(spark, sf, ("c1", "c2")), n)
-
-
 def _dyed(spark: SparkSession, sf: str) -> DataFrame:
     return sg.unmix(v.trace(spark, sf), SPECTRAL_MATRIX)
 
 
 def chemistry_basecall(spark: SparkSession, sf: str) -> DataFrame:
     """BC-1."""
-    return bc.chemistry_calls(_tall(spark, sf), v.trace(spark, sf), "TSII-v2").withColumn("quality", F.col("quality").cast("long"))
+    return bc.chemistry_calls(v.peaks(spark, sf, ("c1", "c2")), v.trace(spark, sf), "TSII-v2").withColumn("quality", F.col("quality").cast("long"))
 
 
 def cimarron_quality(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,24 +37,24 @@ def cimarron_quality(spark: SparkSession, sf: str) -> DataFrame:
     bc.check_matrix(SPECTRAL_MATRIX)
     d = _dyed(spark, sf)
     noise = d.groupBy(*WELL).agg(*[(F.stddev_pop(F.when(F.col("scan") < 200, F.col(x))) + 1e-8).alias(f"noise_{x}") for x in bc.DYES])
-    return bc.dye_calls(d, pk.top_peaks(v.peaks(spark, sf), 10), noise).withColumns({"quality": F.col("quality").cast("long"), "dye": F.col("dye").cast("long")})
+    return bc.dye_calls(d, v.peaks(spark, sf), noise).withColumns({"quality": F.col("quality").cast("long"), "dye": F.col("dye").cast("long")})
 
 
 def mobility_search(spark: SparkSession, sf: str) -> DataFrame:
     """BC-4 and BC-5."""
-    d = bc.mobility_search(_dyed(spark, sf), pk.top_peaks(v.peaks(spark, sf), 10))
+    d = bc.mobility_search(_dyed(spark, sf), v.peaks(spark, sf))
     return d.select(*WELL, "scan", F.col("dye").cast("long").alias("dye"), F.col("offset").cast("long").alias("offset"), F.round("share", 4).alias("share"))
 
 
 def gap_check(spark: SparkSession, sf: str) -> DataFrame:
     """BC-6."""
-    d = bc.gap_check(bc.chemistry_calls(pk.top_peaks(v.peaks(spark, sf), 40), v.trace(spark, sf), "Cimarron"))
+    d = bc.gap_check(bc.chemistry_calls(v.peaks(spark, sf), v.trace(spark, sf), "Cimarron"))
     return d.select(*WELL, "scan", "gap", "median_gap", "wide_gap", F.col("quality").cast("long").alias("quality"), "base")
 
 
 def even_spacing(spark: SparkSession, sf: str) -> DataFrame:
     """BC-8: a fold over each well's calls."""
-    d = bc.even_spacing(bc.chemistry_calls(pk.top_peaks(v.peaks(spark, sf), 40), v.trace(spark, sf), "Cimarron"))
+    d = bc.even_spacing(bc.chemistry_calls(v.peaks(spark, sf), v.trace(spark, sf), "Cimarron"))
     return d.withColumn("quality", F.col("quality").cast("long"))
 
 
@@ -82,7 +77,7 @@ def scan_calls(spark: SparkSession, sf: str) -> DataFrame:
 
 def model_calls(spark: SparkSession, sf: str) -> DataFrame:
     """BC-10 with a linear scorer: softmax of the window's middle z-scores."""
-    places = pk.top_peaks(v.peaks(spark, sf), 5).select(*WELL, F.col("scan").alias("position"))
+    places = v.peaks(spark, sf).select(*WELL, F.col("scan").alias("position"))
 
     def scorer(x: np.ndarray) -> np.ndarray:
         e = np.exp(x[:, x.shape[1] // 2, :])
@@ -191,7 +186,7 @@ def channel_profiles(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.joins import range_join
 
     d = v.trace(spark, sf).withColumn("total", F.col("c1") + F.col("c2")).select(*WELL, F.col("scan").alias("s"), "total", "c1", "c2")
-    p = pk.top_peaks(v.peaks(spark, sf, ("c3",)), 5).select(*WELL, "scan")
+    p = v.peaks(spark, sf, ("c3",)).select(*WELL, "scan")
     j = range_join(p, d, WELL, "s", F.col("scan") - 7, F.col("scan") + 7, 15)
     top = j.groupBy(*WELL, "scan").agg(F.max(F.struct("total", (-F.col("s")).alias("b"), "c1", "c2")).alias("t"))
     return top.select(*WELL, "scan", (-F.col("t.b")).alias("peak_scan"), "t.c1", "t.c2")
@@ -215,7 +210,7 @@ def matrix_confusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fitted_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """MX-6 and MX-7: accuracy of a fitted matrix, statistical."""
+    """MX-7: accuracy of a fitted matrix, statistical."""
     d = v.samples(spark, sf).withColumn("y", (F.col("label") % 4).cast("double"))
     model = ln.fitted_matrix(d, "y", rounds=20)
     from pyspark.ml.feature import VectorAssembler
@@ -303,11 +298,6 @@ def grid_loss(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(*[F.round(c, 5).alias(c) for c in d.columns])
 
 
-def simulated(spark: SparkSession, sf: str) -> DataFrame:
-    """CN-4: seeded chromatograms, by number of peaks and total area."""
-    return ch.simulate(spark, 64, 1024).select("id", F.size("loc").alias("n_peaks"), F.aggregate("area", F.lit(0.0), lambda s, x: s + x).alias("area"))
-
-
 def gap_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """2.13: gap groups of events in time, as the stream makes them."""
     return ingest.gap_groups(v.table(spark, sf, "events"), "user_id", "ts", "2 hours", "1 day")
@@ -337,11 +327,11 @@ CLIP = lambda c: f"least(greatest({c}, 1e-7), 1 - 1e-7)"
 BCE = lambda t, p: f"-({t} * ln({CLIP(p)}) + (1 - {t}) * ln(1 - {CLIP(p)}))"
 
 QUERIES: v.Queries = {
-    "chemistry_basecall": (chemistry_basecall, sql("SELECT plate, well, scan, channel, base, quality FROM ca", TR, lg("c1", "c2"), PK, TOP(10), CALL(CHANNELS, "AGCT"))),
-    "cimarron_quality": (cimarron_quality, sql("SELECT plate, well, scan, dye, CASE WHEN quality < 10 THEN 'N' ELSE substr('TGCA', CAST(dye + 1 AS INTEGER), 1) END AS base, quality FROM (SELECT plate, well, scan, CAST(dye AS BIGINT) AS dye, CAST(least(round_even(50 * CASE WHEN t > 0 THEN own / t ELSE 0 END + 0.3 * least(5 * own / nz[dye + 1], 100) + 0.2 * least(10 * own / nz[dye + 1], 100), 0), 100) AS BIGINT) AS quality FROM (SELECT tp.plate, tp.well, tp.scan, " + AM4(bc.DYES) + " AS dye, greatest(d1, d2, d3, d4) AS own, d1 + d2 + d3 + d4 AS t, nz FROM tp JOIN dy USING (plate, well, scan) JOIN nz USING (plate, well)))", TR, lg("c1"), PK, TOP(10), DY, "nz AS (SELECT plate, well, [" + ", ".join(f"stddev_pop({x}) FILTER (WHERE scan < 200) + 1e-8" for x in bc.DYES) + "] AS nz FROM dy GROUP BY ALL)")),
-    "mobility_search": (mobility_search, sql('SELECT plate, well, peak AS scan, CAST(dye AS BIGINT) AS dye, CAST("offset" AS BIGINT) AS "offset", round(share, 4) AS share FROM (SELECT *, row_number() OVER (PARTITION BY plate, well, peak ORDER BY share DESC, nth) AS k FROM (SELECT t.plate, t.well, t.peak, t.dye, t.off AS "offset", t.nth, CASE WHEN s[1] + s[2] + s[3] + s[4] > 0 THEN s[t.dye + 1] / (s[1] + s[2] + s[3] + s[4]) ELSE 0 END AS share FROM (SELECT tp.plate, tp.well, tp.scan AS peak, m.*, greatest(2, least(tp.scan + off, n - 3)) AS spot FROM tp JOIN (SELECT plate, well, count(*) AS n FROM tr GROUP BY ALL) USING (plate, well), (VALUES ' + TRIES + ') m(dye, off, nth)) t JOIN su ON su.plate = t.plate AND su.well = t.well AND su.scan = t.spot)) WHERE k = 1', TR, lg("c1"), PK, TOP(10), DY, "su AS (SELECT plate, well, scan, [" + ", ".join(f"sum({x}) OVER f" for x in bc.DYES) + "] AS s FROM dy WINDOW f AS (PARTITION BY plate, well ORDER BY scan ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))")),
-    "gap_check": (gap_check, sql("SELECT plate, well, scan, gap, median_gap, wide_gap, quality, CASE WHEN quality < 10 THEN 'N' ELSE base END AS base FROM (SELECT plate, well, scan, gap, median_gap, w AS wide_gap, CASE WHEN w THEN quality // 2 ELSE quality END AS quality, base FROM (SELECT *, coalesce(n >= 3 AND median_gap >= 1 AND gap > 3 * median_gap AND gap > 2, false) AS w FROM (SELECT *, quantile_cont(gap, 0.5) OVER (PARTITION BY plate, well) AS median_gap, count(*) OVER (PARTITION BY plate, well) AS n FROM (SELECT *, lead(scan) OVER (PARTITION BY plate, well ORDER BY scan) - scan AS gap FROM ca))))", TR, lg("c1"), PK, TOP(40), CALL(CHANNELS, "TGCA"))),
-    "even_spacing": (even_spacing, sql("SELECT plate, well, scan, base, quality FROM r WHERE keep", TR, lg("c1"), PK, TOP(40), CALL(CHANNELS, "TGCA"), "gn AS (SELECT plate, well, greatest(2, floor(floor(quantile_cont(g, 0.5)) / 2)) AS need FROM (SELECT plate, well, scan - lag(scan) OVER (PARTITION BY plate, well ORDER BY scan) AS g FROM ca) GROUP BY ALL)", "o AS (SELECT ca.*, coalesce(need, 2) AS need, row_number() OVER (PARTITION BY plate, well ORDER BY scan) AS rn FROM ca JOIN gn USING (plate, well))", "r AS (SELECT plate, well, scan, base, quality, rn, true AS keep, scan AS last FROM o WHERE rn = 1 UNION ALL SELECT o.plate, o.well, o.scan, o.base, o.quality, o.rn, o.scan - r.last >= need, CASE WHEN o.scan - r.last >= need THEN o.scan ELSE r.last END FROM r JOIN o ON o.plate = r.plate AND o.well = r.well AND o.rn = r.rn + 1)", recursive=True)),
+    "chemistry_basecall": (chemistry_basecall, sql("SELECT plate, well, scan, channel, base, quality FROM ca", TR, lg("c1", "c2"), PK, ALL, CALL(CHANNELS, "AGCT"))),
+    "cimarron_quality": (cimarron_quality, sql("SELECT plate, well, scan, dye, CASE WHEN quality < 10 THEN 'N' ELSE substr('TGCA', CAST(dye + 1 AS INTEGER), 1) END AS base, quality FROM (SELECT plate, well, scan, CAST(dye AS BIGINT) AS dye, CAST(least(round_even(50 * CASE WHEN t > 0 THEN own / t ELSE 0 END + 0.3 * least(5 * own / nz[dye + 1], 100) + 0.2 * least(10 * own / nz[dye + 1], 100), 0), 100) AS BIGINT) AS quality FROM (SELECT tp.plate, tp.well, tp.scan, " + AM4(bc.DYES) + " AS dye, greatest(d1, d2, d3, d4) AS own, d1 + d2 + d3 + d4 AS t, nz FROM tp JOIN dy USING (plate, well, scan) JOIN nz USING (plate, well)))", TR, lg("c1"), PK, ALL, DY, "nz AS (SELECT plate, well, [" + ", ".join(f"stddev_pop({x}) FILTER (WHERE scan < 200) + 1e-8" for x in bc.DYES) + "] AS nz FROM dy GROUP BY ALL)")),
+    "mobility_search": (mobility_search, sql('SELECT plate, well, peak AS scan, CAST(dye AS BIGINT) AS dye, CAST("offset" AS BIGINT) AS "offset", round(share, 4) AS share FROM (SELECT *, row_number() OVER (PARTITION BY plate, well, peak ORDER BY share DESC, nth) AS k FROM (SELECT t.plate, t.well, t.peak, t.dye, t.off AS "offset", t.nth, CASE WHEN s[1] + s[2] + s[3] + s[4] > 0 THEN s[t.dye + 1] / (s[1] + s[2] + s[3] + s[4]) ELSE 0 END AS share FROM (SELECT tp.plate, tp.well, tp.scan AS peak, m.*, greatest(2, least(tp.scan + off, n - 3)) AS spot FROM tp JOIN (SELECT plate, well, count(*) AS n FROM tr GROUP BY ALL) USING (plate, well), (VALUES ' + TRIES + ') m(dye, off, nth)) t JOIN su ON su.plate = t.plate AND su.well = t.well AND su.scan = t.spot)) WHERE k = 1', TR, lg("c1"), PK, ALL, DY, "su AS (SELECT plate, well, scan, [" + ", ".join(f"sum({x}) OVER f" for x in bc.DYES) + "] AS s FROM dy WINDOW f AS (PARTITION BY plate, well ORDER BY scan ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))")),
+    "gap_check": (gap_check, sql("SELECT plate, well, scan, gap, median_gap, wide_gap, quality, CASE WHEN quality < 10 THEN 'N' ELSE base END AS base FROM (SELECT plate, well, scan, gap, median_gap, w AS wide_gap, CASE WHEN w THEN quality // 2 ELSE quality END AS quality, base FROM (SELECT *, coalesce(n >= 3 AND median_gap >= 1 AND gap > 3 * median_gap AND gap > 2, false) AS w FROM (SELECT *, quantile_cont(gap, 0.5) OVER (PARTITION BY plate, well) AS median_gap, count(*) OVER (PARTITION BY plate, well) AS n FROM (SELECT *, lead(scan) OVER (PARTITION BY plate, well ORDER BY scan) - scan AS gap FROM ca))))", TR, lg("c1"), PK, ALL, CALL(CHANNELS, "TGCA"))),
+    "even_spacing": (even_spacing, sql("SELECT plate, well, scan, base, quality FROM r WHERE keep", TR, lg("c1"), PK, ALL, CALL(CHANNELS, "TGCA"), "gn AS (SELECT plate, well, greatest(2, floor(floor(quantile_cont(g, 0.5)) / 2)) AS need FROM (SELECT plate, well, scan - lag(scan) OVER (PARTITION BY plate, well ORDER BY scan) AS g FROM ca) GROUP BY ALL)", "o AS (SELECT ca.*, coalesce(need, 2) AS need, row_number() OVER (PARTITION BY plate, well ORDER BY scan) AS rn FROM ca JOIN gn USING (plate, well))", "r AS (SELECT plate, well, scan, base, quality, rn, true AS keep, scan AS last FROM o WHERE rn = 1 UNION ALL SELECT o.plate, o.well, o.scan, o.base, o.quality, o.rn, o.scan - r.last >= need, CASE WHEN o.scan - r.last >= need THEN o.scan ELSE r.last END FROM r JOIN o ON o.plate = r.plate AND o.well = r.well AND o.rn = r.rn + 1)", recursive=True)),
     "run_length_islands": (run_length_islands, sql("SELECT plate, well, cls, min(scan) AS first_scan, max(scan) AS last_scan, arg_min(scan, (-conf, scan)) AS scan, max(conf) AS conf FROM (SELECT *, sum(fresh) OVER (PARTITION BY plate, well ORDER BY scan) AS run FROM (SELECT *, CASE WHEN cls <> lag(cls) OVER w OR scan <> lag(scan) OVER w + 1 THEN 1 ELSE 0 END AS fresh FROM cl WHERE cls < 4 AND conf >= 0.6 WINDOW w AS (PARTITION BY plate, well ORDER BY scan))) GROUP BY plate, well, run, cls", TR, CL)),
     "scan_calls": (scan_calls, None),
     "model_calls": (model_calls, None),
@@ -360,7 +350,7 @@ QUERIES: v.Queries = {
     "method_ranking": (method_ranking, sql("SELECT *, row_number() OVER (ORDER BY mean DESC, variant) AS rank FROM (SELECT CAST(l_linenumber AS BIGINT) AS variant, count(*) AS n, round(avg(l_discount * 10), 6) AS mean, round(quantile_cont(l_discount * 10, 0.5), 6) AS median, round(min(l_discount * 10), 6) AS least, round(max(l_discount * 10), 6) AS greatest, round(stddev_pop(l_discount * 10), 6) AS deviation FROM lineitem WHERE l_discount > 0 GROUP BY ALL)", "one AS (SELECT 1)")),
     "emission_matrix": (emission_matrix, sql("SELECT base, " + ", ".join(f"round(avg({c}) / (avg(c1) + avg(c2) + avg(c3) + avg(c4)), 6) AS e_{c}" for c in CHANNELS) + " FROM sa GROUP BY base", SM, SA)),
     "base_channel_stats": (base_channel_stats, sql("SELECT base, count(*) AS n, " + ", ".join(f"round(avg({c}), 5) AS m_{c}, round(stddev_samp({c}), 5) AS s_{c}, round(avg({c}) / greatest(avg(c1), avg(c2), avg(c3), avg(c4)), 5) AS r_{c}" for c in CHANNELS) + " FROM sa GROUP BY base", SM, SA)),
-    "channel_profiles": (channel_profiles, sql("SELECT tp.plate, tp.well, tp.scan, arg_min(tr.scan, (-(c1 + c2), tr.scan)) AS peak_scan, arg_min(c1, (-(c1 + c2), tr.scan)) AS c1, arg_min(c2, (-(c1 + c2), tr.scan)) AS c2 FROM tp JOIN tr ON tp.plate = tr.plate AND tp.well = tr.well AND abs(tp.scan - tr.scan) <= 7 GROUP BY tp.plate, tp.well, tp.scan", TR, lg("c3"), PK, TOP(5))),
+    "channel_profiles": (channel_profiles, sql("SELECT tp.plate, tp.well, tp.scan, arg_min(tr.scan, (-(c1 + c2), tr.scan)) AS peak_scan, arg_min(c1, (-(c1 + c2), tr.scan)) AS c1, arg_min(c2, (-(c1 + c2), tr.scan)) AS c2 FROM tp JOIN tr ON tp.plate = tr.plate AND tp.well = tr.well AND abs(tp.scan - tr.scan) <= 7 GROUP BY tp.plate, tp.well, tp.scan", TR, lg("c3"), PK, ALL)),
     "max_channel_classify": (max_channel_classify, CONF(MAXB)),
     "rule_classify": (rule_classify, CONF(f"CASE WHEN c1 = greatest(c1, c2, c3, c4) AND c1 > 1.2 * c2 THEN 'T' WHEN c3 = greatest(c1, c2, c3, c4) AND c3 > 1.2 * c4 THEN 'C' WHEN c2 >= 0.9 * c1 THEN 'G' WHEN c4 / nullif(c3, 0) BETWEEN 0.8 AND 3.0 THEN 'A' ELSE {MAXB} END")),
     "matrix_confusion": (matrix_confusion, CONF("substr('TGCA', CAST(" + AM4(DD) + " + 1 AS INTEGER), 1)")),
@@ -376,7 +366,6 @@ QUERIES: v.Queries = {
     "grid_metrics": (grid_metrics, sql("SELECT round(count(*) FILTER (WHERE p > 0.5 AND truth = 1) / count(*) FILTER (WHERE truth = 1), 6) AS tpr, round(count(*) FILTER (WHERE p > 0.5 AND truth = 0) / count(*) FILTER (WHERE truth = 0), 6) AS fpr, round(avg(CAST((p > 0.5) = (truth = 1) AS INTEGER)), 6) AS accuracy, round(avg(abs(rel - rel_true)) FILTER (WHERE truth = 1 AND p > 0.5), 6) AS mae_loc, round(avg(abs(area - area_true) / area_true) FILTER (WHERE truth = 1 AND p > 0.5), 6) AS mre_area, round(avg(abs(rel - rel_true) / rel_true) FILTER (WHERE truth = 1 AND p > 0.5), 6) AS mre_loc FROM ce", CE)),
     "grid_auc": (grid_auc, sql("SELECT round(sum(pos * (coalesce(u, 0) + neg / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM (SELECT *, sum(neg) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM (SELECT floor(p * 1000) AS b, CAST(count(*) FILTER (WHERE truth = 1) AS DOUBLE) AS pos, CAST(count(*) FILTER (WHERE truth = 0) AS DOUBLE) AS neg FROM ce GROUP BY ALL))", CE)),
     "grid_loss": (grid_loss, sql(f"SELECT round(avg({BCE('truth', 'p')}), 5) AS prob, round(avg({BCE('rel_true', 'rel')}) FILTER (WHERE truth = 1), 5) AS loc, round(avg(abs(area - area_true) / area_true) FILTER (WHERE truth = 1), 5) AS area FROM ce", CE)),
-    "simulated": (simulated, None),
     "gap_sessions": (gap_sessions, sql("SELECT user_id, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 2 HOURS THEN 1 ELSE 0 END AS cut FROM events)) GROUP BY user_id, g", "one AS (SELECT 1)")),
     "window_totals": (window_totals, sql("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL", "one AS (SELECT 1)")),
 }

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stencils as st
-from ..operators import peaks as pk
 from ..operators import signal as sg
 from ..schema import DISPLAY_MATRIX, SPECTRAL_MATRIX
 from . import views as v
@@ -94,7 +93,15 @@ def current_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def align_shift(spark: SparkSession, sf: str) -> DataFrame:
-    """PRE-11."""
+    """PRE-11: by the left edge of the tallest peak that the detector finds in any channel; sequential in its peaks, tested on hand vectors."""
+    from ..operators.peaks import detect_default
+
+    d = sg.align_to_left_edge(v.trace(spark, sf), detect_default(v.long(spark, sf)))
+    return _rounded(d, "shift", "scan_pos").select("plate", "well", "scan", "shift", "scan_pos")
+
+
+def align_tallest_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """PRE-11 in its plain form: by the greatest sample."""
     return sg.align_to_peak(v.trace(spark, sf), "c1").select("plate", "well", "scan", "shift", "scan_pos")
 
 
@@ -116,8 +123,8 @@ def max_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def window_zscore(spark: SparkSession, sf: str) -> DataFrame:
-    """PRE-13 and PRE-14: windows of 31 around the five tallest peaks of a well, z-scored; their middle and first values."""
-    places = pk.top_peaks(v.peaks(spark, sf), 5).select("plate", "well", F.col("scan").alias("position"))
+    """PRE-13 and PRE-14: windows of 31 around all peaks of a well, z-scored; their middle and first values."""
+    places = v.peaks(spark, sf).select("plate", "well", F.col("scan").alias("position"))
     d = sg.windows(v.trace(spark, sf), places, 15, ["c1", "c3"])
     z = {c: sg.zscored(F.col(f"x_{c}")) for c in ("c1", "c3")}
     return d.select("plate", "well", "position", *[F.round(F.get(z[c], F.lit(i)), 4).alias(f"{c}_{n}") for c in z for i, n in ((15, "mid"), (0, "first"))])
@@ -125,7 +132,7 @@ def window_zscore(spark: SparkSession, sf: str) -> DataFrame:
 
 def shift_augment(spark: SparkSession, sf: str) -> DataFrame:
     """PRE-15: windows moved by -4 and 4 places, zeros moving in; the sum of what stays."""
-    places = pk.top_peaks(v.peaks(spark, sf), 5).select("plate", "well", F.col("scan").alias("position"))
+    places = v.peaks(spark, sf).select("plate", "well", F.col("scan").alias("position"))
     d = sg.windows(v.trace(spark, sf), places, 15, ["c1"])
     total = lambda k: F.round(F.aggregate(sg.shifted(F.col("x_c1"), k), F.lit(0.0), lambda s, x: s + x), 2)
     return d.select("plate", "well", "position", total(-4).alias("minus_4"), total(4).alias("plus_4"))
@@ -143,7 +150,7 @@ def als_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(sg.als_baseline(v.long(spark, sf, ("c1",)), 1e5), "baseline", "corrected", to=3)
 
 
-TOP5 = "p5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plate, well, channel ORDER BY height DESC, scan) AS k FROM pk) WHERE k <= 5)"
+P5 = "p5 AS (SELECT *, 1 AS k FROM pk)"
 UN = _unmix_exprs(SPECTRAL_MATRIX)
 UD = _unmix_exprs(DISPLAY_MATRIX)
 
@@ -160,12 +167,13 @@ QUERIES: v.Queries = {
     "mad_attenuate": (mad_attenuate, sql("SELECT plate, well, channel, scan, y, round(least(greatest(y, m - 5 * (d + 1e-8)), m + 5 * (d + 1e-8)), 4) AS clipped FROM (SELECT *, list_median(list_transform(a, lambda x: abs(x - m))) AS d FROM q)", TR, lg("c1"), "q AS (SELECT *, list(y) OVER w AS a, quantile_cont(y, 0.5) OVER w AS m FROM lg WINDOW w AS (PARTITION BY plate, well, channel ORDER BY scan ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING))")),
     "spectral_unmix": (spectral_unmix, sql("SELECT plate, well, scan, " + ", ".join(f"round({e}, 3) AS d{i + 1}" for i, e in enumerate(UN)) + " FROM tr", TR)),
     "current_normalize": (current_normalize, sql("SELECT tr.plate, tr.well, scan, round(scan * CASE WHEN own <> 0 THEN own / mid ELSE 1 END, 4) AS scan_pos FROM tr JOIN p USING (plate, well)", TR, "p AS (SELECT plate, well, own, avg(own) OVER (PARTITION BY plate) AS mid FROM (SELECT plate, well, avg(current) AS own FROM tr GROUP BY ALL))")),
-    "align_shift": (align_shift, sql("SELECT tr.plate, tr.well, scan, s AS shift, scan + s AS scan_pos FROM tr JOIN h USING (plate, well)", TR, "g AS (SELECT plate, well, scan AS spot FROM (SELECT *, row_number() OVER (PARTITION BY plate, well ORDER BY c1 DESC, scan) AS k FROM tr) WHERE k = 1)", "h AS (SELECT plate, well, quantile_cont(spot, 0.5) OVER (PARTITION BY plate) - spot AS s FROM g)")),
+    "align_shift": (align_shift, None),
+    "align_tallest_sample": (align_tallest_sample, sql("SELECT tr.plate, tr.well, scan, s AS shift, scan + s AS scan_pos FROM tr JOIN h USING (plate, well)", TR, "g AS (SELECT plate, well, scan AS spot FROM (SELECT *, row_number() OVER (PARTITION BY plate, well ORDER BY c1 DESC, scan) AS k FROM tr) WHERE k = 1)", "h AS (SELECT plate, well, quantile_cont(spot, 0.5) OVER (PARTITION BY plate) - spot AS s FROM g)")),
     "transform_chain": (transform_chain, sql(f"SELECT tr.plate, tr.well, scan, round(scan * CASE WHEN own <> 0 THEN own / mid ELSE 1 END + s, 3) AS scan_pos, round({UD[0]}, 3) AS d1, round({UD[1]}, 3) AS d2 FROM tr JOIN p USING (plate, well) JOIN h USING (plate, well)", TR, "p AS (SELECT plate, well, own, avg(own) OVER (PARTITION BY plate) AS mid FROM (SELECT plate, well, avg(current) AS own FROM tr GROUP BY ALL))", "g AS (SELECT plate, well, scan AS spot FROM (SELECT *, row_number() OVER (PARTITION BY plate, well ORDER BY c1 DESC, scan) AS k FROM tr) WHERE k = 1)", "h AS (SELECT plate, well, quantile_cont(spot, 0.5) OVER (PARTITION BY plate) - spot AS s FROM g)")),
     "resample_grid": (resample_grid, sql("SELECT g.plate, g.well, g.channel, i AS point, round(a.y + (coalesce(b.y, a.y) - a.y) * ((i * greatest(n - 1, 1) - (i * greatest(n - 1, 1)) // 127 * 127) / 127.0), 4) AS y FROM g JOIN lg a ON a.plate = g.plate AND a.well = g.well AND a.channel = g.channel AND a.scan = (i * greatest(n - 1, 1)) // 127 LEFT JOIN lg b ON b.plate = g.plate AND b.well = g.well AND b.channel = g.channel AND b.scan = a.scan + 1", TR, lg("c1", "c3"), "g AS (SELECT plate, well, channel, n, i FROM (SELECT plate, well, channel, count(*) AS n FROM lg GROUP BY ALL), range(0, 128) t(i))")),
     "max_normalize": (max_normalize, sql("SELECT plate, well, channel, scan, y, round(CASE WHEN m > 0 THEN y / m ELSE y END, 6) AS scaled FROM (SELECT *, max(y) OVER (PARTITION BY plate, well, channel) AS m FROM lg)", TR, lg("c1", "c2"))),
-    "window_zscore": (window_zscore, sql("SELECT plate, well, scan AS position, " + ", ".join(f"round(({e} - avg({c}) OVER f) / (stddev_pop({c}) OVER f + 1e-8), 4) AS {c}_{n}" for c in ("c1", "c3") for e, n in ((c, "mid"), (f"first_value({c}) OVER f", "first"))) + ", n, k FROM (SELECT tr.*, count(*) OVER (PARTITION BY plate, well) AS n, p5.k FROM tr LEFT JOIN p5 USING (plate, well, scan)) WINDOW f AS (PARTITION BY plate, well ORDER BY scan ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)", TR, lg("c1"), v.PK, TOP5)),
-    "shift_augment": (shift_augment, sql("SELECT plate, well, scan AS position, round(sum(c1) OVER f1, 2) AS minus_4, round(sum(c1) OVER f2, 2) AS plus_4, n, k FROM (SELECT tr.*, count(*) OVER (PARTITION BY plate, well) AS n, p5.k FROM tr LEFT JOIN p5 USING (plate, well, scan)) WINDOW f1 AS (PARTITION BY plate, well ORDER BY scan ROWS BETWEEN 11 PRECEDING AND 15 FOLLOWING), f2 AS (PARTITION BY plate, well ORDER BY scan ROWS BETWEEN 15 PRECEDING AND 11 FOLLOWING)", TR, lg("c1"), v.PK, TOP5)),
+    "window_zscore": (window_zscore, sql("SELECT plate, well, scan AS position, " + ", ".join(f"round(({e} - avg({c}) OVER f) / (stddev_pop({c}) OVER f + 1e-8), 4) AS {c}_{n}" for c in ("c1", "c3") for e, n in ((c, "mid"), (f"first_value({c}) OVER f", "first"))) + ", n, k FROM (SELECT tr.*, count(*) OVER (PARTITION BY plate, well) AS n, p5.k FROM tr LEFT JOIN p5 USING (plate, well, scan)) WINDOW f AS (PARTITION BY plate, well ORDER BY scan ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)", TR, lg("c1"), v.PK, P5)),
+    "shift_augment": (shift_augment, sql("SELECT plate, well, scan AS position, round(sum(c1) OVER f1, 2) AS minus_4, round(sum(c1) OVER f2, 2) AS plus_4, n, k FROM (SELECT tr.*, count(*) OVER (PARTITION BY plate, well) AS n, p5.k FROM tr LEFT JOIN p5 USING (plate, well, scan)) WINDOW f1 AS (PARTITION BY plate, well ORDER BY scan ROWS BETWEEN 11 PRECEDING AND 15 FOLLOWING), f2 AS (PARTITION BY plate, well ORDER BY scan ROWS BETWEEN 15 PRECEDING AND 11 FOLLOWING)", TR, lg("c1"), v.PK, P5)),
     "display_markers": (display_markers, sql("SELECT plate, well, scan, current / 10 AS current_10, round(c1 + 0.03 * (max(c1) OVER w - min(c1) OVER w), 4) AS marker FROM tr WINDOW w AS (PARTITION BY plate, well)", TR)),
     "als_baseline": (als_baseline, None),
 }

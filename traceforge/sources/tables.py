@@ -131,3 +131,8 @@ def settings(path: str, defaults: dict) -> dict:
             return defaults | json.load(f)
     except FileNotFoundError:
         return dict(defaults)
+
+
+def plates_like(plates: DataFrame, prefix: str, column: str = "plate") -> DataFrame:
+    """Rows of the plates whose folder name starts so: a filter that reaches the scan, and prunes folders where plates are partitions."""
+    return plates.where(F.startswith(F.col(column), F.lit(prefix)))
