@@ -170,8 +170,12 @@ def _table(counts: DataFrame, languages: list[str]) -> tuple[dict[str, int], np.
 def fit(documents: DataFrame) -> Model:
     """A model from rows with a lang that are not held out."""
     labelled = documents.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))  # one row per language
-    drawn = labelled.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("rows")) < TRAIN_ROWS)
+    # A row per language: the sample is drawn where the texts are read, none of them travels.
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not sizes:
+        return Model([], {}, {}, np.zeros((0, 0)), np.zeros((0, 0)))
+    rows = F.create_map(*[F.lit(x) for kv in sorted(sizes.items()) for x in kv])
+    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.element_at(rows, F.col("lang"))) < TRAIN_ROWS)
     counts = written(_counted(drawn), "word-counts")
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     ws, word_logs = _table(counts, languages)
