@@ -550,9 +550,9 @@ def warped(p, turn=0.0, scale=1.0):
 
 NOISE = np.random.default_rng(8)
 EDITS = {
-    "cut-out, darker": lambda p: media.edited(p, 13), "quarter turn": lambda p: np.ascontiguousarray(np.rot90(p)), "turned by 10": lambda p: warped(p, 10), "turned by 45": lambda p: warped(p, 45),
-    "twice the size": lambda p: warped(p, 0, 2), "1.5 times the size": lambda p: warped(p, 0, 1.5), "0.95 of the size": lambda p: warped(p, 0, 0.95), "blurred": lambda p: np.rint(media._box(p[None].astype(float), 1)[0]).astype(np.uint8),
-    "noisy": lambda p: np.clip(p + NOISE.normal(0, 8, p.shape), 0, 255).astype(np.uint8), "16 greys": lambda p: (p // 16 * 16 + 8).astype(np.uint8),
+    "cut-out, darker": lambda p: media.edited(p, 13), "quarter turn": lambda p: np.ascontiguousarray(np.rot90(p)), "twice the size": lambda p: warped(p, 0, 2),
+    "blurred": lambda p: np.rint(media._box(p[None].astype(float), 1)[0]).astype(np.uint8), "noisy": lambda p: np.clip(p + NOISE.normal(0, 8, p.shape), 0, 255).astype(np.uint8),
+    "16 greys": lambda p: (p // 16 * 16 + 8).astype(np.uint8),
 }
 MEDIA = "media_id long, width int, height int, pixels binary"
 
