@@ -50,7 +50,7 @@ def plate_run(trace: DataFrame, low: int = DUPLEX_REGION[0], high: int = DUPLEX_
     The grade comes from the standard peaks per well and the median half widths of standard and sample peaks; half widths of the sample over the
     grade's limit are left out before the fractions. Rows: plate, well, grade, n_peaks, mf, status, scans, norm_areas.
     """
-    inside = trace.where((F.col("scan") >= low) & (F.col("scan") < high))
+    inside = trace.where((F.col("scan") >= low) & (F.col("scan") < high)).withColumn("scan", F.col("scan") - low)
     std_long, smp_long = sg.to_long(inside, ["c3"]), sg.to_long(inside, ["c2"])
     std = pk.refine(pk.threshold_groups(std_long, 0.08, 6), 3, 0.1).select(*pk.BY_CHANNEL, "scan", "height", "area")
     smp = pk.refine(pk.threshold_groups(smp_long, 0.15, 6), 3, 0.15).select(*pk.BY_CHANNEL, "scan", "height", "area")
@@ -64,7 +64,7 @@ def plate_run(trace: DataFrame, low: int = DUPLEX_REGION[0], high: int = DUPLEX_
     used = smp.join(graded, "plate").where(F.col("fwhm") <= limit).drop("grade")
     near = nearest(used.select(*WELL, F.col("scan").alias("at")), std.select(*WELL, "scan", F.col("area").alias("standard")), WELL, "at", "scan", high - low, [*WELL, "at"]).select(*WELL, F.col("at").alias("scan"), "standard")
     norm = used.join(near, [*WELL, "scan"], "left").withColumn("norm", F.when(F.col("standard").isNull(), 0.0).otherwise(F.col("area") / F.greatest("standard", F.lit(1.0))))
-    lists = norm.groupBy(*WELL).agg(F.array_sort(F.collect_list(F.struct("scan", "norm"))).alias("p")).select(*WELL, F.col("p.scan").alias("scans"), F.col("p.norm").alias("norm_areas"))
+    lists = norm.groupBy(*WELL).agg(F.array_sort(F.collect_list(F.struct((F.col("scan") + low).alias("scan"), "norm"))).alias("p")).select(*WELL, F.col("p.scan").alias("scans"), F.col("p.norm").alias("norm_areas"))
     d = trace.select(*WELL).distinct().join(graded, "plate").join(gt.mutant_fraction(used), WELL, "left").join(lists, WELL, "left")
     return d.select(
         *WELL, "grade", F.coalesce("n_peaks", F.lit(0)).cast("long").alias("n_peaks"), z("mf").alias("mf"), F.coalesce("status", F.lit("no peaks")).alias("status"),

@@ -66,8 +66,9 @@ def farthest_spread(candidates: DataFrame, n: int = 4, least: float = 100) -> Da
             if value[j] < least:
                 break
             chosen.append(free.pop(j))
-        at = sorted(int(np.rint(place[i])) for i in chosen) if len(chosen) >= max(2, n - 1) else []
-        return pd.DataFrame({"plate": [pdf["plate"].iloc[0]] * len(at), "ref_idx": range(1, len(at) + 1), "ref_scan": at})
+        picked = sorted(chosen, key=lambda i: place[i]) if len(chosen) >= max(2, n - 1) else []
+        out = pdf.iloc[picked]
+        return out.assign(ref_idx=np.arange(1, len(picked) + 1), ref_scan=np.rint(out["scan"].to_numpy(float)).astype(int))[["plate", "ref_idx", "ref_scan"]]
 
     kind = candidates.schema["plate"].dataType.simpleString()
     return candidates.select("plate", "scan", "score").groupBy("plate").applyInPandas(run, f"plate {kind}, ref_idx long, ref_scan long")
