@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from traceforge.operators import basecall as bc
 from traceforge.operators import genotype as gt
+from traceforge.operators import joins as jn
 from traceforge.operators import learning as ln
 from traceforge.operators import peaks as pk
 from traceforge.operators import runs
@@ -260,3 +261,39 @@ def test_suppressed_peaks_stand_apart(spark, sf):
     got = registry.queries()["nms_peaks"](spark, sf).toPandas()
     for _, d in got.groupby("well"):
         assert (np.diff(np.sort(d["scan"])) >= 5).all() and (d["height"] >= 15).all()
+
+
+def test_anti_join_by_keys_is_that_by_rows(spark):
+    a = spark.createDataFrame([("p", s, float(s)) for s in (1, 5, 5, 30)], "g string, at long, y double")
+    b = spark.createDataFrame([("p", 6), ("q", 1)], "g string, place long")
+    for how in ("left_anti", "left_semi"):
+        by_rows, by_keys = (jn.range_join(a, b, ["g"], "place", F.col("at") - 2, F.col("at") + 2, 4, how, keys) for keys in (None, ["g", "at"]))
+        assert sorted(r["at"] for r in by_rows.collect()) == sorted(r["at"] for r in by_keys.collect()) == ([1, 30] if how == "left_anti" else [5, 5])
+
+
+def test_separation_undoes_emission(spark):
+    m = np.array([[0.7, 0.1, 0.1, 0.1], [0.1, 0.6, 0.2, 0.1], [0.0, 0.1, 0.8, 0.1], [0.2, 0.1, 0.1, 0.6]])
+    d = spark.createDataFrame([(b, *map(float, 50 * row)) for b, row in zip("ACGT", m)], "base string, c1 double, c2 double, c3 double, c4 double")
+    assert np.allclose(ln.separation(ln.emission(d)) @ m.T, np.eye(4))
+    assert ln.separation(ln.emission(d.where("base < 'G'"))) is None
+
+
+def test_thinning_keeps_the_tallest(spark):
+    d = spark.createDataFrame([("p", "A01", "c1", s, h) for s, h in ((10, 5.0), (12, 9.0), (15, 4.0), (30, 1.0))], "plate string, well string, channel string, scan long, height double")
+    assert sorted(r["scan"] for r in pk.suppress_near(d, 5).collect()) == [12, 30]
+
+
+def test_a_perceptron_learns_apart_windows(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    d = spark.createDataFrame([(float(i % 2), [float(i % 2), 1.0 - i % 2, 0.5]) for i in range(40)], "y double, a array<double>").withColumn("x", array_to_vector("a"))
+    model = ln.window_classifier(d, "y", "x", [3, 4, 2])
+    assert model.transform(d).where("prediction = y").count() == 40
+
+
+def test_settings_and_chromatograms(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"a": 2, "new": 3}')
+    assert tables.settings(str(tmp_path / "s.json"), {"a": 1, "b": 5}) == {"a": 2, "b": 5, "new": 3} and tables.settings(str(tmp_path / "none"), {"a": 1}) == {"a": 1}
+    (tmp_path / "run.arw").write_bytes("0.0\t1.5\n0.1\t2.5\n".encode("utf-16"))
+    got = tables.read_chromatograms(spark, str(tmp_path / "run.arw")).orderBy("point").collect()
+    assert [(r["name"], r["point"], r["y"]) for r in got] == [("run", 0, 1.5), ("run", 1, 2.5)]

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def range_join(left: DataFrame, right: DataFrame, on: list[str], place: str, low: Column, high: Column, width: int, how: str = "inner") -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, on: list[str], place: str, low: Column, high: Column, width: int, how: str = "inner", keys: list[str] | None = None) -> DataFrame:
     """Rows of ``left`` with those of ``right`` (column ``place``) that lie in [low, high] of the left row.
 
     Places are put in buckets of ``width``; a left row visits the buckets its interval touches, so the join is
-    an equality on (on, bucket) that Spark can spread and split; the exact condition follows. ``how``: inner, left_semi or left_anti.
+    an equality on (on, bucket) that Spark can spread and split; the exact condition follows. ``how``: inner, left_semi or left_anti; for
+    the last two ``keys`` name the columns that tell left rows apart, else whole rows do.
     """
     to = lambda c: F.floor(c / width).cast("long")
     r = right.withColumn("_bucket", to(F.col(place)))
@@ -22,6 +23,10 @@ def range_join(left: DataFrame, right: DataFrame, on: list[str], place: str, low
         wide = l.where(F.col("_low") <= F.col("_high")).withColumn("_bucket", F.explode(F.sequence(to(F.col("_low")), to(F.col("_high")))))
         joined = wide.join(r, [*on, "_bucket"])
         return joined.where((F.col(place) >= F.col("_low")) & (F.col(place) <= F.col("_high"))).drop("_bucket", "_low", "_high")
+    if keys:
+        wide = l.where(F.col("_low") <= F.col("_high")).select(*{*keys, *on}, "_low", "_high", F.explode(F.sequence(to(F.col("_low")), to(F.col("_high")))).alias("_bucket"))
+        hits = wide.join(r.select(*on, "_bucket", F.col(place).alias("_place")), [*on, "_bucket"]).where((F.col("_place") >= F.col("_low")) & (F.col("_place") <= F.col("_high")))
+        return left.join(hits.select(*keys).distinct(), keys, how)
     keyed = l.withColumn("_row", F.struct(*left.columns))
     wide = keyed.where(F.col("_low") <= F.col("_high")).withColumn("_bucket", F.explode(F.sequence(to(F.col("_low")), to(F.col("_high")))))
     hits = wide.join(r.select(*on, "_bucket", place), [*on, "_bucket"]).where((F.col(place) >= F.col("_low")) & (F.col(place) <= F.col("_high")))

@@ -203,7 +203,7 @@ def background_range_anti(spark: SparkSession, sf: str) -> DataFrame:
     """Anti join by range: c1 peaks with no c3 peak of at least 90 % of the tallest within 10 scans."""
     a = v.peaks(spark, sf).select(*WELL, "scan", "height")
     b = pk.relative_height(v.peaks(spark, sf, ("c3",)), 0.9).select(*WELL, F.col("scan").alias("other"))
-    return jn.range_join(a, b, WELL, "other", F.col("scan") - 10, F.col("scan") + 10, 20, "left_anti")
+    return jn.range_join(a, b, WELL, "other", F.col("scan") - 10, F.col("scan") + 10, 20, "left_anti", [*WELL, "scan"])
 
 
 def gene_ref_containment(spark: SparkSession, sf: str) -> DataFrame:
@@ -338,10 +338,10 @@ def broad_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gauss_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """PK-11: all maxima of a smoothed trace as Gaussians; tolerance only."""
+    """PK-11: the refined groups over a threshold of a smoothed trace as Gaussians; tolerance only."""
     d = sg.smooth(v.long(spark, sf, C1), 11).withColumn("y", F.col("smooth")).drop("smooth")
-    tall = pk.local_maxima(d).withColumn("area", F.col("height"))
-    return pk.deconvolve(d, tall)
+    found = pk.refine(pk.threshold_groups(d, 0.15, 6), 3, 0.15).select(*pk.BY_CHANNEL, "scan", "height", "area")
+    return pk.deconvolve(d, found)
 
 
 def spike_filter(spark: SparkSession, sf: str) -> DataFrame:

@@ -118,8 +118,8 @@ def read_truth(spark: SparkSession, path: str, sheet: str | None = None, pairs:
 
 
 def read_chromatograms(spark: SparkSession, path: str) -> DataFrame:
-    """UTF-16 tab-separated chromatograms: (name, point, x, y)."""
-    d = spark.read.option("encoding", "UTF-16").option("sep", "\t").option("inferSchema", "false").schema("x string, y string").csv(path)
+    """UTF-16 tab-separated chromatograms: (name, point, x, y). A file is read in one piece, as lines of two-byte characters can't be split by bytes."""
+    d = spark.read.option("encoding", "UTF-16").option("multiLine", "true").option("sep", "\t").option("inferSchema", "false").schema("x string, y string").csv(path)
     d = d.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1).alias("name"), F.col("x").try_cast("double").alias("x"), F.col("y").try_cast("double").alias("y")).where("y IS NOT NULL")
     return d.withColumn("point", F.row_number().over(Window.partitionBy("name").orderBy("x")) - 1)
 
