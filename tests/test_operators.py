@@ -8,6 +8,7 @@ from traceforge.operators import basecall as bc
 from traceforge.operators import genotype as gt
 from traceforge.operators import joins as jn
 from traceforge.operators import learning as ln
+from traceforge.operators import edits as ed
 from traceforge.operators import peaks as pk
 from traceforge.operators import sequences as sq
 from traceforge.operators import signal as sg
@@ -96,9 +97,9 @@ def test_edits_overlay_and_fold(spark):
     edits = spark.createDataFrame([("p", "A01", "delete", 5, "c1"), ("p", "A01", "add", 9, "c1"), ("p", "A01", "add", 20, "c2")], "plate string, well string, op string, scan long, channel string")
     assert pk.with_edits(peaks, edits).orderBy("scan").toPandas()[["scan", "manual"]].values.tolist() == [[9, False], [20, True]]
     log = [("w", i, op, e) for i, (op, e) in enumerate([("edit", "a"), ("edit", "b"), ("undo", None), ("redo", None), ("undo", None), ("edit", "c"), ("redo", None), ("undo", None), ("undo", None), ("undo", None)])]
-    got = pk.folded_edits(spark.createDataFrame(log, "k string, seq int, op string, edit string"), ["k"], "seq").first()
+    got = ed.folded_edits(spark.createDataFrame(log, "k string, seq int, op string, edit string"), ["k"], "seq").first()
     assert (got["n_standing"], got["last_standing"]) == (0, None)
-    got = pk.folded_edits(spark.createDataFrame(log[:7], "k string, seq int, op string, edit string"), ["k"], "seq").first()
+    got = ed.folded_edits(spark.createDataFrame(log[:7], "k string, seq int, op string, edit string"), ["k"], "seq").first()
     assert (got["n_standing"], got["last_standing"]) == (2, "c")
 
 

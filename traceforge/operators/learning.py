@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import stencils as st
 from ..schema import CHANNELS, WELL
+from .ranking import exact_rank
 from .training import discriminant_sums
 
 
@@ -93,10 +94,11 @@ def split(samples: DataFrame, label: str, key: list[str], seed: int = 42, train:
 
 
 def ranked_split(samples: DataFrame, label: str, order: list[str], train: float = 0.8, validate: float = 0.1) -> DataFrame:
-    """Exact stratified split by rank within the class, in ``order``: 80/10/10 of every class up to rounding."""
-    r, n = F.row_number().over(Window.partitionBy(label).orderBy(*order)), F.count(F.lit(1)).over(Window.partitionBy(label))
-    part = F.when(r <= F.floor(n * train), "train").when(r <= F.floor(n * train) + F.floor(n * validate), "validate").otherwise("test")
-    return samples.withColumn("part", part)
+    """Exact stratified split by rank within the class, in ``order``: 80/10/10 of every class up to rounding. No task holds a whole class."""
+    d = exact_rank(samples, [label], order, "_r", "_n")
+    first, second = F.floor(F.col("_n") * train), F.floor(F.col("_n") * validate)
+    part = F.when(F.col("_r") <= first, "train").when(F.col("_r") <= first + second, "validate").otherwise("test")
+    return d.withColumn("part", part).drop("_r", "_n")
 
 
 def well_split(samples: DataFrame, seed: int = 42, train: float = 0.8) -> DataFrame:

@@ -220,23 +220,48 @@ def window_areas(long: DataFrame, half: int) -> DataFrame:
     return d.where((F.col("scan") >= half) & (F.col("scan") < F.col("_n") - half)).drop("_n")
 
 
+#: Lengths of the stretches whose minima the walk skips by.
+STRETCHES = (4, 16, 64, 256, 1024, 4096)
+
+
 def half_width(long: DataFrame, peaks: DataFrame) -> DataFrame:
-    """Full width at half maximum: from the nearest scans on both sides that are not above half the peak's height, or the trace's ends."""
+    """Full width at half maximum: from the nearest scans on both sides that are not above half the peak's height, or the trace's ends.
 
-    def run(key: tuple, trace: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        trace, found = trace.sort_values("scan"), found.sort_values("scan")
-        scan, y, left, right = trace["scan"].to_numpy(), trace["y"].to_numpy(float), [], []
-        for at, h in zip(found["scan"], found["height"]):
-            low, i = y <= h / 2, int(np.searchsorted(scan, at))
-            before, after = np.flatnonzero(low[:i]), np.flatnonzero(low[i + 1 :])
-            left.append(scan[before[-1]] if len(before) else scan[0])
-            right.append(scan[i + 1 + after[0]] if len(after) else scan[-1])
-        out = found.assign(left=left, right=right)
-        return out.assign(fwhm=out["right"] - out["left"])[[*BY_CHANNEL, "scan", "height", "left", "right", "fwhm"]] if len(found) else found.reindex(columns=[*BY_CHANNEL, "scan", "height", "left", "right", "fwhm"])
+    Each scan carries the minima of the stretches of 4, 16, ... 4096 samples that end there, by nested windows over one sort. A peak's walk skips
+    a whole stretch whose minimum is above its limit, so it looks at some forty samples of its trace's array and not at all of it.
+    ``peaks`` stand at scans of the trace; others have no width.
+    """
+    w = st.scans("channel")
+    d = long.select(*BY_CHANNEL, "scan", F.col("y").cast("double").alias("_m1")).withColumn("_i", F.row_number().over(w) - 1)
+    shorter = 1
+    for n in STRETCHES:
+        d = d.withColumn(f"_m{n}", F.least(*[F.lag(f"_m{shorter}", j * shorter).over(w) if j else F.col(f"_m{shorter}") for j in range(n // shorter)]))
+        shorter = n
+    minima = [f"_m{n}" for n in (1, *STRETCHES)]
+    at = peaks.select(*BY_CHANNEL, F.col("scan").cast("long").alias("scan"), F.col("height").cast("double").alias("height"))
+    found = at.join(d.select(*BY_CHANNEL, "scan", "_i"), [*BY_CHANNEL, "scan"]).groupBy(*BY_CHANNEL).agg(F.collect_list(F.struct("_i", "scan", "height")).alias("_peaks"))
+    traces = d.groupBy(*BY_CHANNEL).agg(F.array_sort(F.collect_list(F.struct("_i", F.col("scan").cast("long").alias("scan"), *minima))).alias("_t"))
+    one = traces.join(found, BY_CHANNEL).withColumn("_size", F.size("_t"))
+    # Stretches from the longest down: as many of the longest as the trace has, then at most three of each.
+    longest = STRETCHES[-1]
+    steps = F.concat(F.array_repeat(F.lit(longest), (F.col("_size") / longest).cast("int")), *[F.array_repeat(F.lit(n), 3) for n in (*STRETCHES[-2::-1], 1)])
+    sample = lambda i, n: F.get("_t", i.cast("int"))[f"_m{n}"]
+
+    def lowest(i: Column, n: Column) -> Column:
+        out = sample(i, 1)
+        for length in STRETCHES:
+            out = F.when(n == length, sample(i, length)).otherwise(out)
+        return out
 
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.select(*BY_CHANNEL).schema)
-    right = peaks.select(*BY_CHANNEL, "scan", "height")
-    return by_group(long.select(*BY_CHANNEL, "scan", "y"), right, BY_CHANNEL, run, f"{keys}, scan long, height double, left long, right long, fwhm long")
+    def sides(p: Column) -> Column:
+        limit = p["height"] / 2
+        left = F.aggregate(steps, (p["_i"] - 1).cast("long"), lambda i, n: F.when((i - n + 1 >= 0) & (lowest(i, n) > limit), i - n).otherwise(i))
+        right = F.aggregate(steps, (p["_i"] + 1).cast("long"), lambda i, n: F.when((i + n <= F.col("_size")) & (lowest(i + n - 1, n) > limit), i + n).otherwise(i))
+        scan = lambda i: F.get("_t", i.cast("int"))["scan"]
+        return F.struct(p["scan"].alias("scan"), p["height"].alias("height"), scan(F.greatest(left, F.lit(0))).alias("left"), scan(F.least(right, F.col("_size") - 1)).alias("right"))
+
+    out = one.select(*BY_CHANNEL, F.inline(F.transform("_peaks", sides)))
+    return out.withColumn("fwhm", F.col("right") - F.col("left"))
 
 
 def deconvolve(long: DataFrame, peaks: DataFrame, margin: int = 15) -> DataFrame:
@@ -297,30 +322,6 @@ def with_edits(peaks: DataFrame, edits: DataFrame) -> DataFrame:
     return kept.select(*BY_CHANNEL, "scan", "manual").unionByName(fresh.select(*BY_CHANNEL, "scan", F.lit(True).alias("manual")))
 
 
-def folded_edits(log: DataFrame, by: list[str], order: str) -> DataFrame:
-    """State of an edit log with undo and redo: two stacks folded over each key's ordered events.
-
-    Each 'undo' takes back the latest standing edit, 'redo' gives back the latest taken back, and any new edit forgets those. Rows: by, n_standing, last_standing.
-    """
-    empty = "cast(array() as array<string>)"
-    item = F.struct(F.col(order).alias("o"), F.col("op").alias("op"), F.col("edit").alias("edit"))
-    start = F.struct(F.expr(empty).alias("done"), F.expr(empty).alias("undone"))
-
-    def step(s: Column, e: Column) -> Column:
-        tail = lambda a: F.element_at(a, -1)
-        cut = lambda a: F.slice(a, 1, F.size(a) - 1)
-        both = lambda a, b: F.struct(a.alias("done"), b.alias("undone"))
-        return (
-            F.when((e["op"] == "undo") & (F.size(s["done"]) > 0), both(cut(s["done"]), F.concat(s["undone"], F.array(tail(s["done"])))))
-            .when((e["op"] == "redo") & (F.size(s["undone"]) > 0), both(F.concat(s["done"], F.array(tail(s["undone"]))), cut(s["undone"])))
-            .when(e["op"].isin("undo", "redo"), s)
-            .otherwise(both(F.concat(s["done"], F.array(e["edit"])), F.expr(empty)))
-        )
-
-    state = log.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step).alias("s"))
-    return state.select(*by, F.size("s.done").cast("long").alias("n_standing"), F.try_element_at("s.done", F.lit(-1)).alias("last_standing"))
-
-
 def cut_short_wells(trace: DataFrame, least: int = 50) -> DataFrame:
     """Only wells of at least so many scans."""
     return trace.withColumn("_n", F.count(F.lit(1)).over(st.whole())).where(F.col("_n") >= least).drop("_n")

@@ -109,13 +109,6 @@ def peak_edits_overlay(spark: SparkSession, sf: str) -> DataFrame:
     return pk.with_edits(v.peaks(spark, sf), _edits(spark, sf))
 
 
-def edit_log_fold(spark: SparkSession, sf: str) -> DataFrame:
-    """PK-21: undo (error) and redo (signup) folded over each user's events."""
-    op = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("edit")
-    log = v.table(spark, sf, "events").select("user_id", "ts", op.alias("op"), F.col("event_id").cast("string").alias("edit"))
-    return pk.folded_edits(log, ["user_id"], "ts")
-
-
 def clear_all(spark: SparkSession, sf: str) -> DataFrame:
     """PK-22: every peak of a plate's first well deleted by its scan; the peaks that are left of each well."""
     peaks = v.peaks(spark, sf)
@@ -411,7 +404,6 @@ QUERIES: v.Queries = {
     "is_filter_topn": (is_filter_topn, sql("SELECT plate, well, channel, scan, height FROM (SELECT *, row_number() OVER (PARTITION BY plate, well, channel ORDER BY height DESC, scan) AS k FROM pk) WHERE channel <> 'c1' OR k <= 4", TR, lg("c1", "c2"), PK)),
     "is_area_ratio": (is_area_ratio, sql("SELECT plate, max(a) FILTER (WHERE channel = 'c1' AND k = 3) AS standard_area, sum(a) AS total_area, round(coalesce(sum(a) / nullif(max(a) FILTER (WHERE channel = 'c1' AND k = 3), 0), 0), 4) AS ratio FROM (SELECT pk.plate, pk.channel, round_even(area, 0) AS a, row_number() OVER (PARTITION BY pk.plate ORDER BY CASE WHEN pk.channel = 'c1' THEN 0 ELSE 1 END, pk.well, pk.scan) AS k FROM pk JOIN wa USING (plate, well, channel, scan) WHERE scan >= 5 AND scan < n - 5) GROUP BY plate", TR, lg("c1", "c2"), PK, AREA5)),
     "peak_edits_overlay": (peak_edits_overlay, sql(OVERLAY, TR, lg("c1"), PK, ED)),
-    "edit_log_fold": (edit_log_fold, None),
     "clear_all": (clear_all, sql("SELECT plate, well, count(*) AS n_left FROM pk WHERE well <> (SELECT min(q.well) FROM pk q WHERE q.plate = pk.plate) GROUP BY ALL", TR, lg("c1"), PK)),
     "nearest_is_match": (nearest_is_match, sql("SELECT plate, ref_idx, ref_scan, well, scan, height FROM (SELECT *, count(*) OVER (PARTITION BY plate, well) AS m FROM (SELECT rf.plate, ref_idx, ref_scan, well, scan, round(height, 4) AS height, row_number() OVER (PARTITION BY rf.plate, well, ref_idx ORDER BY abs(scan - ref_scan), scan) AS k FROM rf JOIN tp ON rf.plate = tp.plate AND abs(scan - ref_scan) <= 50) WHERE k = 1) WHERE m >= 3", TR, lg("c3"), PK, ALL, RF)),
     "is_raw_argmax": (is_raw_argmax, sql("SELECT plate, well, ref_idx, ref_scan, scan, round(height, 4) AS height FROM (SELECT *, row_number() OVER (PARTITION BY plate, well, scan ORDER BY abs(scan - ref_scan), ref_idx) AS k FROM (SELECT tr.plate, tr.well, ref_idx, ref_scan, arg_min(scan, (-c3, scan)) AS scan, max(c3) AS height, max(sd) AS sd FROM (SELECT *, stddev_pop(CASE WHEN scan < 200 THEN c3 END) OVER (PARTITION BY plate, well) AS sd FROM tr) tr JOIN rf ON rf.plate = tr.plate AND scan >= ref_scan - 80 AND scan < ref_scan + 80 GROUP BY ALL) WHERE height >= greatest(100, 2 * sd)) WHERE k = 1", TR, RF)),

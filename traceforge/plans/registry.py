@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .views import Queries
 
-MODULES = ("signal_queries", "peak_queries", "call_queries", "run_queries", "training_queries")
+MODULES = ("signal_queries", "peak_queries", "call_queries", "run_queries", "training_queries", "store_queries")
 
 
 def _all() -> Queries:
