@@ -110,9 +110,9 @@ def test_range_join_equals_its_condition(spark):
     want = sorted(a.join(b, "k").where("y BETWEEN x - 7 AND x + 4").select("k", "x", "y").collect())
     got = sorted(jn.range_join(a, b, ["k"], "y", F.col("x") - 7, F.col("x") + 4, 5).select("k", "x", "y").collect())
     assert got == want
-    semi = sorted(jn.range_join(a, b, ["k"], "y", F.col("x") - 7, F.col("x") + 4, 5, "left_semi").collect())
+    semi = sorted(jn.range_join(a, b, ["k"], "y", F.col("x") - 7, F.col("x") + 4, 5, "left_semi", ["k", "x"]).collect())
     assert semi == sorted(x for x in a.collect() if (x["k"], x["x"]) in {(w["k"], w["x"]) for w in want})
-    anti = jn.range_join(a, b, ["k"], "y", F.col("x") - 7, F.col("x") + 4, 5, "left_anti").count()
+    anti = jn.range_join(a, b, ["k"], "y", F.col("x") - 7, F.col("x") + 4, 5, "left_anti", ["k", "x"]).count()
     assert anti == a.count() - len(semi)
 
 

@@ -38,9 +38,9 @@ def test_same_rows_as_sql(name, spark, sf, duck):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_without_sql_runs(name, spark, sf):
-    d = QUERIES[name](spark, sf)
-    assert d.columns and d.count() >= 0
+def test_without_sql_has_rows(name, spark):
+    """Their values have tests of their own; here the tables are large enough that each gives rows."""
+    assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
 
 
 def test_entry(spark, sf):

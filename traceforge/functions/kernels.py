@@ -158,25 +158,49 @@ def fit_gaussians(x: np.ndarray, y: np.ndarray, start: np.ndarray, rounds: int =
 def align_local(query: str, ref: str, match: int = 2, mismatch: int = -3, gap_open: int = -10, gap_extend: int = -1) -> dict:
     """Best local alignment: a gap extends if the cell it comes from was itself reached by that gap. Ties: stop, diagonal, up, left; the first best cell by rows.
 
-    Cells of one anti-diagonal do not depend on each other, so each is one step on arrays.
+    Cells of one anti-diagonal do not depend on each other, so each is one step on arrays, indexed by the place in ``ref``. Only the last two
+    are held, and every so many are kept as a restart; the way back works out again the stretches that it crosses. Memory is
+    about 20 * len(ref) * sqrt(len(query) + len(ref)) bytes, not the product of the lengths.
     """
     n, m = len(query), len(ref)
     a, b = np.frombuffer(query.encode("latin-1", "replace"), np.uint8), np.frombuffer(ref.encode("latin-1", "replace"), np.uint8)
-    score, trace = np.zeros((n + 1, m + 1), np.int32), np.zeros((n + 1, m + 1), np.int8)
-    for s in range(2, n + m + 1):
-        i = np.arange(max(1, s - m), min(n, s - 1) + 1)
-        j = s - i
-        diagonal = score[i - 1, j - 1] + np.where(a[i - 1] == b[j - 1], match, mismatch)
-        up = score[i - 1, j] + np.where(trace[i - 1, j] == 2, gap_extend, gap_open)
-        left = score[i, j - 1] + np.where(trace[i, j - 1] == 3, gap_extend, gap_open)
+    stretch = max(64, int((n + m) ** 0.5))
+    blank = lambda: (np.zeros(m + 1, np.int32), np.zeros(m + 1, np.int32), np.zeros(m + 1, np.int8))
+
+    def forward(state: tuple, s: int) -> tuple[tuple, int, int]:
+        """The state one diagonal on, and the columns it has cells in."""
+        before, last, came = state
+        lo, hi = max(1, s - n), min(m, s - 1)
+        diagonal = before[lo - 1 : hi] + np.where(a[s - hi - 1 : s - lo][::-1] == b[lo - 1 : hi], match, mismatch)
+        up = last[lo : hi + 1] + np.where(came[lo : hi + 1] == 2, gap_extend, gap_open)
+        left = last[lo - 1 : hi] + np.where(came[lo - 1 : hi] == 3, gap_extend, gap_open)
         options = np.stack([np.zeros_like(diagonal), diagonal, up, left])
-        trace[i, j] = options.argmax(axis=0)
-        score[i, j] = options.max(axis=0)
-    i, j = divmod(int(score.argmax()), m + 1)
-    best, qe, re_ = int(score[i, j]), i, j
-    q, r = [], []
-    while i > 0 and j > 0 and trace[i, j]:
-        t = trace[i, j]
+        score, trace = np.zeros(m + 1, np.int32), np.zeros(m + 1, np.int8)
+        trace[lo : hi + 1], score[lo : hi + 1] = options.argmax(axis=0), options.max(axis=0)
+        return (last, score, trace), lo, hi
+
+    state, restarts, best, i, j = blank(), [], 0, 0, 0
+    for s in range(2, n + m + 1):
+        if (s - 2) % stretch == 0:
+            restarts.append(state)
+        state, lo, hi = forward(state, s)
+        top = int(state[1][lo : hi + 1].max(initial=0)) if hi >= lo else 0
+        if top >= best and top > 0:
+            at = hi - int(np.argmax(state[1][lo : hi + 1][::-1] == top))  # the last column is the first row
+            if top > best or (s - at, at) < (i, j):
+                best, i, j = top, s - at, at
+    qe, re_, q, r = i, j, [], []
+    block, traces = -1, []
+    while i > 0 and j > 0:
+        if block != (i + j - 2) // stretch:
+            block = (i + j - 2) // stretch
+            state, traces = restarts[block], []
+            for s in range(2 + block * stretch, min(2 + (block + 1) * stretch, n + m + 1)):
+                state, _, _ = forward(state, s)
+                traces.append(state[2])
+        t = traces[i + j - 2 - block * stretch][j]
+        if not t:
+            break
         q.append(query[i - 1] if t != 3 else "-")
         r.append(ref[j - 1] if t != 2 else "-")
         i, j = i - (t != 3), j - (t != 2)

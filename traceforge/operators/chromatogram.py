@@ -27,6 +27,16 @@ def one_per_cell(peaks: DataFrame, grid: int = GRID) -> DataFrame:
     return peaks.withColumn("_c", F.floor(F.col("loc") * grid)).withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_c", "_k")
 
 
+def scaled_examples(signals: DataFrame, cells: DataFrame, seconds: float = 600) -> tuple[DataFrame, DataFrame]:
+    """What a detector of cells learns from: signals (id, point, y) over their greatest value, and cells' areas over the same value times the length of a run.
+
+    Where the greatest value is 0 the results are null. One aggregate by id serves both; it is joined back.
+    """
+    top = signals.groupBy("id").agg(F.max("y").alias("_top"))
+    x = signals.join(top, "id").select("id", "point", F.try_divide("y", "_top").alias("x"))
+    return x, cells.join(top, "id").withColumn("area", F.try_divide("area", "_top") * seconds).drop("_top")
+
+
 def metrics(cells: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Rates and errors of predicted cells (truth, p, rel, rel_true, area, area_true), one aggregation."""
     hit, t = F.col("p") > threshold, F.col("truth") == 1

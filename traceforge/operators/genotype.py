@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -16,7 +18,8 @@ from pyspark.sql.window import Window
 
 from ..functions import kernels as k
 from ..functions import stencils as st
-from ..schema import CHANNELS, GENOTYPES, WELL
+from ..schema import CHANNELS, FEATURE_REGION, GENOTYPES, NOISE_SCANS, WELL
+from . import peaks as pk
 from .joins import by_group
 
 
@@ -61,6 +64,63 @@ def standard_features(matched: DataFrame, n: int = 4) -> DataFrame:
     return d.select(*WELL, *[c.alias(name) for name, c in columns.items()])
 
 
+def _noise(y: np.ndarray, head: int) -> float:
+    """Deviation of a trace's head, or of all of a trace no longer than that."""
+    return float((y[:head] if len(y) > head else y).std())
+
+
+def _by_noise(least: float, head: int) -> Callable[[np.ndarray], dict]:
+    """Peaks over three times the noise and a least height, half of that in prominence."""
+
+    def settings(y: np.ndarray) -> dict:
+        height = max(least, 3 * _noise(y, head))
+        return {"height": height, "prominence": height / 2, "distance": 5, "width": 1}
+
+    return settings
+
+
+def trace_peak_stats(long: DataFrame) -> DataFrame:
+    """``peak_stats`` of the peaks over max(50, 3 noise) of whole traces; a channel without peaks has zeros."""
+    d = peak_stats(pk.found_peaks(long, _by_noise(50, NOISE_SCANS)))
+    return long.select(*WELL, "channel").distinct().join(d, [*WELL, "channel"], "left").fillna(0)
+
+
+def region_features(long: DataFrame, low: int = FEATURE_REGION[0], high: int = FEATURE_REGION[1], least: int = 50) -> DataFrame:
+    """Level and peaks of each channel in [low, high): mean, deviation, greatest, energy, and count, mean and greatest height, mean prominence and width of peaks over max(20, 3 noise).
+
+    Traces with ``least`` scans or fewer there have zeros.
+    """
+    inside = long.where((F.col("scan") >= low) & (F.col("scan") < high)).withColumn("_n", F.count(F.lit(1)).over(st.whole("channel"))).where(F.col("_n") > least).drop("_n")
+    level = inside.groupBy(*WELL, "channel").agg(F.avg("y").alias("mean"), F.stddev_pop("y").alias("std"), F.max("y").alias("max"), F.sum(F.col("y") * F.col("y")).alias("energy"))
+    tops = peak_stats(pk.found_peaks(inside, _by_noise(20, 100))).drop("sum_height", "first_scan", "last_scan", "spread")
+    return long.select(*WELL, "channel").distinct().join(level, [*WELL, "channel"], "left").join(tops, [*WELL, "channel"], "left").fillna(0)
+
+
+def automatic_standards(trace: DataFrame, standard: str = "c3", other: str = "c2") -> DataFrame:
+    """Standard peaks found without help (plate, well, scan, height, ratio): over 10 noise, 5 noise in prominence, 15 scans apart, 3 wide, and over twice the other channel, which counts only above 10."""
+
+    def settings(y: np.ndarray) -> dict:
+        noise = _noise(y, NOISE_SCANS)
+        return {"height": 10 * noise, "prominence": 5 * noise, "distance": 15, "width": 3}
+
+    head = F.stddev_pop(F.when(F.col("scan") < NOISE_SCANS, F.col(standard)))
+    noise = trace.groupBy(*WELL).agg(F.when(F.count(F.lit(1)) > NOISE_SCANS, head).otherwise(F.stddev_pop(standard)).alias("_noise"))
+    long = trace.select(*WELL, F.lit(standard).alias("channel"), "scan", F.col(standard).alias("y"))
+    d = pk.found_peaks(long, settings).select(*WELL, "scan", "height").join(trace.select(*WELL, "scan", F.col(other).alias("_other")), [*WELL, "scan"]).join(noise, WELL)
+    ratio = F.when(F.col("_other") > 10, F.col("height") / F.col("_other")).otherwise(999.0)
+    return d.withColumn("ratio", ratio).where((F.col("ratio") > 2) & (F.col("height") > 10 * F.col("_noise"))).select(*WELL, "scan", "height", "ratio")
+
+
+def standard_figures(wells: DataFrame, standards: DataFrame, n: int = 4) -> DataFrame:
+    """Fifteen figures of each well's standard peaks (plate, well, scan, height): count, greatest, total and mean height, first and last scan, spread, and place and height of the first ``n``; zeros where there are none."""
+    d = standards.groupBy(*WELL).agg(
+        F.count(F.lit(1)).cast("long").alias("is_n_peaks"), F.max("height").alias("is_max_height"), F.sum("height").alias("is_total_height"), F.avg("height").alias("is_mean_height"),
+        F.min("scan").alias("is_first_scan"), F.max("scan").alias("is_last_scan"), (F.max("scan") - F.min("scan")).alias("is_spread"), F.array_sort(F.collect_list(F.struct("scan", "height"))).alias("_p"),
+    )
+    slots = {f"is_peak_{i}_{c}": F.try_element_at("_p", F.lit(i))[c] for i in range(1, n + 1) for c in ("scan", "height")}
+    return wells.select(*WELL).distinct().join(d.withColumns(slots).drop("_p"), WELL, "left").fillna(0)
+
+
 def robust_scale(features: DataFrame, columns: list[str], by: str = "plate") -> DataFrame:
     """(x - median) / max(p75 - p25, 1e-8) of each feature within its plate: exact percentiles by one aggregation, joined back."""
     q = lambda c: F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))

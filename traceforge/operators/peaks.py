@@ -90,6 +90,57 @@ def detect(long: DataFrame, height: float | None = None, prominence: float | Non
     return long.select(*BY_CHANNEL, "scan", "y").groupBy(*BY_CHANNEL).applyInPandas(run, schema)
 
 
+def found_peaks(long: DataFrame, settings: Callable[[np.ndarray], dict]) -> DataFrame:
+    """Peaks of the raw samples by the bounds that ``settings`` sets for each trace (height, distance, prominence, width): scan, height, prominence, width at half prominence."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("scan")
+        y = pdf["y"].to_numpy(float)
+        p = k.find_peaks(y, **settings(y))
+        got = pd.DataFrame({"scan": pdf["scan"].to_numpy()[p], "height": y[p], "prominence": k.prominences(y, p)[0], "width": k.widths(y, p, 0.5)[0]})
+        for c in BY_CHANNEL:
+            got[c] = pdf[c].iloc[0]
+        return got[[*BY_CHANNEL, "scan", "height", "prominence", "width"]]
+
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.select(*BY_CHANNEL).schema)
+    return long.select(*BY_CHANNEL, "scan", "y").groupBy(*BY_CHANNEL).applyInPandas(run, f"{keys}, scan long, height double, prominence double, width double")
+
+
+def top_widths(long: DataFrame, peaks: DataFrame, before: int, after: int) -> DataFrame:
+    """``peaks`` with ``top_width``: the width at half prominence of the greatest sample (the first of equals) from ``before`` scans before to ``after`` scans after each, seen within these scans alone.
+
+    A peak's scans come by a range join, and its few samples are one small array.
+    """
+    d = range_join(peaks, long.select(*BY_CHANNEL, F.col("scan").alias("_at"), "y"), BY_CHANNEL, "_at", F.col("scan") - before, F.col("scan") + after, before + after + 1)
+    near = d.groupBy(*peaks.columns).agg(F.array_sort(F.collect_list(F.struct("_at", F.col("y").cast("double").alias("y")))).alias("_s"))
+
+    @F.pandas_udf("double")
+    def width(samples: pd.Series) -> pd.Series:
+        return pd.Series([float(k.widths(y, np.array([int(np.argmax(y))]), 0.5)[0][0]) for y in (np.asarray(x, float) for x in samples)])
+
+    return near.withColumn("top_width", width(F.transform("_s", lambda x: x["y"]))).drop("_s")
+
+
+def parted_groups(long: DataFrame, groups: DataFrame, wider_than: int, distance: int, share: float, head: int = 100) -> DataFrame:
+    """Groups of scans (left, right; scan and height of the top) wider than a limit give way to the peaks in them that stand out by ``share`` of the trace's range over its head's median, if there are any."""
+
+    def run(key: tuple, trace: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        trace, out = trace.sort_values("scan"), []
+        scan, y = trace["scan"].to_numpy(), trace["y"].to_numpy(float)
+        least = share * (y.max() - np.median(y[:head])) if len(y) else 0.0
+        for g in found.sort_values("scan").itertuples():
+            part = np.flatnonzero((scan >= g.left) & (scan <= g.right))
+            inner = part[k.find_peaks(y[part], None, distance, least)] if g.right - g.left > wider_than else part[:0]
+            out += [(scan[q], y[q]) for q in inner] if len(inner) else [(g.scan, g.height)]
+        got = pd.DataFrame(out, columns=["scan", "height"])
+        for c, v in zip(BY_CHANNEL, key):
+            got[c] = v
+        return got[[*BY_CHANNEL, "scan", "height"]]
+
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.select(*BY_CHANNEL).schema)
+    return by_group(long.select(*BY_CHANNEL, "scan", "y"), groups.select(*BY_CHANNEL, "scan", "height", "left", "right"), BY_CHANNEL, run, f"{keys}, scan long, height double")
+
+
 def detect_default(long: DataFrame) -> DataFrame:
     """The interactive detector's defaults."""
     return detect(long, DETECTOR["height"], DETECTOR["prominence"], DETECTOR["distance"], DETECTOR["min_width"], scan_range=(DETECTOR["scan_start"], DETECTOR["scan_end"]))

@@ -9,13 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import kernels as k
-from ..schema import DUPLEX_REGION, NOISE_SCANS, WELL
+from ..functions import stencils as st
+from ..schema import DUPLEX_REGION, NOISE_SCANS, PLATE_RUN, WELL
 from . import genotype as gt
 from . import peaks as pk
 from . import signal as sg
-from .joins import nearest
 
 
 def duplex_wells(trace: DataFrame, low: int = DUPLEX_REGION[0], high: int = DUPLEX_REGION[1], standard: str = "c3", sample: str = "c2") -> DataFrame:
@@ -44,31 +45,92 @@ def duplex_wells(trace: DataFrame, low: int = DUPLEX_REGION[0], high: int = DUPL
     )
 
 
-def plate_run(trace: DataFrame, low: int = DUPLEX_REGION[0], high: int = DUPLEX_REGION[1]) -> DataFrame:
-    """A whole plate: each well's peaks, mutant fraction and areas over its nearest standard peak's, beside the grade of its plate.
+def transformed(trace: DataFrame, norm: bool = True, align: bool = True, matrix=None) -> DataFrame:
+    """The transforms of a viewer, always from the pristine trace and in this order: the scan axis by the current, then by the left edge of each well's tallest peak as it lies on that axis, then dyes from channels (``matrix`` unless null).
 
-    The grade comes from the standard peaks per well and the median half widths of standard and sample peaks; half widths of the sample over the
-    grade's limit are left out before the fractions. Rows: plate, well, grade, n_peaks, mf, status, scans, norm_areas.
+    ``scan_pos`` is the axis; peaks are detected on the channels as they came.
     """
-    inside = trace.where((F.col("scan") >= low) & (F.col("scan") < high)).withColumn("scan", F.col("scan") - low)
-    std_long, smp_long = sg.to_long(inside, ["c3"]), sg.to_long(inside, ["c2"])
-    std = pk.refine(pk.threshold_groups(std_long, 0.08, 6), 3, 0.1).select(*pk.BY_CHANNEL, "scan", "height", "area")
-    smp = pk.refine(pk.threshold_groups(smp_long, 0.15, 6), 3, 0.15).select(*pk.BY_CHANNEL, "scan", "height", "area")
-    wide = lambda long, p: pk.half_width(long, p.select(*pk.BY_CHANNEL, "scan", "height")).select(*pk.BY_CHANNEL, "scan", "fwhm")
-    std, smp = std.join(wide(std_long, std), [*pk.BY_CHANNEL, "scan"]), smp.join(wide(smp_long, smp), [*pk.BY_CHANNEL, "scan"])
-    wells = trace.groupBy("plate").agg(F.countDistinct("well").alias("wells"))
-    quality = std.groupBy("plate").agg(F.count(F.lit(1)).alias("n"), F.percentile("fwhm", F.lit(0.5)).alias("s")).join(smp.groupBy("plate").agg(F.percentile("fwhm", F.lit(0.5)).alias("m")), "plate", "full")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    graded = wells.join(quality, "plate", "left").select("plate", gt.quality_grade(z("n") / F.col("wells"), z("s"), z("m")).alias("grade"))
-    limit = F.element_at(F.create_map(*[F.lit(x) for kv in gt.FWHM_LIMITS.items() for x in kv]), F.col("grade"))
-    used = smp.join(graded, "plate").where(F.col("fwhm") <= limit).drop("grade")
-    near = nearest(used.select(*WELL, F.col("scan").alias("at")), std.select(*WELL, "scan", F.col("area").alias("standard")), WELL, "at", "scan", high - low, [*WELL, "at"]).select(*WELL, F.col("at").alias("scan"), "standard")
-    norm = used.join(near, [*WELL, "scan"], "left").withColumn("norm", F.when(F.col("standard").isNull(), 0.0).otherwise(F.col("area") / F.greatest("standard", F.lit(1.0))))
-    lists = norm.groupBy(*WELL).agg(F.array_sort(F.collect_list(F.struct((F.col("scan") + low).alias("scan"), "norm"))).alias("p")).select(*WELL, F.col("p.scan").alias("scans"), F.col("p.norm").alias("norm_areas"))
-    d = trace.select(*WELL).distinct().join(graded, "plate").join(gt.mutant_fraction(used), WELL, "left").join(lists, WELL, "left")
-    return d.select(
-        *WELL, "grade", F.coalesce("n_peaks", F.lit(0)).cast("long").alias("n_peaks"), z("mf").alias("mf"), F.coalesce("status", F.lit("no peaks")).alias("status"),
-        F.coalesce("scans", F.expr("cast(array() as array<bigint>)")).alias("scans"), F.coalesce("norm_areas", F.expr("cast(array() as array<double>)")).alias("norm_areas"),
+    d = sg.normalise_current(trace) if norm else trace.withColumn("scan_pos", F.col("scan").cast("double"))
+    if align:
+        d = sg.align_to_left_edge(d.withColumnRenamed("scan_pos", "_axis"), pk.detect_default(sg.to_long(trace)), "_axis").drop("_axis", "shift")
+    return d if matrix is None else sg.unmix(d, matrix)
+
+
+def plate_quality(standards: DataFrame, samples: DataFrame, wells: DataFrame) -> DataFrame:
+    """Each plate's grade from all its wells: standard peaks a well, and the median half widths of standard and (narrow) sample peaks (column fwhm).
+
+    A plate without standard peaks is FAILED; one without narrow sample peaks has 99 for their width.
+    """
+    half = lambda d, name: d.groupBy("plate").agg(F.percentile("fwhm", F.lit(0.5)).alias(name), F.count(F.lit(1)).alias(f"{name}_n"))
+    d = wells.groupBy("plate").agg(F.countDistinct("well").alias("_wells")).join(half(standards, "standard_fwhm"), "plate", "left").join(half(samples, "sample_fwhm"), "plate", "left")
+    d = d.select("plate", (F.coalesce("standard_fwhm_n", F.lit(0)) / F.col("_wells")).alias("per_well"), "standard_fwhm", F.coalesce("sample_fwhm", F.lit(99.0)).alias("sample_fwhm"))
+    return d.withColumn("grade", F.when(F.col("standard_fwhm").isNull(), "FAILED").otherwise(gt.quality_grade(F.col("per_well"), F.col("standard_fwhm"), F.col("sample_fwhm"))))
+
+
+def plate_standards(region: DataFrame, whole: DataFrame, found: DataFrame, n: int = PLATE_RUN["n_standards"]) -> DataFrame:
+    """Standard peaks of each well: those found that are no spikes (2.5 scans wide or more amid the 40 around), the ``n`` tallest (of equals the later), with the trapezoid area of the 5 scans on both sides that lie in the region."""
+    real = pk.top_widths(whole, found.select(*pk.BY_CHANNEL, "scan", "height"), 20, 19).where("top_width >= 2.5")
+    tall = real.withColumn("_k", F.row_number().over(Window.partitionBy(*pk.BY_CHANNEL).orderBy(F.desc("height"), F.desc("scan")))).where(F.col("_k") <= n)
+    around = st.scans("channel").rowsBetween(-5, 5)
+    area = F.sum("y").over(around) - (F.first("y").over(around) + F.last("y").over(around)) / 2
+    return tall.select(*pk.BY_CHANNEL, "scan", "height").join(region.withColumn("area", area).select(*pk.BY_CHANNEL, "scan", "area"), [*pk.BY_CHANNEL, "scan"])
+
+
+def plate_samples(region: DataFrame, whole: DataFrame) -> DataFrame:
+    """Sample peaks of each well: groups over 15 % of the range, parted at gaps over 15 scans and, where wider than 20, at their inner peaks; heights, and areas as sums of 17 samples."""
+    groups = pk.threshold_groups(region, 0.15, 15, least_range=50)
+    tops = pk.parted_groups(region, groups, 20, 10, 0.03)
+    around = st.scans("channel").rowsBetween(-8, 8)
+    return tops.join(whole.withColumn("area", F.sum("y").over(around)).select(*pk.BY_CHANNEL, "scan", "area"), [*pk.BY_CHANNEL, "scan"])
+
+
+def used_samples(samples: DataFrame, whole: DataFrame, standards: DataFrame, limits: DataFrame, low: int = PLATE_RUN["match_low"], high: int = PLATE_RUN["match_high"]) -> DataFrame:
+    """The sample peaks that count: without a lone first one (primer), over 2.5 and under the plate's limit (plate, limit) wide, and of these the ones matched to standards, each to one.
+
+    Wells with fewer than two standards, or fewer than two matches, keep all that passed.
+    """
+    left = pk.top_widths(whole, pk.without_primer(samples, 30).select(*pk.BY_CHANNEL, "scan", "height", "area"), 30, 29)
+    kept = left.join(limits, "plate").where((F.col("top_width") > 2.5) & (F.col("top_width") < F.col("limit"))).select(*pk.BY_CHANNEL, "scan", "height", "area")
+    many = standards.groupBy(*WELL).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select(*WELL)
+    pairs = gt.match_samples(standards.join(many, WELL, "left_semi"), kept, low, high).select(*WELL, "scan")
+    good = pairs.withColumn("_m", F.count(F.lit(1)).over(st.whole())).where("_m >= 2")
+    fallback = kept.join(good.select(*WELL).distinct(), WELL, "left_anti")
+    return kept.join(good.select(*WELL, "scan"), [*WELL, "scan"], "left_semi").select(fallback.columns).unionByName(fallback)
+
+
+def plate_run(trace: DataFrame, low: int = PLATE_RUN["scan_start"], high: int = PLATE_RUN["scan_end"], standard: str = "c3", sample: str = "c2") -> DataFrame:
+    """Whole plates from traces: grade, then each well's standards, sample peaks, Gaussian fits, mutant fraction and areas over those of the nearest standard.
+
+    Peaks are sought in [low, high), widths of single peaks in the whole trace. The grade rests on all wells of a plate, so that reruns
+    agree. Rows: plate, well, grade, n_peaks, mf, status, scans (of the fits), norm_areas (0 without a standard); wells that end before ``low`` are left out.
+    """
+    std_whole, smp_whole = sg.to_long(trace, [standard]), sg.to_long(trace, [sample])
+    inside = (F.col("scan") >= low) & (F.col("scan") < high)
+    std_in, smp_in = std_whole.where(inside), smp_whole.where(inside)
+    wells = trace.where(inside).select(*WELL).distinct()
+    found = pk.found_peaks(std_in, lambda y: {"height": 500, "distance": 25, "prominence": 300})
+    wide = lambda long, p: pk.half_width(long, p.select(*pk.BY_CHANNEL, "scan", "height"))
+    narrow = wide(smp_in, pk.found_peaks(smp_in, lambda y: {"height": 2000, "distance": 10})).where("fwhm < 30")
+    graded = plate_quality(wide(std_in, found), narrow, wells)
+    limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in gt.FWHM_LIMITS.items() for x in kv]), F.col("grade"))
+    standards = plate_standards(std_in, std_whole, found)
+    # The groups' head is the region's, so its scans count from its start.
+    moved = lambda d, by: d.withColumn("scan", F.col("scan") + by)
+    samples = moved(plate_samples(moved(smp_in, -low), moved(smp_whole, -low)), low)
+    used = used_samples(samples, smp_whole, standards, graded.select("plate", limit.alias("limit")))
+    smooth = sg.smooth(moved(smp_in, -low), 7).withColumn("y", F.col("smooth")).drop("smooth")
+    # The fit is the dear step and is read by two aggregates: its few rows go by well.
+    item = F.struct((F.col("scan") + low).alias("scan"), "height", "area")
+    fitted = pk.deconvolve(smooth, moved(used, -low)).groupBy(*WELL).agg(F.array_sort(F.collect_list(item)).alias("p"))
+    std = standards.groupBy(*WELL).agg(F.array_sort(F.collect_list(F.struct("scan", "area"))).alias("s"))
+    near = lambda x: F.array_min(F.transform("s", lambda s: F.struct(F.abs(s["scan"] - x["scan"]).alias("d"), s["scan"].alias("at"), s["area"].alias("area"))))["area"]
+    d = wells.join(graded.select("plate", "grade"), "plate").join(fitted, WELL, "left").join(std, WELL, "left")
+    d = d.withColumn("norm_areas", F.transform("p", lambda x: F.when(near(x).isNotNull(), x["area"] / F.greatest(near(x), F.lit(1.0))).otherwise(0.0)))
+    calls = gt.mutant_fraction(fitted.select(*WELL, F.inline("p")))
+    none = F.expr("cast(array() as array<double>)")
+    return d.join(calls, WELL, "left").select(
+        *WELL, "grade", F.coalesce("n_peaks", F.lit(0)).cast("long").alias("n_peaks"), F.coalesce("mf", F.lit(0.0)).alias("mf"), F.coalesce("status", F.lit("no peaks")).alias("status"),
+        F.coalesce(F.col("p.scan"), none).alias("scans"), F.coalesce("norm_areas", none).alias("norm_areas"),
     )
 
 

@@ -6,6 +6,8 @@ rows; null samples stay null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -159,19 +161,30 @@ def by_maximum(long: DataFrame) -> DataFrame:
 
 
 def windows(trace: DataFrame, positions: DataFrame, radius: int, channels: list[str] = CHANNELS) -> DataFrame:
-    """Samples around positions (plate, well, position) that lie wholly inside the trace: an array per channel, by range frames on the one sort."""
-    frame = st.scans().rowsBetween(-radius, radius)
-    n = F.count(F.lit(1)).over(st.whole())
-    d = trace.withColumn("_n", n).withColumns({f"x_{c}": F.collect_list(c).over(frame) for c in channels})
-    d = d.where((F.col("scan") >= radius) & (F.col("scan") < F.col("_n") - radius)).select(*WELL, F.col("scan").alias("position"), *[f"x_{c}" for c in channels])
-    return positions.join(d, [*WELL, "position"])
+    """Samples around positions (plate, well, position) that lie wholly inside the trace: an array per channel.
+
+    A well's samples meet its positions as two arrays of one row, and each window is a slice: no scan without a position makes a window, and
+    nothing is joined by scan. Scans count from 0 without gaps.
+    """
+    width = 2 * radius + 1
+    wells = trace.groupBy(*WELL).agg(F.array_sort(F.collect_list(F.struct("scan", *channels))).alias("_t")).withColumn("_n", F.size("_t"))
+    rest = [c for c in positions.columns if c not in (*WELL, "position")]
+    wanted = positions.groupBy(*WELL).agg(F.collect_list(F.struct("position", *rest)).alias("_p"))
+    inside = F.filter("_p", lambda p: (p["position"] >= radius) & (p["position"] < F.col("_n") - radius))
+    around = lambda p, c: F.transform(F.slice(F.col("_t"), (p["position"] - radius + 1).cast("int"), F.lit(width)), lambda x: x[c])
+    cut = F.transform(inside, lambda p: F.struct(p["position"].alias("position"), *[p[c].alias(c) for c in rest], *[around(p, c).alias(f"x_{c}") for c in channels]))
+    return wells.join(wanted, WELL).select(*WELL, F.inline(cut))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def zscored(x: Column) -> Column:
     """An array's values less their mean, over their population deviation and 1e-8."""
-    n = F.size(x)
-    mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
-    return F.transform(x, lambda v: (v - mean) / (F.sqrt(F.aggregate(F.transform(x, lambda u: (u - mean) * (u - mean)), F.lit(0.0), lambda s, v: s + v) / n) + 1e-8))
+    n, total = F.size(x), lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    return _let(total(x) / n, lambda m: _let(F.sqrt(total(F.transform(x, lambda u: (u - m) * (u - m))) / n) + 1e-8, lambda d: F.transform(x, lambda v: (v - m) / d)))
 
 
 def shifted(x: Column, by: int) -> Column:

@@ -12,7 +12,7 @@ from ..operators import chromatogram as ch
 from ..operators import learning as ln
 from ..operators import sequences as sq
 from ..operators import signal as sg
-from ..schema import CHANNELS, DISPLAY_MATRIX, MOBILITY_SEARCH, SPECTRAL_MATRIX, WELL
+from ..schema import CHANNELS, DISPLAY_MATRIX, M13_REFERENCE, MOBILITY_SEARCH, SPECTRAL_MATRIX, WELL
 from ..sources import sinks
 from ..streaming import ingest
 from . import views as v
@@ -20,8 +20,6 @@ from .peak_queries import ALL
 from .signal_queries import UN, _unmix_exprs
 from .views import PK, SM, TR, lg, sql
 
-REFERENCE = "ACGTTGCAACGGTTCAGTCAAGCTTGCATGCCTGCAGGTCGACTCTAGAGGATCCCCGGGTACCGAGCTCG"
-
 
 def _dyed(spark: SparkSession, sf: str) -> DataFrame:
     return sg.unmix(v.trace(spark, sf), SPECTRAL_MATRIX)
@@ -149,7 +147,7 @@ def sequence_clean(spark: SparkSession, sf: str) -> DataFrame:
 def sw_align(spark: SparkSession, sf: str) -> DataFrame:
     """AL-1: benchmark texts as sequences against one reference."""
     d = v.table(spark, sf, "benchmark").select("item_id", sq.cleaned(F.col("text")).alias("sequence"))
-    return sq.align(d, REFERENCE)
+    return sq.align(d, M13_REFERENCE)
 
 
 def align_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,6 +271,14 @@ def grid_decode(spark: SparkSession, sf: str) -> DataFrame:
     return ch.decode(ch.encode(d)).select("id", F.round("loc", 6).alias("loc"), F.round("area", 4).alias("area"))
 
 
+def grid_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """CN-8: signals by their greatest value, and their cells' areas by the same; sums of both by signal."""
+    signals = v.table(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("point"), F.col("value").alias("y"))
+    x, cells = ch.scaled_examples(signals, ch.encode(_cell_peaks(spark, sf)))
+    a = x.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 4).alias("x"))
+    return a.join(cells.groupBy("id").agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.sum("area"), 3).alias("area")), "id")
+
+
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
     e = v.table(spark, sf, "events")
     return e.select(
@@ -361,6 +367,7 @@ QUERIES: v.Queries = {
     "optimal_threshold": (optimal_threshold, sql("SELECT coalesce(min(threshold) FILTER (WHERE accuracy >= 0.25 AND coverage > 0), 0.95)::DOUBLE AS threshold FROM cu", SM, SC, CU)),
     "best_threshold": (best_threshold, sql("SELECT *, round(accuracy * sqrt(coverage), 9) AS value FROM cu ORDER BY value DESC, threshold LIMIT 1", SM, SC, CU)),
     "quality_filter": (quality_filter, sql("SELECT label, count(*) AS n, 'with' AS mode FROM q WHERE label = 4 OR quality > 20 GROUP BY label UNION ALL SELECT label, count(*), 'without' FROM q WHERE label <> 4 AND quality > 20 GROUP BY label", SM, "q AS (SELECT vec_id, label % 5 AS label, vec_id % 50 AS quality FROM sm)")),
+    "grid_examples": (grid_examples, sql("SELECT id, n, x, n_cells, area FROM (SELECT id, count(*) AS n, round(sum(y / t), 4) AS x FROM si JOIN tp USING (id) GROUP BY id) JOIN (SELECT id, count(*) AS n_cells, round(sum(area / t) * 600, 3) AS area FROM (SELECT *, row_number() OVER (PARTITION BY id, least(floor(loc * 256), 255) ORDER BY loc DESC) AS k FROM cp) JOIN tp USING (id) WHERE k = 1 GROUP BY id) USING (id)", CP, "si AS (SELECT user_id AS id, value AS y FROM events)", "tp AS (SELECT id, max(y) AS t FROM si GROUP BY id)")),
     "grid_encode": (grid_encode, sql("SELECT id, cell, 1.0::DOUBLE AS p, round(loc * 256 - cell, 6) AS rel, round(area, 4) AS area FROM (SELECT *, row_number() OVER (PARTITION BY id, cell ORDER BY loc DESC) AS k FROM (SELECT *, CAST(least(floor(loc * 256), 255) AS BIGINT) AS cell FROM cp)) WHERE k = 1", CP)),
     "grid_decode": (grid_decode, sql("SELECT id, round(loc, 6) AS loc, round(area, 4) AS area FROM (SELECT *, row_number() OVER (PARTITION BY id, floor(loc * 256) ORDER BY loc) AS k FROM cp) WHERE k = 1", CP)),
     "grid_metrics": (grid_metrics, sql("SELECT round(count(*) FILTER (WHERE p > 0.5 AND truth = 1) / count(*) FILTER (WHERE truth = 1), 6) AS tpr, round(count(*) FILTER (WHERE p > 0.5 AND truth = 0) / count(*) FILTER (WHERE truth = 0), 6) AS fpr, round(avg(CAST((p > 0.5) = (truth = 1) AS INTEGER)), 6) AS accuracy, round(avg(abs(rel - rel_true)) FILTER (WHERE truth = 1 AND p > 0.5), 6) AS mae_loc, round(avg(abs(area - area_true) / area_true) FILTER (WHERE truth = 1 AND p > 0.5), 6) AS mre_area, round(avg(abs(rel - rel_true) / rel_true) FILTER (WHERE truth = 1 AND p > 0.5), 6) AS mre_loc FROM ce", CE)),

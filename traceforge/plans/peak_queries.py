@@ -315,8 +315,8 @@ def well_set_ops(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def find_peaks_full(spark: SparkSession, sf: str) -> DataFrame:
-    """PK-1, PK-2, PK-3 and PK-6: the detector with all its filters; sequential, tested on hand vectors."""
-    return pk.detect(v.long(spark, sf, C1), height=100, prominence=50, distance=5, width=1, stutter=5)
+    """PK-1, PK-2, PK-3 and PK-6: the detector with all its filters on all channels; sequential, tested on hand vectors."""
+    return pk.detect(v.long(spark, sf), height=100, prominence=50, distance=5, width=1, stutter=5)
 
 
 def nms_peaks(spark: SparkSession, sf: str) -> DataFrame:

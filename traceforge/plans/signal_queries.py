@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import stencils as st
 from ..operators import signal as sg
-from ..schema import DISPLAY_MATRIX, SPECTRAL_MATRIX
+from ..schema import DETECTOR, DISPLAY_MATRIX, SMOOTH_WINDOW, SPECTRAL_MATRIX, WIDTH_HEIGHT
 from . import views as v
+from .peak_sql import edges, finder
 from .views import TR, lg, sql
 
 W = "WINDOW w AS (PARTITION BY plate, well, channel ORDER BY scan)"
@@ -65,11 +66,16 @@ def savgol_smooth_11(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _savgol_sql(width: int, *channels: str) -> str:
+    taps = _savgol_expr(width)
+    return sql(f"SELECT plate, well, channel, scan, y, round({taps}, 3) AS smooth FROM q {W}", TR, lg(*channels), "q AS (SELECT *, count(*) OVER (PARTITION BY plate, well, channel) AS n FROM lg)")
+
+
+def _savgol_expr(width: int) -> str:
     rows, half = st.fit_rows(width), width // 2
     at = lambda k: "y" if k == 0 else f"lead(y, {k}) OVER w" if k > 0 else f"lag(y, {-k}) OVER w"
     taps = lambda i, shift: " + ".join(f"({float(rows[i, j])!r}) * {at(j - shift)}" for j in range(width))
     ends = "".join(f" WHEN scan = {i} THEN {taps(i, i)} WHEN scan = n - 1 - {i} THEN {taps(width - 1 - i, width - 1 - i)}" for i in range(half))
-    return sql(f"SELECT plate, well, channel, scan, y, round(CASE WHEN n < {width} THEN y{ends} ELSE {taps(half, half)} END, 3) AS smooth FROM q {W}", TR, lg(*channels), "q AS (SELECT *, count(*) OVER (PARTITION BY plate, well, channel) AS n FROM lg)")
+    return f"CASE WHEN n < {width} THEN y{ends} ELSE {taps(half, half)} END"
 
 
 def mad_attenuate(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,7 +99,7 @@ def current_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def align_shift(spark: SparkSession, sf: str) -> DataFrame:
-    """PRE-11: by the left edge of the tallest peak that the detector finds in any channel; sequential in its peaks, tested on hand vectors."""
+    """PRE-11: by the left edge of the tallest peak that the detector finds in any channel."""
     from ..operators.peaks import detect_default
 
     d = sg.align_to_left_edge(v.trace(spark, sf), detect_default(v.long(spark, sf)))
@@ -106,10 +112,11 @@ def align_tallest_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def transform_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """PRE-12: norm, then align, then unmix, on the pristine trace."""
-    d = sg.normalise_current(v.trace(spark, sf)).withColumnRenamed("scan_pos", "normed")
-    d = sg.align_to_peak(d, "c1")
-    return _rounded(sg.unmix(d, DISPLAY_MATRIX).withColumn("scan_pos", F.col("normed") + F.col("shift")), "scan_pos", "d1", "d2", to=3).select("plate", "well", "scan", "scan_pos", "d1", "d2")
+    """PRE-12: norm, then align by the left edge on the normed axis, then unmix, on the pristine trace."""
+    from ..operators.runs import transformed
+
+    d = transformed(v.trace(spark, sf), matrix=DISPLAY_MATRIX)
+    return _rounded(d, "scan_pos", "d1", "d2", to=3).select("plate", "well", "scan", "scan_pos", "d1", "d2")
 
 
 def resample_grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,6 +157,13 @@ def als_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(sg.als_baseline(v.long(spark, sf, ("c1",)), 1e5), "baseline", "corrected", to=3)
 
 
+#: The smoothed channels, the default detector's peaks, and the left edge of each well's tallest.
+EDGE = [
+    lg(), "q AS (SELECT *, count(*) OVER (PARTITION BY plate, well, channel) AS n FROM lg)",
+    f"ss AS MATERIALIZED (SELECT plate, well, channel, scan AS pos, y, {_savgol_expr(SMOOTH_WINDOW)} AS s FROM q {W})",
+    *finder("ss", "fp", str(DETECTOR["height"]), DETECTOR["distance"], str(DETECTOR["prominence"]), DETECTOR["min_width"]),
+    f"ed AS MATERIALIZED (SELECT plate, well, {edges(WIDTH_HEIGHT)[0]} AS spot FROM (SELECT fp.*, row_number() OVER (PARTITION BY fp.plate, fp.well ORDER BY y DESC, fp.pos, fp.channel) AS k FROM fp JOIN ss USING (plate, well, channel, pos)) WHERE k = 1)",
+]
 P5 = "p5 AS (SELECT *, 1 AS k FROM pk)"
 UN = _unmix_exprs(SPECTRAL_MATRIX)
 UD = _unmix_exprs(DISPLAY_MATRIX)
@@ -167,9 +181,9 @@ QUERIES: v.Queries = {
     "mad_attenuate": (mad_attenuate, sql("SELECT plate, well, channel, scan, y, round(least(greatest(y, m - 5 * (d + 1e-8)), m + 5 * (d + 1e-8)), 4) AS clipped FROM (SELECT *, list_median(list_transform(a, lambda x: abs(x - m))) AS d FROM q)", TR, lg("c1"), "q AS (SELECT *, list(y) OVER w AS a, quantile_cont(y, 0.5) OVER w AS m FROM lg WINDOW w AS (PARTITION BY plate, well, channel ORDER BY scan ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING))")),
     "spectral_unmix": (spectral_unmix, sql("SELECT plate, well, scan, " + ", ".join(f"round({e}, 3) AS d{i + 1}" for i, e in enumerate(UN)) + " FROM tr", TR)),
     "current_normalize": (current_normalize, sql("SELECT tr.plate, tr.well, scan, round(scan * CASE WHEN own <> 0 THEN own / mid ELSE 1 END, 4) AS scan_pos FROM tr JOIN p USING (plate, well)", TR, "p AS (SELECT plate, well, own, avg(own) OVER (PARTITION BY plate) AS mid FROM (SELECT plate, well, avg(current) AS own FROM tr GROUP BY ALL))")),
-    "align_shift": (align_shift, None),
+    "align_shift": (align_shift, sql("SELECT tr.plate, tr.well, scan, round(coalesce(s, 0), 4) AS shift, round(scan + coalesce(s, 0), 4) AS scan_pos FROM tr LEFT JOIN h USING (plate, well)", TR, *EDGE, "h AS (SELECT plate, well, quantile_cont(spot, 0.5) OVER (PARTITION BY plate) - spot AS s FROM ed)")),
     "align_tallest_sample": (align_tallest_sample, sql("SELECT tr.plate, tr.well, scan, s AS shift, scan + s AS scan_pos FROM tr JOIN h USING (plate, well)", TR, "g AS (SELECT plate, well, scan AS spot FROM (SELECT *, row_number() OVER (PARTITION BY plate, well ORDER BY c1 DESC, scan) AS k FROM tr) WHERE k = 1)", "h AS (SELECT plate, well, quantile_cont(spot, 0.5) OVER (PARTITION BY plate) - spot AS s FROM g)")),
-    "transform_chain": (transform_chain, sql(f"SELECT tr.plate, tr.well, scan, round(scan * CASE WHEN own <> 0 THEN own / mid ELSE 1 END + s, 3) AS scan_pos, round({UD[0]}, 3) AS d1, round({UD[1]}, 3) AS d2 FROM tr JOIN p USING (plate, well) JOIN h USING (plate, well)", TR, "p AS (SELECT plate, well, own, avg(own) OVER (PARTITION BY plate) AS mid FROM (SELECT plate, well, avg(current) AS own FROM tr GROUP BY ALL))", "g AS (SELECT plate, well, scan AS spot FROM (SELECT *, row_number() OVER (PARTITION BY plate, well ORDER BY c1 DESC, scan) AS k FROM tr) WHERE k = 1)", "h AS (SELECT plate, well, quantile_cont(spot, 0.5) OVER (PARTITION BY plate) - spot AS s FROM g)")),
+    "transform_chain": (transform_chain, sql(f"SELECT tr.plate, tr.well, scan, round(scan * f + coalesce(s, 0), 3) AS scan_pos, round({UD[0]}, 3) AS d1, round({UD[1]}, 3) AS d2 FROM tr JOIN p USING (plate, well) LEFT JOIN h USING (plate, well)", TR, *EDGE, "p AS (SELECT plate, well, CASE WHEN own <> 0 THEN own / avg(own) OVER (PARTITION BY plate) ELSE 1 END AS f FROM (SELECT plate, well, avg(current) AS own FROM tr GROUP BY ALL))", "h AS (SELECT plate, well, quantile_cont(spot * f, 0.5) OVER (PARTITION BY plate) - spot * f AS s FROM ed JOIN p USING (plate, well))")),
     "resample_grid": (resample_grid, sql("SELECT g.plate, g.well, g.channel, i AS point, round(a.y + (coalesce(b.y, a.y) - a.y) * ((i * greatest(n - 1, 1) - (i * greatest(n - 1, 1)) // 127 * 127) / 127.0), 4) AS y FROM g JOIN lg a ON a.plate = g.plate AND a.well = g.well AND a.channel = g.channel AND a.scan = (i * greatest(n - 1, 1)) // 127 LEFT JOIN lg b ON b.plate = g.plate AND b.well = g.well AND b.channel = g.channel AND b.scan = a.scan + 1", TR, lg("c1", "c3"), "g AS (SELECT plate, well, channel, n, i FROM (SELECT plate, well, channel, count(*) AS n FROM lg GROUP BY ALL), range(0, 128) t(i))")),
     "max_normalize": (max_normalize, sql("SELECT plate, well, channel, scan, y, round(CASE WHEN m > 0 THEN y / m ELSE y END, 6) AS scaled FROM (SELECT *, max(y) OVER (PARTITION BY plate, well, channel) AS m FROM lg)", TR, lg("c1", "c2"))),
     "window_zscore": (window_zscore, sql("SELECT plate, well, scan AS position, " + ", ".join(f"round(({e} - avg({c}) OVER f) / (stddev_pop({c}) OVER f + 1e-8), 4) AS {c}_{n}" for c in ("c1", "c3") for e, n in ((c, "mid"), (f"first_value({c}) OVER f", "first"))) + ", n, k FROM (SELECT tr.*, count(*) OVER (PARTITION BY plate, well) AS n, p5.k FROM tr LEFT JOIN p5 USING (plate, well, scan)) WINDOW f AS (PARTITION BY plate, well ORDER BY scan ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)", TR, lg("c1"), v.PK, P5)),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import edits as ed
+from ..operators import experiments as ex
 from ..operators import genotype as gt
 from ..operators import gradients as gr
 from ..operators import training as tn
@@ -74,6 +75,13 @@ def npz_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("merged", "variant", F.col("well").cast("long").alias("well"), "position", "label", "quality", F.get("x_c1", F.lit(RADIUS)).alias("mid"), total.alias("total"))
 
 
+def experiment_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """DP-9: twelve configurations on the planted wells, folds fixed by hash; statistical, tested for its rows and that reruns agree."""
+    rows, features = planted_features(spark, sf)
+    levels = [f for f in features if f.startswith(("c1_", "c2_")) and f.endswith(("mean", "std", "max"))]
+    return ex.run_grid(rows, "label", WELL, ex.base_grid(levels, features)).select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in (x.split() for x in ex.RESULT.split(", "))])
+
+
 STEPS, RATE = 6, 0.05
 
 
@@ -153,6 +161,7 @@ COLUMNS = f"well, wn.position, CAST({LABEL} AS BIGINT) AS label, quality, mid, t
 QUERIES: v.Queries = {
     "saved_forest_calls": (saved_forest_calls, None),
     "npz_round_trip": (npz_round_trip, sql(MERGED, *BASES, MC, WN, f"ex AS (SELECT 'called' AS variant, {COLUMNS} FROM cl JOIN wn USING (plate, well, position) WHERE {INSIDE} UNION ALL SELECT 'matched', {COLUMNS} FROM mc JOIN wn USING (plate, well, position) WHERE {INSIDE} UNION ALL SELECT 'good', {COLUMNS} FROM cl JOIN wn USING (plate, well, position) WHERE {INSIDE} AND quality >= 10 AND base <> 'N')")),
+    "experiment_grid": (experiment_grid, None),
     "gradient_matrix": (gradient_matrix, _descent_sql()),
     "saved_references": (saved_references, f"SELECT n_name AS gene, CAST(i AS BIGINT) AS ref_idx, CAST(p + CASE WHEN n_regionkey = 1 THEN 7 ELSE 0 END AS BIGINT) AS ref_scan FROM nation, (VALUES {', '.join(f'({i + 1}, {p})' for i, p in enumerate(v.REFERENCE_SCANS))}) t(i, p) WHERE n_regionkey <> 1 OR i <= 3"),
     "labelled_log": (labelled_log, sql("SELECT channel AS source, plate, count(*) AS n, CAST(sum(scan) AS BIGINT) AS scans FROM pk GROUP BY ALL", TR, lg("c1", "c3"), PK)),

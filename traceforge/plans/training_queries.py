@@ -13,7 +13,6 @@ from ..operators import basecall as bc
 from ..operators import genotype as gt
 from ..operators import learning as ln
 from ..operators import peaks as pk
-from ..operators import runs
 from ..operators import signal as sg
 from ..operators import standards as sd
 from ..operators import training as tn
@@ -150,11 +149,6 @@ def peak_forest(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(model.getNumTrees, float(held_out), float(folds))], "trees int, held_out double, cross_validated double")
 
 
-def plate_run(spark: SparkSession, sf: str) -> DataFrame:
-    """GT-17: whole plates; tested on hand vectors."""
-    return runs.plate_run(v.trace(spark, sf), 100, 500).select(*WELL, "grade", "n_peaks", F.round("mf", 6).alias("mf"), "status", F.size("scans").alias("n_scans"))
-
-
 def calls_by_chemistry(spark: SparkSession, sf: str) -> DataFrame:
     """BC-17 and BC-7: each chemistry and caller variant by name, its calls counted by base; sequential in its peaks, tested on hand vectors."""
     names = ("ET Terminators", "TSII-v2", "Cimarron 3.12", "Cimarron 3.12 and Aligned", "Cimarron 3.12 Even Spacing")
@@ -243,7 +237,6 @@ QUERIES: v.Queries = {
     "standard_calls": (standard_calls, None),
     "standard_only_calls": (standard_only_calls, None),
     "peak_forest": (peak_forest, None),
-    "plate_run": (plate_run, None),
     "calls_by_chemistry": (calls_by_chemistry, None),
     "scatter_matrices": (scatter_matrices, sql(SCATTER, SM)),
     "discriminants": (discriminants, None),

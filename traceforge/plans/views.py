@@ -52,7 +52,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REFERENCE_SCANS = (100, 200, 320, 420)
 
-TR = """tr AS (
+TR = """tr AS MATERIALIZED (
   SELECT CAST(s_nationkey AS BIGINT) AS plate, l_suppkey AS well,
     CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS BIGINT) AS scan,
     l_extendedprice AS c1, l_quantity * 1000 AS c2, l_extendedprice * l_discount AS c3, l_extendedprice * l_tax AS c4, l_quantity AS current
@@ -66,7 +66,7 @@ def lg(*channels: str) -> str:
 #: Runs of equal samples compared with the runs beside them.
 PK = """ru AS (SELECT *, coalesce(lag(y) OVER w <> y, true) AS fresh, max(scan) OVER (PARTITION BY plate, well, channel) AS fin FROM lg WINDOW w AS (PARTITION BY plate, well, channel ORDER BY scan)),
 rv AS (SELECT *, lag(y) OVER w AS b, lead(y) OVER w AS a, lead(scan) OVER w - 1 AS e FROM ru WHERE fresh WINDOW w AS (PARTITION BY plate, well, channel ORDER BY scan)),
-pk AS (SELECT plate, well, channel, CAST((scan + e) // 2 AS BIGINT) AS scan, y AS height FROM rv WHERE y > b AND y > a)"""
+pk AS MATERIALIZED (SELECT plate, well, channel, CAST((scan + e) // 2 AS BIGINT) AS scan, y AS height FROM rv WHERE y > b AND y > a)"""
 
 RF = f"rf AS (SELECT plate, ref_idx, ref_scan FROM (SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS plate FROM supplier), (VALUES {', '.join(f'(CAST({i + 1} AS BIGINT), CAST({p} AS BIGINT))' for i, p in enumerate(REFERENCE_SCANS))}) v(ref_idx, ref_scan))"
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stencils as st
 from ..operators.sequences import wrapped
-from ..schema import WELL
+from ..schema import M13_REFERENCE, WELL
 
 
 def base_rows(calls: DataFrame) -> DataFrame:
@@ -67,6 +67,12 @@ def upserted_references(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("gene").distinct(), "gene", "left_anti").unionByName(new)
 
 
+def write_reference(spark: SparkSession, path: str, sequence: str = M13_REFERENCE, width: int | None = None) -> None:
+    """A reference sequence as a text folder: one line, or lines of ``width``."""
+    line = F.lit(sequence) if width is None else wrapped(F.lit(sequence), width)
+    spark.range(1).select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def gene_of(folder):
     """The gene a folder is named after: the second part of its name once the prefix is off."""
     return F.try_element_at(F.split(folder, "_"), F.lit(2))
