@@ -157,3 +157,29 @@ def test_prose_does_not_crowd_out_a_notice(notice, spark):
     rows = [(1, text), (2, " ".join(words) + " so " + text), (3, others + " . " + text)]
     got = {r["doc_id"]: r["labels"].split(",") for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(label in got[i] for i in (1, 2, 3))
+
+
+def test_heads_comments_and_references():
+    texts = lambda page: [b.text for b in htmlblocks.blocks(page)]
+    assert texts("<html><head><title>T</title><article><p>First.</p><p>Second.</p></article></html>") == ["First.", "Second."]
+    assert texts("<head><meta charset=x><style>a</style>Text here<p>Second.") == ["Text here", "Second."]
+    assert texts("<html><head><link href=y> \n <script>a</script></head><body><p>Ok.</p>") == ["Ok."]
+    assert texts("One.<!-- a --!>Two.<!--> Three<!---> Four<!-- x -- > y --> Five <!-- end") == ["One.Two. Three Four Five"]
+    assert texts("&am<b></b>p; &amp; &lt;b&gt; &#x41;") == ["&amp; & <b> A"]
+
+
+def test_deep_pages_in_seconds():
+    import time
+
+    began = time.time()
+    for page in ("<div>a" * 100_000, "<p><div>" + "<center>b" * 100_000, "<b>" * 100_000 + "<p>c</p>" * 10, "<li><div class='content'>x</p>" * 50_000):
+        assert htmlblocks.blocks(page)
+    assert extraction.main_text("<div>a" * 20_000, extraction.model()).count("a") in range(20_001)
+    assert time.time() - began < 60
+
+
+def test_pages_repeated_tied_and_with_clashing_columns(spark):
+    page = "<article><p>Some words of the text stand here.</p><p>More of them follow here.</p></article>"
+    d = spark.createDataFrame([(1, "u", page), (1, "u", page), (1, "v", page), (None, None, None)], "page_id long, url string, html string")
+    got = extraction.extract(d.selectExpr("*", "1 AS text", "2 AS n_chars")).collect()
+    assert sorted(r["text"] for r in got) == [""] + ["Some words of the text stand here.\nMore of them follow here."] * 3

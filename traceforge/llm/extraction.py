@@ -19,8 +19,9 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import htmlblocks
 from .crf import Chain, train
-from .htmlblocks import Block, blocks
+from .htmlblocks import Block
 from .labelledpages import labelled_pages
 
 PAGES = 500
@@ -29,15 +30,21 @@ HINTS = {
     "text": "article content post entry story body text main page",
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc pagination tabs",
     "advert": "ad ads advert adverts advertisement sponsor sponsored promo banner promotion",
-    "notice": "cookie cookies consent notice alert gdpr newsletter subscribe popup modal overlay paywall",
-    "foot": "footer foot copyright colophon legal contentinfo",
+    "notice": "cookie cookies consent notice alert gdpr newsletter subscribe popup modal overlay paywall cc",
+    "foot": "footer foot copyright colophon legal contentinfo bottom",
     "head": "header head masthead topbar top logo",
     "side": "sidebar side aside related widget rail recommended complementary more",
-    "talk": "comment comments disqus reply replies respond discussion reader thread",
+    "talk": "comment comments disqus reply replies respond discussion reader thread commentlist commentslist",
     "form": "form search login signup register input",
     "share": "share sharing social follow",
 }
 _HINT = {w: k for k, ws in HINTS.items() for w in ws.split()}
+_KNOWN = frozenset(_HINT)
+
+
+def blocks(page: str | None) -> list[Block]:
+    """A page's blocks, with the marks that hint at something."""
+    return htmlblocks.blocks(page, _KNOWN)
 
 
 def features(found: list[Block]) -> list[list[str]]:
@@ -45,12 +52,11 @@ def features(found: list[Block]) -> list[list[str]]:
     out = []
     for i, b in enumerate(found):
         n = b.text.count(" ") + 1
-        tags = set(b.tags)
-        hints = {_HINT[m] for m in b.marks if m in _HINT}
+        tags, hints = b.tags, {_HINT[m] for m in b.marks if m in _HINT}
         size = next(k for k, most in (("1", 1), ("3", 3), ("9", 9), ("24", 24), ("60", 60), ("many", 1 << 60)) if n <= most)
         share = "none" if b.link_share == 0 else "some" if b.link_share < 0.4 else "most" if b.link_share < 0.9 else "all"
-        f = ["bias", f"words {size}", f"links {share}", f"size and links {size} {share}", f"leaf {b.tags[-1] if b.tags else 'none'}"]
-        f += [f"in {t}" for t in tags] + [f"hint {h}" for h in hints]
+        f = ["bias", f"words {size}", f"links {share}", f"size and links {size} {share}", f"leaf {b.leaf}"]
+        f += [f"in {t}" for t in sorted(tags)] + [f"hint {h}" for h in sorted(hints)]
         f += ["no container"] * (not tags & {"article", "main", "nav", "aside", "footer", "header", "form"} and not hints)
         f += [f"end {'stop' if b.text[-1] in '.!?:;…' else 'other'}", "sign"] if b.text[:1] == "©" else [f"end {'stop' if b.text[-1] in '.!?:;…' else 'other'}"]
         f += ["first"] * (i == 0) + ["last"] * (i == len(found) - 1)
