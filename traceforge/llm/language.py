@@ -6,8 +6,8 @@ each language; an unseen one the mean of its longest known n-grams; a word of un
 says nothing. A text goes to the language of the greatest sum over all its words; ``score`` is that
 language's share of the softmax.
 
-Fitting reads at most about ``TRAIN_ROWS`` labelled rows of each language, drawn by a hash of doc_id, so a
-rare language is learned as well as a frequent one; it keeps every word and n-gram seen ``LEAST`` times in
+Fitting reads about ``TRAIN_ROWS`` different labelled rows of each language at most, drawn by a hash of doc_id and text, so a
+rare language is learned as well as a frequent one, and many texts under one doc_id are texts of their own (equal rows count once); it keeps every word and n-gram seen ``LEAST`` times in
 them (a word seen once tells no more than its n-grams). So the rows bound the model, which is broadcast. Counting
 is a Spark aggregation that combines inside tasks. Prediction needs no shuffle and reads whole texts.
 
@@ -170,12 +170,14 @@ def _table(counts: DataFrame, languages: list[str]) -> tuple[dict[str, int], np.
 def fit(documents: DataFrame) -> Model:
     """A model from rows with a lang that are not held out."""
     labelled = documents.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    # A row per language: the sample is drawn where the texts are read, none of them travels.
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    # By id and text, so that many texts under one id are told apart; equal rows are one. A row per language reaches the driver.
+    hashed = labelled.withColumn("_hash", F.xxhash64("doc_id", "text"))
+    sizes = {r["lang"]: max(1, r["n"]) for r in hashed.groupBy("lang").agg(F.approx_count_distinct("_hash").alias("n")).collect()}
     if not sizes:
         return Model([], {}, {}, np.zeros((0, 0)), np.zeros((0, 0)))
     rows = F.create_map(*[F.lit(x) for kv in sorted(sizes.items()) for x in kv])
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.element_at(rows, F.col("lang"))) < TRAIN_ROWS)
+    # Only what is drawn travels, to leave out rows that are drawn twice.
+    drawn = hashed.where(F.pmod("_hash", F.element_at(rows, F.col("lang"))) < TRAIN_ROWS).dropDuplicates(["lang", "_hash"])
     counts = written(_counted(drawn), "word-counts")
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     ws, word_logs = _table(counts, languages)
