@@ -481,6 +481,33 @@ def test_a_rare_language_keeps_its_words(spark):
     assert m.predict("sjön" * 20_000)[0] == "sv"
 
 
+def test_rows_of_one_id_are_learned_from(spark):
+    """Many texts under one doc_id, and many equal rows, beside a small language."""
+    few = [(i, f"the house of the man is number {i}", "en") for i in range(50)]
+    for doc_id in (3, 4, 7, 8, 11):
+        many = [(doc_id, f"ett hus vid sjön är rött {i}", "sv") for i in range(12_000)]
+        m = language.fit(spark.createDataFrame(many + few + [(doc_id, "samma rad igen", "da")] * 9_000, "doc_id long, text string, lang string"))
+        if zlib.crc32(str(doc_id).encode()) % 4 != 2:
+            assert m.languages == ["da", "en", "sv"] and "sjön" in m.words and m.predict("ett hus vid sjön")[0] == "sv"
+
+
+def test_a_pool_holds_tails_alone(spark):
+    """What the packer keeps of long documents is less than a sequence of each."""
+    held = []
+
+    class Spy(Packer):
+        def fill(self, keep):
+            held.append(max(len(k[1]) // 4 for k in self.keys) if self.keys else 0)
+            super().fill(keep)
+
+    out = []
+    p = Spy(Limits(), lambda key, *x: out.append((key[0], *x)), tail=lambda k, s: (k[0], k[1][4 * s :], s, k[3]))
+    for i in range(packing.POOL + 5):
+        p.add((i, bytes(4 * 5000), 0, 5000), 5000)
+    p.end()
+    assert held and max(held) < 2048 and sum(x[2] for x in out) == 5000 * (packing.POOL + 5)
+
+
 def test_viterbi_is_the_best_of_all_labelings():
     import itertools
 

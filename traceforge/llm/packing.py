@@ -6,7 +6,8 @@ bin has left, each dimension scaled by its limit and weighted by the pool's mean
 fits, an example may be cut (documents; not for instruction examples) to fill the bin to the brim.
 
 A document of more than a sequence first fills sequences of its own; its tail joins the pool. Pools
-live inside the tasks of the scan: no shuffle, and memory is one pool of at most ``POOL`` tails. What is
+live inside the tasks of the scan: no shuffle, and memory is one pool of at most ``POOL`` tails, each of less than
+a sequence, and one piece of a batch. What is
 left at the end of a task makes sequences whose lengths are powers of two, so it needs no padding.
 
 Plain documents bear loss on all tokens after a piece's first, so there the token limit alone binds, and the heuristic
@@ -48,10 +49,10 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Packer:
-    """Examples in, (example, start, length, sequence, offset) out. ``cut`` allows to split examples."""
+    """Examples in, (example, start, length, sequence, offset) out. ``cut`` allows to split examples; ``tail`` makes what the pool holds of one that is used up to a place."""
 
-    def __init__(self, limits: Limits, emit: Callable[[object, int, int, int | None, int | None], None], cut: bool = True):
-        self.limits, self.emit, self.cut = limits, emit, cut
+    def __init__(self, limits: Limits, emit: Callable[[object, int, int, int | None, int | None], None], cut: bool = True, tail: Callable[[object, int], object] | None = None):
+        self.limits, self.emit, self.cut, self.tail = limits, emit, cut, tail
         self.keys: list[object] = []
         self.begin: list[int] = []
         self.tokens: list[int] = []
@@ -70,7 +71,7 @@ class Packer:
             self.emit(key, 0, tokens, None, None)
             return
         if start < tokens:
-            self.keys.append(key)
+            self.keys.append(self.tail(key, start) if self.tail else key)
             self.begin.append(start)
             self.tokens.append(tokens - start)
             self.loss.append(tokens - start - 1 if loss is None else loss)
@@ -149,9 +150,13 @@ def pack_documents(documents: DataFrame, limits: Limits = Limits(), tokenizer: s
         w, base = wordids.worker(path), TaskContext.get().partitionId() << 32
         out: list[tuple] = []
 
-        def emit(key: tuple[int | None, bytes], start: int, length: int, sequence: int, offset: int) -> None:
-            doc_id, ids = key
-            out.append((doc_id, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), len(ids) // 4, base + sequence, offset, length - 1))
+        def emit(key: tuple[int | None, bytes, int, int], start: int, length: int, sequence: int, offset: int) -> None:
+            doc_id, ids, first, total = key
+            out.append((doc_id, start, length, zlib.crc32(memoryview(ids)[4 * (start - first) : 4 * (start - first + length)]), total, base + sequence, offset, length - 1))
+
+        def tail(key: tuple[int | None, bytes, int, int], start: int) -> tuple[int | None, bytes, int, int]:
+            """The pool keeps a document's last ids alone, not those that are packed."""
+            return key[0], key[1][4 * start :], start, key[3]
 
         def rows() -> pa.RecordBatch:
             columns = zip(*out) if out else [[]] * 8
@@ -159,12 +164,12 @@ def pack_documents(documents: DataFrame, limits: Limits = Limits(), tokenizer: s
             out.clear()
             return batch
 
-        packer = Packer(limits, emit)
+        packer = Packer(limits, emit, tail=tail)
         for b in batches:
             column = b.column("doc_id")
             for t in pieces(b.column("text"), 4 << 20):
                 for doc_id, ids in zip(column.slice(t.first, len(t)).to_pylist(), w.encode(t)):
-                    packer.add((doc_id, ids), len(ids) // 4)
+                    packer.add((doc_id, ids, 0, len(ids) // 4), len(ids) // 4)
                 if out:
                     yield rows()
         packer.end()
