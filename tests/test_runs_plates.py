@@ -13,7 +13,7 @@ from traceforge.operators import peaks as pk
 from traceforge.operators import runs
 from traceforge.operators import sequences as sq
 from traceforge.operators import signal as sg
-from traceforge.plans import store_queries as store
+from traceforge.plans import planted
 from traceforge.schema import M13_REFERENCE, WELL
 from traceforge.sources import folders, sinks
 
@@ -212,7 +212,7 @@ def test_top_widths(spark):
 
 
 def test_experiments_agree(spark):
-    rows, features = store.planted_features(spark, "/root/testdata/sf0.01")
+    rows, features = planted.planted_features(spark, "/root/testdata/sf0.01")
     rows = rows.persist()
     level = [f for f in features if f.startswith(("c1_", "c2_")) and f.endswith(("mean", "std", "max"))]
     few = [c for c in ex.base_grid(level, features) if c.name in ("logistic_level_0.01", "logistic_level_0.1", "forest_level_3")]

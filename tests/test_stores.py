@@ -346,3 +346,37 @@ def test_queries_of_stores_have_rows(spark):
     for name in ("saved_references", "labelled_log", "standing_edits"):
         assert sq.QUERIES[name][0](spark, "/root/testdata/sf0.001").count() > 10
     assert v.REFERENCE_SCANS
+
+
+# ---- references and forests
+
+
+def test_references_are_saved_by_gene(spark, tmp_path):
+    from traceforge.sources import references as rf
+    from traceforge.sources import tables as tb
+
+    t = VersionedTable(spark, folders.work_folder(spark, "references"), rf.REFERENCES)
+    t.upsert(tb.reference_positions(spark), ["gene"])
+    own = spark.createDataFrame([("OY_IL10_N2_080910Run1", 1, 1800), ("OY_IL10_N2_080910Run1", 2, 2000), ("OY_IL10_Z", 1, 5), ("OY_IL10_Z", 2, 6), ("plain", 1, 1), ("plain", 2, 2)], "folder string, ref_idx int, ref_scan long")
+    shown = spark.createDataFrame([("OY_NEW_1", s) for s in (900, 100, 500, 700, 300, 300)] + [("OY_IL10_Z", 1)], "folder string, scan long")
+    assert rf.save_references(t, own, shown) == 2
+    path = f"file://{tmp_path}/refs.json"
+    for _ in range(2):
+        rf.export_json(spark, t, path)
+    back = {}
+    for r in tb.reference_positions(spark, path).orderBy("gene", "ref_idx").collect():
+        back.setdefault(r["gene"], []).append(r["ref_scan"])
+    assert sorted(back) == ["ABCC2", "CYBA", "GSTA1", "IL10", "NEW", "plain", "rs1695"]
+    assert back["IL10"] == [1800, 2000] and back["NEW"] == [100, 300, 500, 700, 900] and back["CYBA"] == [2145, 2170, 2189, 2215] and back["plain"] == [1, 2]
+    assert [f.name for f in tmp_path.iterdir() if f.name.endswith(".tmp")] == []
+
+
+def test_forests_beat_the_majority(spark):
+    from traceforge.plans import registry
+
+    sf = "/root/testdata/sf0.01"
+    d = registry.queries()["forest_calls"](spark, sf).where("part <> 'train'").toPandas()
+    assert len(d) >= 10 and (d["prediction_code"] == d["label"]).mean() > d["label"].value_counts(normalize=True).max() + 0.15
+    assert d["prediction_code"].nunique() == 3 and set(d["prediction_name"]) == {"hom1", "hom2", "het"}
+    d = registry.queries()["standard_only_calls"](spark, sf).where("NOT known").toPandas()
+    assert len(d) >= 30 and (d["prediction_code"] == d["label"]).mean() > d["label"].value_counts(normalize=True).max() + 0.15

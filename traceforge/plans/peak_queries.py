@@ -349,14 +349,12 @@ def spacing_walk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def forest_calls(spark: SparkSession, sf: str) -> DataFrame:
-    """GT-8 and GT-10: a balanced forest of 300 trees on scaled trace features, trained on four fifths of the wells, whose label is their duplex status; calls of all wells; statistical."""
+    """GT-8 and GT-10: a balanced forest of 300 trees on scaled trace features, trained on four fifths of the planted wells; calls of all wells; statistical, held to beat the majority."""
     from ..operators.learning import well_split
+    from .planted import planted_features
 
-    f = gt.trace_stats(v.trace(spark, sf))
-    columns = [c for c in f.columns if c not in (*WELL, "n_scans")]
-    code = F.when(F.col("status") == "homoduplex", 1.0).when(F.col("status") == "partial", 2.0).otherwise(4.0)
-    status = gt.mutant_fraction(_mf_peaks(spark, sf)).select(*WELL, code.alias("label"))
-    f = well_split(gt.robust_scale(f.na.fill(0.0), columns)).join(status, WELL)
+    f, columns = planted_features(spark, sf)
+    f = well_split(gt.robust_scale(f.na.fill(0.0, columns), columns)).withColumn("label", F.col("code").cast("double")).persist()
     called = gt.predict(f, columns, gt.train_forest(f.where("part = 'train'"), columns, "label"))
     return called.join(f.select(*WELL, "part", F.col("label").cast("int").alias("label")), WELL)
 

@@ -16,6 +16,7 @@ from ..sources import models, npz
 from ..sources.folders import work_folder
 from ..sources.versions import VersionedTable
 from . import views as v
+from .planted import planted_features
 from .training_queries import BASES, CL, INSIDE, LABEL, MC, RADIUS, WN, _labelled
 from .views import PK, RF, SM, TR, lg, sql
 
@@ -23,22 +24,6 @@ GENE = "gene string, ref_idx long, ref_scan long"
 LABELS = "plate long, well long, scan long, height double, source string"
 
 
-def planted_plate(spark: SparkSession, sf: str) -> DataFrame:
-    """Traces with a class of three by well (``label``), evenly dealt by a hash: a bell at scan 200 in the first channel, the second, or both, amid the table's own samples."""
-    d = v.trace(spark, sf)
-    label = F.pmod(F.xxhash64("well"), F.lit(3))
-    bell = F.exp(-0.5 * ((F.col("scan") - 200) / 6.0) ** 2) * 60_000 * (0.6 + 0.4 * F.pmod(F.xxhash64("well", F.lit(1)), F.lit(100)) / 100)
-    d = d.withColumn("label", label.cast("double"))
-    return d.withColumns({"c1": F.col("c1") + F.when(F.col("label") != 1, bell).otherwise(0), "c2": F.col("c2") + F.when(F.col("label") != 0, bell).otherwise(0)})
-
-
-def planted_features(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
-    """Statistics and correlations of each planted well, and its label."""
-    d = planted_plate(spark, sf)
-    f = gt.trace_stats(d).join(gt.correlations(d), WELL).join(d.select(*WELL, "label").distinct(), WELL)
-    return f, sorted(c for c in f.columns if c not in (*WELL, "label", "n_scans"))
-
-
 def _planted_model(spark: SparkSession, sf: str) -> tuple[models.SavedModel, DataFrame]:
     rows, features = planted_features(spark, sf)
     rows = rows.fillna(0, subset=features).persist()  # one row per well, read once per pass of the fit

@@ -74,8 +74,8 @@ def write_reference(spark: SparkSession, path: str, sequence: str = M13_REFERENC
 
 
 def gene_of(folder):
-    """The gene a folder is named after: the second part of its name once the prefix is off."""
-    return F.try_element_at(F.split(folder, "_"), F.lit(2))
+    """The gene a folder is named after: the part of its name that follows the prefix ``OY_`` (or ``oy_``), else its whole name."""
+    return F.when(F.startswith(folder, F.lit("OY_")) | F.startswith(folder, F.lit("oy_")), F.try_element_at(F.split(folder, "_"), F.lit(2))).otherwise(folder)
 
 
 def evaluation_json(stats: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def reference_positions(spark: SparkSession, path: str | None = None) -> DataFra
         rows = [(g, i + 1, p) for g, ps in STANDARD_POSITIONS.items() for i, p in enumerate(ps)]
         return spark.createDataFrame(rows, "gene string, ref_idx int, ref_scan long")
     kind = T.MapType(T.StringType(), T.ArrayType(T.LongType()))
-    d = spark.read.option("wholetext", "true").text(path).select(F.explode(F.from_json("value", kind)).alias("gene", "p"))
+    d = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("gene", "p"))
     return d.select("gene", F.posexplode("p").alias("i", "ref_scan")).select("gene", (F.col("i") + 1).alias("ref_idx"), "ref_scan")
 
 
