@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .learning import best_threshold, confidence_curve
 
+#: Rows that a task of a fit has at least.
+ROWS_PER_TASK = 10_000
 RESULT = "config string, learner string, n_features int, params string, cv_accuracy double, cv_deviation double, test_rows long, test_accuracy double, threshold double, threshold_accuracy double, threshold_coverage double"
 
 
@@ -67,12 +71,15 @@ def run_grid(rows: DataFrame, label: str, keys: list[str], configs: list[Config]
     d = folded(rows.select(*keys, label, *used).fillna(0, subset=used), label, keys, folds, test_share, seed).persist()
     judge = MulticlassClassificationEvaluator(labelCol="_label", metricName="accuracy")
     try:
-        train, test = d.where("_fold >= 0"), d.where("_fold < 0")
-        classes = int(d.agg(F.max("_label")).first()[0]) + 1
+        n_rows, top = d.agg(F.count(F.lit(1)), F.max("_label")).first()
+        classes = int(top) + 1
+        # Few rows make few tasks: a fit is many short passes over them.
+        whole = d.coalesce(max(1, n_rows // ROWS_PER_TASK))
+        train, test = whole.where("_fold >= 0"), whole.where("_fold < 0")
         groups: dict[tuple, list[Config]] = {}
         for c in configs:
             groups.setdefault((c.learner, c.features, tuple(sorted(c.params))), []).append(c)
-        found = {}
+        todo = []
         for (_, features, _), some in groups.items():
             learner = _learner(some[0], classes, seed)
             head = [VectorAssembler(inputCols=list(features), outputCol="_features"), StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True)]
@@ -84,14 +91,21 @@ def run_grid(rows: DataFrame, label: str, keys: list[str], configs: list[Config]
                     grid = grid.baseOn((param, value))
                 grids += grid.build()
             cv = CrossValidator(estimator=flow, estimatorParamMaps=grids, evaluator=judge, numFolds=folds, foldCol="_fold", parallelism=parallel, seed=seed).fit(train)
-            for c, grid, mean, spread in zip(some, grids, cv.avgMetrics, cv.stdMetrics):
-                scored = flow.fit(train, grid).transform(test)
-                right = (F.col("prediction") == F.col("_label")).alias("correct")
-                judged = scored.select(F.array_max(vector_to_array("probability")).alias("conf"), right).persist()
-                n, accuracy = judged.agg(F.count(F.lit(1)), F.avg(F.col("correct").cast("double"))).first()
-                best = best_threshold(confidence_curve(judged)).first()
-                judged.unpersist()
-                found[c.name] = (c.name, c.learner, len(features), json.dumps(c.params, sort_keys=True), float(mean), float(spread), n, accuracy, best["threshold"], best["accuracy"], best["coverage"])
+            todo += [(c, flow, grid, float(mean), float(spread)) for c, grid, mean, spread in zip(some, grids, cv.avgMetrics, cv.stdMetrics)]
+
+        def judged(job: tuple) -> tuple:
+            c, flow, grid, mean, spread = job
+            right = (F.col("prediction") == F.col("_label")).alias("correct")
+            scored = flow.fit(train, grid).transform(test).select(F.array_max(vector_to_array("probability")).alias("conf"), right).persist()
+            try:
+                n, accuracy = scored.agg(F.count(F.lit(1)), F.avg(F.col("correct").cast("double"))).first()
+                best = best_threshold(confidence_curve(scored)).first()
+            finally:
+                scored.unpersist()
+            return (c.name, c.learner, len(c.features), json.dumps(c.params, sort_keys=True), mean, spread, n, accuracy, best["threshold"], best["accuracy"], best["coverage"])
+
+        with ThreadPool(parallel) as pool:  # as CrossValidator does it: fits are jobs of the cluster, threads only wait
+            found = {r[0]: r for r in pool.map(inheritable_thread_target(spark)(judged), todo)}
     finally:
         d.unpersist()
     return spark.createDataFrame([found[c.name] for c in configs], RESULT)
@@ -101,7 +115,7 @@ def base_grid(levels: list[str], every: list[str]) -> list[Config]:
     """Twelve configurations: three learners, two sizes of each, on two sets of features."""
     out = []
     for name, features in (("level", tuple(levels)), ("all", tuple(every))):
-        out += [Config(f"logistic_{name}_{r}", "logistic", features, {"regParam": r, "maxIter": 30}) for r in (0.01, 0.1)]
-        out += [Config(f"forest_{name}_{d}", "forest", features, {"numTrees": 20, "maxDepth": d}) for d in (3, 6)]
-        out += [Config(f"perceptron_{name}_{h}", "perceptron", features, {"hidden": [h], "maxIter": 40}) for h in (6, 12)]
+        out += [Config(f"logistic_{name}_{r}", "logistic", features, {"regParam": r, "maxIter": 15}) for r in (0.01, 0.1)]
+        out += [Config(f"forest_{name}_{d}", "forest", features, {"numTrees": 12, "maxDepth": d}) for d in (3, 6)]
+        out += [Config(f"perceptron_{name}_{h}", "perceptron", features, {"hidden": [h], "maxIter": 20}) for h in (6, 12)]
     return out
