@@ -183,3 +183,33 @@ def test_pages_repeated_tied_and_with_clashing_columns(spark):
     d = spark.createDataFrame([(1, "u", page), (1, "u", page), (1, "v", page), (None, None, None)], "page_id long, url string, html string")
     got = extraction.extract(d.selectExpr("*", "1 AS text", "2 AS n_chars")).collect()
     assert sorted(r["text"] for r in got) == [""] + ["Some words of the text stand here.\nMore of them follow here."] * 3
+
+
+MARKS_AND_HEADERS = {
+    "MIT License": "mit",
+    "SPDX-License-Identifier: MIT": "mit",
+    "# SPDX-License-Identifier: BSD-3-Clause\nimport os": "bsd-3-clause",
+    "Data: Apache-2.0.": "apache-2.0",
+    "Text by A., CC BY-NC 4.0": "cc-by,cc-by-nc-4.0",
+    "Creative Commons Attribution 4.0 International": "cc-by-4.0",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl,gpl-3.0",
+    "the license of the general, version 3; permission reserved": "",
+    "GNU GENERAL PUBLIC LICENSE": "gpl",
+}
+
+
+def test_licence_marks_identifiers_and_headers(spark):
+    texts = list(MARKS_AND_HEADERS)
+    got = {r["doc_id"]: r["labels"] for r in licences.licence_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: MARKS_AND_HEADERS[t] for i, t in enumerate(texts)}
+
+
+def test_each_licence_template_has_one_rare_mandatory_anchor_and_a_mark():
+    import re
+
+    anchors = {name: word for word, name, _ in licences._anchors()}
+    assert set(anchors) == set(licences.TEMPLATES)
+    for name, (_, text, phrases) in licences.TEMPLATES.items():
+        assert anchors[name] in " ".join(phrases).split() and all(f" {p} " in f" {text} " for p in phrases)
+        assert any(re.search(licences.MARKS, p) for p in phrases), name
