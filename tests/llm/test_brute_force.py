@@ -541,8 +541,8 @@ def test_extraction_of_articles(spark, sf):
         assert got[r["page_id"]] == "\n".join(x for x in parts if x)
 
 
-def looked_at(p, q):
-    """Votes between two pictures by comparing every corner with every other."""
+def looked_at(p, q, tables=True):
+    """Votes between two pictures by comparing every corner with every other: of those within the radius all, or those that share a table's part."""
     a, b = media.describe(p[None]), media.describe(q[None])
     bits = [np.unpackbits(np.stack(d[5:], 1).astype("<i8").view(np.uint8), axis=1, bitorder="little") for d in (a, b)]
     near = (bits[0][:, None] != bits[1][None]).sum(2) <= media.RADIUS
@@ -551,7 +551,7 @@ def looked_at(p, q):
         part = slice(media.TABLE_BITS * i, media.TABLE_BITS * (i + 1))
         same |= (bits[0][:, None, part] == bits[1][None][:, :, part]).all(2)
     cells = defaultdict(set)
-    for i, j in zip(*np.nonzero(near & same)):
+    for i, j in zip(*np.nonzero(near & same if tables else near)):
         turn, step = b[4][j] - a[4][i], int(b[3][j] - a[3][i])
         scale, rad = media.SCALE**step, math.radians(turn)
         dx = np.float32(b[1][j]) - scale * (math.cos(rad) * np.float32(a[1][i]) - math.sin(rad) * np.float32(a[2][i]))
@@ -609,6 +609,42 @@ def test_image_search_against_every_pair(spark):
     assert all(m // 100 == q // 100 for q, m in got)
 
 
+#: What four tables of 61 bits reach: the least share of pictures found by them, for edits of each kind, and by the radius alone.
+REACH = {
+    "turned by 3": (lambda p: warped(p, 3), 0.7, 1.0), "turned by 10": (lambda p: warped(p, 10), 0.5, 1.0), "turned by 45": (lambda p: warped(p, 45), 0.0, 1.0),
+    "half the size": (lambda p: warped(p, 0, 0.5), 0.2, 0.2), "0.95 of the size": (lambda p: warped(p, 0, 0.95), 0.1, 1.0), "1.5 times the size": (lambda p: warped(p, 0, 1.5), 0.0, 0.0),
+    "noise of 15": (lambda p: np.clip(p + np.random.default_rng(4).normal(0, 15, p.shape), 0, 255).astype(np.uint8), 0.0, 1.0),
+}
+
+
+def share_found(edit, tables, n=10):
+    r, found = np.random.default_rng(21), 0
+    for _ in range(n):
+        p = media.render(r.normal(size=64))
+        q = edit(p)
+        found += looked_at(p, q, tables) >= max(media.VOTES, media.SHARE * min(len(media.describe(x[None])[0]) for x in (p, q)))
+    return found / n
+
+
+@pytest.mark.parametrize("kind", REACH)
+def test_reach_of_image_search_beyond_its_edits(kind):
+    """Stated bounds, not aims: edits that the tables reach in part or not at all, beside a twin that asks for the radius alone."""
+    edit, by_tables, by_radius = REACH[kind]
+    assert share_found(edit, True) >= by_tables and share_found(edit, False) >= by_radius
+
+
+def test_the_radius_alone_links_no_strangers():
+    r = np.random.default_rng(33)
+    p = [media.render(r.normal(size=64)) for _ in range(8)]
+    least = lambda a, b: max(media.VOTES, media.SHARE * min(len(media.describe(x[None])[0]) for x in (a, b)))
+    assert not [(i, j) for i in range(8) for j in range(i) if looked_at(p[i], p[j], False) >= least(p[i], p[j])]
+
+
+@pytest.mark.parametrize("kind", EDITS)
+def test_tables_miss_little_of_what_the_radius_finds(kind):
+    assert share_found(EDITS[kind], True) >= 0.9 * share_found(EDITS[kind], False) >= 0.8
+
+
 def test_a_logo_in_every_image(spark, monkeypatch):
     """Frequent part values are asked for once, for a leader; all that share them are linked to it, and real copies are still found."""
     monkeypatch.setattr(media, "HOT", 5)
