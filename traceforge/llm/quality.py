@@ -6,9 +6,9 @@ compress hardly at all: both fall outside the band that is set for the text's le
 
 Lengths are told apart by half octaves. ``fit`` sets the least ratio of each from labelled documents of good quality: the
 ``QUANTILE`` of their ratios less ``MARGIN``, where at least ``LEAST_LABELLED`` of them have that length, and never below the
-standing limit of ``BANDS``, which holds everywhere else and without labels. It reads about ``FIT_ROWS`` labelled rows, drawn by a hash of doc_id.
+standing limit of ``BANDS``, which holds everywhere else and without labels. It reads all labelled rows.
 
-Everything else is computed per row inside the scan's own partitions: no shuffle, no state, and a
+Everything but the fit is computed per row inside the scan's own partitions: no shuffle, no state, and a
 lost executor only means that its splits run again.
 
 Rows and edge cases: a null text counts as empty; a text without words has zeros everywhere and
@@ -25,7 +25,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .scratch import spent, written
 from .textarrays import U, Texts, grams, mix, pieces
 
 #: Whole-text bands by length in bytes: (from this many bytes, least ratio, greatest ratio).
@@ -41,8 +43,8 @@ BANDS = (
 #: Chunks: their size in bytes, the least size of a last one (a shorter one joins the chunk before), the band, and the share of bad chunks that rejects.
 CHUNK, LEAST_CHUNK, CHUNK_BAND, BAD_SHARE = 4096, 1024, (0.22, 0.74), 1 / 3
 LEVEL = 3
-#: Fitting: labelled rows read, how many make a length's own limit, the quantile of good ratios, and what is taken off it.
-FIT_ROWS, LEAST_LABELLED, QUANTILE, MARGIN = 20_000, 50, 0.002, 0.008
+#: Fitting: how many labelled rows make a length's own limit, the quantile of good ratios, what is taken off it, and into how many cells a ratio of 1 is cut to find it.
+LEAST_LABELLED, QUANTILE, MARGIN, CELLS = 50, 0.002, 0.008, 4096
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 
 _SYMBOL = np.zeros(256, bool)
@@ -149,23 +151,41 @@ def bands(t: Texts, pack: zstandard.ZstdCompressor, limits: Limits) -> dict[str,
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Limits:
-    """Least ratios by length from documents whose label says quality 1 and that pass the base rules."""
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    every = max(1, -(-good.count() // FIT_ROWS))
-    drawn = lambda d: d.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    """Least ratios by length from all documents whose label says quality 1 and that pass the base rules.
+
+    Texts are compressed where they are read; doc_id, length and ratio alone meet the labels. The quantile is exact: counts by cells of the ratio
+    find the cells that hold its ranks, and only the rows of these are ordered, so no task holds a length's rows.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=LEVEL)
         for b in batches:
+            ids = b.column("doc_id")
             for t in pieces(b.column("text")):
-                ratio, size = bands(t, pack, {})["ratio"], np.diff(t.offsets)
                 i = np.flatnonzero(~base_counts(t)["base_failed"])
-                yield pa.RecordBatch.from_arrays([pa.array(half_octave(size[i])), pa.array(ratio[i])], names=["band", "ratio"])
-
-    # Both sides are cut to the sample before they meet.
-    ratios = drawn(documents.select("doc_id", "text")).join(drawn(good), "doc_id", "left_semi").select("text").mapInArrow(run, "band long, ratio double")
-    rows = ratios.groupBy("band").agg(F.percentile("ratio", F.lit(QUANTILE)).alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_LABELLED).collect()
-    return {r["band"]: round(r["least"] - MARGIN, 6) for r in rows}
+                size = np.diff(t.offsets)[i]
+                ratio = np.array([len(pack.compress(t.text(j))) for j in i], float) / np.maximum(size, 1)
+                yield pa.RecordBatch.from_arrays([ids.slice(t.first, len(t)).take(pa.array(i)), pa.array(half_octave(size)), pa.array(ratio)], names=["doc_id", "band", "ratio"])
+
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    passed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, band long, ratio double")
+    rows = written(passed.join(good, "doc_id", "left_semi").select("band", "ratio", F.floor(F.col("ratio") * CELLS).alias("cell")), "quality-ratios")
+    limits = {r["band"]: round(r["least"] - MARGIN, 6) for r in _quantiles(rows).collect()}
+    spent(rows)
+    return limits
+
+
+def _quantiles(rows: DataFrame) -> DataFrame:
+    """Each band's ``QUANTILE`` of its ratios, between neighbours in proportion, where it has ``LEAST_LABELLED`` rows or more."""
+    band, at = Window.partitionBy("band"), QUANTILE * (F.col("all") - 1)
+    cells = rows.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.withColumns({"upto": F.sum("n").over(band.orderBy("cell")), "all": F.sum("n").over(band)}).where(F.col("all") >= LEAST_LABELLED)
+    cells = cells.where((F.col("upto") > F.floor(at)) & (F.col("upto") - F.col("n") <= F.ceil(at))).select("band", "cell", (F.col("upto") - F.col("n")).alias("before"), at.alias("at"))
+    near = rows.join(cells, ["band", "cell"]).groupBy("band", "cell", "before", "at", "ratio").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("band", "cell").orderBy("ratio"))
+    holds = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
+    ends = near.withColumn("upto", upto).groupBy("band", "at").agg(*[F.max(F.when(holds(f("at")), F.col("ratio"))).alias(c) for c, f in (("lo", F.floor), ("hi", F.ceil))])
+    return ends.select("band", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))).alias("least"))
 
 
 def _judged(column: pa.Array, limits: Limits) -> Iterator[tuple[Texts, dict[str, np.ndarray]]]:
