@@ -10,9 +10,9 @@ GRID = 256
 
 
 def encode(peaks: DataFrame, grid: int = GRID) -> DataFrame:
-    """Labels of a peak table (id, loc in [0, 1), area): its cell, and its place inside the cell; of several in a cell the last counts."""
+    """Labels of a peak table (id, loc in [0, 1), area): its cell, and its place inside the cell; of several in a cell the last counts, of these at one place the one of the greatest area."""
     d = peaks.withColumn("cell", F.least(F.floor(F.col("loc") * grid), F.lit(grid - 1)))
-    order = Window.partitionBy("id", "cell").orderBy(F.desc("loc"))
+    order = Window.partitionBy("id", "cell").orderBy(F.desc("loc"), F.desc("area"))
     return d.withColumn("_k", F.row_number().over(order)).where("_k = 1").select("id", "cell", F.lit(1.0).alias("p"), (F.col("loc") * grid - F.col("cell")).alias("rel"), "area")
 
 
@@ -22,8 +22,8 @@ def decode(cells: DataFrame, threshold: float = 0.5, grid: int = GRID) -> DataFr
 
 
 def one_per_cell(peaks: DataFrame, grid: int = GRID) -> DataFrame:
-    """The first peak of every cell."""
-    order = Window.partitionBy("id", "_c").orderBy("loc")
+    """The first peak of every cell, of several at one place the one of the greatest area."""
+    order = Window.partitionBy("id", "_c").orderBy("loc", F.desc("area"))
     return peaks.withColumn("_c", F.floor(F.col("loc") * grid)).withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_c", "_k")
 
 
