@@ -280,18 +280,18 @@ def walk_spacing(candidates: DataFrame, spacing: list[float], tolerance: float =
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["scan"]).reset_index(drop=True)
         best, best_total = [], -float("inf")
-        tops = pdf.sort_values(["score", "scan"], ascending=[False, True]).head(anchors)
-        for a in tops.sort_values("scan").itertuples():
-            path, at, total = [a.Index], a.scan, a.score
+        scan, score = pdf["scan"].to_numpy(), pdf["score"].to_numpy()
+        tops = np.lexsort((scan, -score))[:anchors]
+        for a in tops[np.argsort(scan[tops], kind="stable")].tolist():
+            path, at, total = [a], scan[a], score[a]
             for gap in spacing:
-                near = pdf[(pdf["scan"] - (at + gap)).abs() <= tolerance]
-                if not len(near):
+                lo, hi = np.searchsorted(scan, at + gap - tolerance, "left"), np.searchsorted(scan, at + gap + tolerance, "right")
+                if lo == hi:
                     break
-                j = near["score"].idxmax()
-                miss = abs(pdf.at[j, "scan"] - (at + gap))
+                j = lo + int(np.argmax(score[lo:hi]))
                 path.append(j)
-                total += pdf.at[j, "score"] - 0.01 * miss
-                at = pdf.at[j, "scan"]
+                total += score[j] - 0.01 * abs(scan[j] - (at + gap))
+                at = scan[j]
             if len(path) >= least * (len(spacing) + 1) and total > best_total:
                 best, best_total = path, total
         out = pdf.loc[best, [*WELL, "scan", "score"]].reset_index(drop=True)
