@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import combinations
 
 import numpy as np
@@ -208,11 +209,26 @@ def accuracy(results: DataFrame) -> DataFrame:
 
 
 def train_forest(features: DataFrame, columns: list[str], label: str, trees: int = 300, depth: int = 12, leaf: int = 3, seed: int = 42) -> RandomForestClassificationModel:
-    """A balanced random forest on scaled features: each class weighs as much as any other."""
-    weights = features.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    d = features.join(weights, label).withColumn("_w", 1.0 / F.col("_c"))
-    d = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(d)
-    return RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="_w", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed).fit(d)
+    """A balanced random forest on scaled features: each class weighs as much as any other.
+
+    The rows are worked out once for all passes of the fit, see ``_held``.
+    """
+    known = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(features).select(label, "features")
+    with _held(known) as d:
+        weights = d.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
+        forest = RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="_w", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed)
+        return forest.fit(d.join(F.broadcast(weights), label).withColumn("_w", 1.0 / F.col("_c")))
+
+
+@contextmanager
+def _held(rows: DataFrame) -> Iterator[DataFrame]:
+    """``rows`` worked out once and held, in no more parts than the cluster runs tasks at once: each part of a forest's pass sends on the sums of all its nodes."""
+    held = rows.persist()
+    try:
+        held.count()
+        yield held.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism))
+    finally:
+        held.unpersist()
 
 
 def predict(features: DataFrame, columns: list[str], model: RandomForestClassificationModel) -> DataFrame:
@@ -235,14 +251,18 @@ def standard_only_calls(features: DataFrame, labels: DataFrame, columns: list[st
 
 
 def peak_forest(peaks: DataFrame, label: str, columns: tuple[str, ...] = ("scan", "height", "width", "area"), trees: int = 100, folds: int = 3, seed: int = 42) -> tuple[RandomForestClassificationModel, float, float]:
-    """A forest that tells peaks apart: trained on four fifths by a hash of the row, with its accuracy on the rest and by cross-validation on the training part."""
+    """A forest that tells peaks apart: trained on four fifths by a hash of the row, with its accuracy on the rest and by cross-validation on the training part.
+
+    The peaks are worked out once for all folds and passes, see ``_held``.
+    """
     share = F.pmod(F.xxhash64(*WELL, "channel", "scan", F.lit(seed)), F.lit(5))
-    d = VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep").transform(peaks).withColumn(label, F.col(label).cast("double"))
-    train, test = d.where(share > 0), d.where(share == 0)
-    forest = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, seed=seed)
-    judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    cv = CrossValidator(estimator=forest, estimatorParamMaps=[{}], evaluator=judge, numFolds=folds, seed=seed).fit(train)
-    return cv.bestModel, judge.evaluate(cv.bestModel.transform(test)), cv.avgMetrics[0]
+    d = VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep").transform(peaks)
+    with _held(d.select(F.col(label).cast("double").alias(label), "features", share.alias("_share"))) as rows:
+        train, test = rows.where("_share > 0"), rows.where("_share = 0")
+        forest = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, seed=seed)
+        judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+        cv = CrossValidator(estimator=forest, estimatorParamMaps=[{}], evaluator=judge, numFolds=folds, seed=seed).fit(train)
+        return cv.bestModel, judge.evaluate(cv.bestModel.transform(test)), cv.avgMetrics[0]
 
 
 def gated(predictions: DataFrame, wells: DataFrame, with_standard: DataFrame, with_product: DataFrame) -> DataFrame:
