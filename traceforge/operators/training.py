@@ -6,6 +6,8 @@ the call's quality. Everything is joins and aggregates by well; nothing passes t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +51,18 @@ def matched_calls(calls: DataFrame, peaks: DataFrame, within: int = 5) -> DataFr
 
 def matched_windows(trace: DataFrame, calls: DataFrame, peaks: DataFrame, radius: int = 15, within: int = 5, channels: list[str] = CHANNELS) -> DataFrame:
     """Windows around detector peaks near the calls, so that training and use see the same places; wells without peaks give none."""
-    return training_windows(trace, matched_calls(calls, peaks, within).where("matched IS NOT NULL").drop("matched", "offset", "called_at"), radius, channels)
+    return training_windows(trace, moved_calls(calls, peaks, within), radius, channels)
+
+
+def moved_calls(calls: DataFrame, peaks: DataFrame, within: int = 5) -> DataFrame:
+    """Calls at the places of ``matched_calls``, without those of wells that have no peaks."""
+    return matched_calls(calls, peaks, within).where("matched IS NOT NULL").drop("matched", "offset", "called_at")
+
+
+def named_variants(calls: dict[str, DataFrame]) -> DataFrame:
+    """The calls of some variants as one frame, so that windows of all are cut in one pass: ``variant`` is each one's name."""
+    first, *rest = [d.withColumn("variant", F.lit(name)).withColumn("position", F.col("position").cast("double")) for name, d in calls.items()]
+    return reduce(DataFrame.unionByName, rest, first)
 
 
 def match_stats(matched: DataFrame, by: list[str] = WELL) -> DataFrame:

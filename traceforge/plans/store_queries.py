@@ -49,10 +49,10 @@ def saved_forest_calls(spark: SparkSession, sf: str) -> DataFrame:
 def npz_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """SNK-10 and SRC-14: windows of three variants as archives and back, by their middle and sum."""
     trace, calls = v.trace(spark, sf), _labelled(spark, sf)
-    one = tn.training_windows(trace, calls, RADIUS).withColumn("variant", F.lit("called"))
-    two = tn.matched_windows(trace, calls, v.peaks(spark, sf, ("c3",)), RADIUS, 2).withColumn("variant", F.lit("matched"))
-    three = tn.training_windows(trace, tn.good_calls(calls, 10), RADIUS).withColumn("variant", F.lit("good"))
-    windows = one.unionByName(two.select(one.columns)).unionByName(three)
+    near = tn.moved_calls(calls, v.peaks(spark, sf, ("c3",)), 2)
+    variants = {"called": calls, "matched": near, "good": tn.good_calls(calls, 10)}
+    # One cut of the traces serves all variants.
+    windows = tn.training_windows(trace, tn.named_variants(variants), RADIUS)
     path = work_folder(spark, "windows")
     npz.write_npz(windows, path)
     total = F.round(F.aggregate("x_c1", F.lit(0.0), lambda s, x: s + x), 2)

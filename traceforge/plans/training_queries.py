@@ -66,9 +66,8 @@ def match_stats(spark: SparkSession, sf: str) -> DataFrame:
 def extraction_counts(spark: SparkSession, sf: str) -> DataFrame:
     """DP-4: windows of two variants (as called, and matched) by label, each and together."""
     trace, calls = v.trace(spark, sf), _labelled(spark, sf)
-    own = tn.training_windows(trace, calls, RADIUS, ["c1"]).withColumn("variant", F.lit("called"))
-    near = tn.matched_windows(trace, calls, v.peaks(spark, sf, ("c3",)), RADIUS, 2, ["c1"]).withColumn("variant", F.lit("matched"))
-    return tn.extraction_counts(own.unionByName(near))
+    near = tn.moved_calls(calls, v.peaks(spark, sf, ("c3",)), 2)
+    return tn.extraction_counts(tn.training_windows(trace, tn.named_variants({"called": calls, "matched": near}), RADIUS, ["c1"]))
 
 
 def shift_accuracy(spark: SparkSession, sf: str) -> DataFrame:

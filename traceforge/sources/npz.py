@@ -2,7 +2,7 @@
 
 ``windows`` are rows of variant, well, position, label, quality and one array per channel. An archive holds ``X`` (windows by scans by
 channels), ``y``, ``positions``, ``quality``, ``wells`` (text of fixed width) and, in merged files, ``variant``. Writing is a
-data source of its own: tasks stream rows, already parted by variant, into archives of at most ``rows_per_file`` windows under a
+data source of its own: tasks stream rows, parting them by variant, into archives of at most ``rows_per_file`` windows under a
 temporary name; the driver renames them once all tasks are done, and a failed job leaves none. Reading goes by Spark's ``binaryFile``: each
 archive is one row, its directory and array headers are checked against each other before any window comes out,
 and clipped or mixed up ones are refused with their name. Arrays of Python objects are never unpickled: ``wells`` of that kind are null.
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -52,7 +53,10 @@ class _Done(WriterCommitMessage):
 
 
 class NpzWriter(DataSourceArrowWriter):
-    """Windows in runs of one variant (column ``variant``; merged files hold all) to archives."""
+    """Windows in any order to archives of each variant and, if ``merged``, to those of all, in one pass.
+
+    A task holds at most ``rows_per_file`` windows for the merged file at hand, and as many for the variants' files together.
+    """
 
     def __init__(self, path: str, merged: bool, rows_per_file: int, run: str) -> None:
         self.path, self.merged, self.rows_per_file, self.run = path, merged, rows_per_file, run
@@ -61,37 +65,39 @@ class NpzWriter(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         system, root = _file_system(self.path)
-        task, files, held, count, variant = TaskContext.get(), [], [], 0, None
-
-        def put() -> None:
-            nonlocal held, count
-            if not count:
-                return
-            t = pa.Table.from_batches(held)
-            stem = MERGED if self.merged else str(variant)
+        task, files = TaskContext.get(), []
+        every: dict[None, list[pa.RecordBatch]] = {}
+        single: dict[str, list[pa.RecordBatch]] = {}
+        rows = lambda parts: sum(p.num_rows for p in parts)
+
+        def put(held: dict, of: str | None) -> None:
+            t, stem = pa.Table.from_batches(held.pop(of)), MERGED if held is every else str(of)
             name = f"{stem}.part-{task.partitionId():05d}-{len(files):03d}.npz"
             hidden = f"_{self.run}.{task.taskAttemptId()}.{name}"
-            body = packed(_arrays(t, self.merged))
+            body = packed(_arrays(t, held is every))
             with system.open_output_stream(f"{root}/{hidden}") as f:
                 f.write(body)
             files.append((hidden, name))
-            held, count = [], 0
 
-        for b in iterator:
+        def add(held: dict, of: str | None, part: pa.RecordBatch) -> None:
             at = 0
-            names = b.column("variant").to_pylist()
-            while at < b.num_rows:
-                if not self.merged and count and names[at] != variant:
-                    put()
-                variant, end = names[at], at + 1
-                while end < b.num_rows and end - at < self.rows_per_file - count and (self.merged or names[end] == variant):
-                    end += 1
-                held.append(b.slice(at, end - at))
-                count += end - at
-                at = end
-                if count >= self.rows_per_file:
-                    put()
-        put()
+            while at < part.num_rows:
+                free = self.rows_per_file - sum(map(rows, held.values()))
+                if not free:
+                    put(held, max(held, key=lambda k: rows(held[k])))
+                    continue
+                held.setdefault(of, []).append(part.slice(at, free))
+                at += min(free, part.num_rows - at)
+
+        for b in iterator:
+            if self.merged:
+                add(every, None, b)
+            variants = b.column("variant")
+            for v in variants.unique().to_pylist():
+                add(single, v, b.filter(pc.equal(variants, v) if v is not None else pc.is_null(variants)))
+        for held in (every, single):
+            for of in list(held):
+                put(held, of)
         return _Done(files)
 
     def commit(self, messages: list[_Done | None]) -> None:
@@ -146,17 +152,14 @@ class NpzSource(DataSource):
 def write_npz(windows: DataFrame, path: str, merged: bool = True, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Archives of each variant, and merged ones of all, to a new folder that executors share.
 
-    Rows are parted by ranges of variant, well and position, so that a variant of any size spreads over tasks; each file has its variant alone.
+    Tasks write the rows they have, so that no window is sorted or sent to another task; each file has its variant alone.
     """
     spark = windows.sparkSession
     spark.dataSource.register(NpzSource)
     channels = [f"x_{c}" for c in CHANNELS if f"x_{c}" in windows.columns]
     kinds = {"variant": "string", "well": "string", "position": "long", "label": "long", "quality": "double"} | dict.fromkeys(channels, "array<double>")
     typed = windows.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
-    dealt = typed.repartitionByRange("variant", "well", "position").sortWithinPartitions("variant", "well", "position")
-    for every in (False, True) if merged else (False,):
-        out = typed if every else dealt
-        out.write.format("npz-windows").option("merged", str(every).lower()).option("rows_per_file", str(rows_per_file)).mode("append").save(path)
+    typed.write.format("npz-windows").option("merged", str(merged).lower()).option("rows_per_file", str(rows_per_file)).mode("append").save(path)
 
 
 def _opened(path: str, content: bytes) -> tuple[dict[str, np.ndarray], list[str]]:
