@@ -151,7 +151,9 @@ def peak_forest(spark: SparkSession, sf: str) -> DataFrame:
 def calls_by_chemistry(spark: SparkSession, sf: str) -> DataFrame:
     """BC-17 and BC-7: each chemistry and caller variant by name, its calls counted by base; sequential in its peaks, tested on hand vectors."""
     names = ("ET Terminators", "TSII-v2", "Cimarron 3.12", "Cimarron 3.12 and Aligned", "Cimarron 3.12 Even Spacing")
-    d = [bc.call_bases(v.trace(spark, sf), n).groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("quality")).withColumn("chemistry", F.lit(n)) for n in names]
+    trace = v.trace(spark, sf)
+    found = pk.detect_for_bases(trace).persist()  # sought once for all callers
+    d = [bc.call_bases(trace, n, detect=lambda _: found).groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("quality")).withColumn("chemistry", F.lit(n)) for n in names]
     out = d[0]
     for more in d[1:]:
         out = out.unionByName(more)
