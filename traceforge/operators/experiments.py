@@ -1,7 +1,7 @@
 """Grids of learners compared on the same folds: one row of figures for each configuration, reruns alike.
 
-Folds and the held-out part follow from a hash of each row's keys, so they don't depend on partitions or order. Configurations that share
-a learner and its features are one ``CrossValidator`` over one parameter grid; each is then fitted to all training rows and judged on
+Folds and the held-out part follow from a hash of each row's keys, so they don't depend on partitions or order. Each configuration is
+cross-validated as by ``CrossValidator`` (mean and population deviation over the folds), then fitted to all training rows and judged on
 the held-out ones, with its best confidence threshold.
 """
 
@@ -11,20 +11,21 @@ import json
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Estimator
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folders import delete, work_folder
 from .learning import best_threshold, confidence_curve
 
 #: Rows that a task of a fit has at least.
-ROWS_PER_TASK = 10_000
+ROWS_PER_TASK = 30_000
 RESULT = "config string, learner string, n_features int, params string, cv_accuracy double, cv_deviation double, test_rows long, test_accuracy double, threshold double, threshold_accuracy double, threshold_coverage double"
 
 
@@ -61,54 +62,74 @@ def folded(rows: DataFrame, label: str, keys: list[str], folds: int = 3, test_sh
     h = lambda n, k: F.pmod(F.xxhash64(*keys, F.lit(k)), F.lit(n)).cast("int")
     d = rows.where(F.col(label).isNotNull()).withColumns({"_label": F.col(label).cast("double"), "_fold": F.when(h(1000, seed) < int(1000 * test_share), -1).otherwise(h(folds, seed + 1))})
     n = d.groupBy("_label").agg(F.count(F.lit(1)).alias("_c"))
-    return d.join(n, "_label").withColumn("_weight", 1.0 / F.col("_c")).drop("_c")
+    return d.join(F.broadcast(n), "_label").withColumn("_weight", 1.0 / F.col("_c")).drop("_c")
 
 
 def run_grid(rows: DataFrame, label: str, keys: list[str], configs: list[Config], folds: int = 3, test_share: float = 0.25, seed: int = 42, parallel: int = 4) -> DataFrame:
-    """One row for each configuration (``RESULT``). ``label``: classes from 0; null features count as 0."""
+    """One row for each configuration (``RESULT``). ``label``: classes from 0; null features count as 0; ``keys`` tell rows apart.
+
+    The rows are worked out once, dealt and sorted by ``keys``, so that forests too don't depend on how they came. Each fold and set of features is
+    scaled once for all learners; ``parallel`` fits run beside each other, of any configuration and fold.
+    """
     spark = rows.sparkSession
-    used = sorted({f for c in configs for f in c.features})
-    d = folded(rows.select(*keys, label, *used).fillna(0, subset=used), label, keys, folds, test_share, seed).persist()
-    judge = MulticlassClassificationEvaluator(labelCol="_label", metricName="accuracy")
+    sets = sorted({c.features for c in configs})
+    used = sorted({f for s in sets for f in s})
+    vector = {s: f"_features_{i}" for i, s in enumerate(sets)}
+    held, path = [], work_folder(spark, "grid")
     try:
-        n_rows, top = d.agg(F.count(F.lit(1)), F.max("_label")).first()
+        # Kept as a table: the plans of some hundred jobs to come start there, the driver doesn't hold the features' own for each.
+        rows.select(*keys, label, *used).where(F.col(label).isNotNull()).fillna(0, subset=used).write.parquet(path)
+        known_rows = spark.read.parquet(path)
+        n_rows, top = known_rows.agg(F.count(F.lit(1)), F.max(F.col(label).cast("double"))).first()
         classes = int(top) + 1
+        learners = {c.name: _learner(c, classes, seed) for c in configs}
         # Few rows make few tasks: a fit is many short passes over them.
-        whole = d.coalesce(max(1, n_rows // ROWS_PER_TASK))
-        train, test = whole.where("_fold >= 0"), whole.where("_fold < 0")
-        groups: dict[tuple, list[Config]] = {}
-        for c in configs:
-            groups.setdefault((c.learner, c.features, tuple(sorted(c.params))), []).append(c)
-        todo = []
-        for (_, features, _), some in groups.items():
-            learner = _learner(some[0], classes, seed)
-            head = [VectorAssembler(inputCols=list(features), outputCol="_features"), StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True)]
-            flow = Pipeline(stages=[*head, learner])
-            grids = []
-            for c in some:
-                grid = ParamGridBuilder()
-                for param, value in _params(c, learner, classes).items():
-                    grid = grid.baseOn((param, value))
-                grids += grid.build()
-            cv = CrossValidator(estimator=flow, estimatorParamMaps=grids, evaluator=judge, numFolds=folds, foldCol="_fold", parallelism=parallel, seed=seed).fit(train)
-            todo += [(c, flow, grid, float(mean), float(spread)) for c, grid, mean, spread in zip(some, grids, cv.avgMetrics, cv.stdMetrics)]
-
-        def judged(job: tuple) -> tuple:
-            c, flow, grid, mean, spread = job
-            right = (F.col("prediction") == F.col("_label")).alias("correct")
-            scored = flow.fit(train, grid).transform(test).select(F.array_max(vector_to_array("probability")).alias("conf"), right).persist()
+        d = folded(known_rows, label, keys, folds, test_share, seed).repartition(max(1, n_rows // ROWS_PER_TASK), *keys).sortWithinPartitions(*keys)
+        for s in sets:
+            d = VectorAssembler(inputCols=list(s), outputCol=vector[s]).transform(d)
+        whole = d.select("_label", "_weight", "_fold", *vector.values()).persist()
+        held.append(whole)
+        found = {r["_fold"] for r in whole.groupBy("_fold").count().collect()}
+        if empty := sorted({*range(folds)} - found):
+            raise ValueError(f"no rows in folds {empty}")
+
+        def scaled(part: tuple) -> tuple[DataFrame, DataFrame]:
+            features, fold = part
+            known = F.col("_fold") >= 0 if fold < 0 else (F.col("_fold") >= 0) & (F.col("_fold") != fold)
+            scaler = StandardScaler(inputCol=vector[features], outputCol="_scaled", withMean=True).fit(whole.where(known))
+            both = scaler.transform(whole).select("_label", "_weight", "_fold", "_scaled").persist()
+            held.append(both)
+            return both.where(known), both.where(F.col("_fold") == fold)
+
+        def judged(job: tuple) -> float | tuple:
+            c, fold = job
+            train, test = parts[c.features, fold]
+            result = learners[c.name].fit(train, _params(c, learners[c.name], classes)).transform(test)
+            if fold >= 0:
+                return MulticlassClassificationEvaluator(labelCol="_label", metricName="accuracy").evaluate(result)
+            scored = result.select(F.array_max(vector_to_array("probability")).alias("conf"), (F.col("prediction") == F.col("_label")).alias("correct")).persist()
             try:
                 n, accuracy = scored.agg(F.count(F.lit(1)), F.avg(F.col("correct").cast("double"))).first()
                 best = best_threshold(confidence_curve(scored)).first()
             finally:
                 scored.unpersist()
-            return (c.name, c.learner, len(c.features), json.dumps(c.params, sort_keys=True), mean, spread, n, accuracy, best["threshold"], best["accuracy"], best["coverage"])
+            return n, accuracy, best["threshold"], best["accuracy"], best["coverage"]
 
         with ThreadPool(parallel) as pool:  # as CrossValidator does it: fits are jobs of the cluster, threads only wait
-            found = {r[0]: r for r in pool.map(inheritable_thread_target(spark)(judged), todo)}
+            turns = [-1, *range(folds)]
+            todo = [(s, k) for k in turns for s in sets]
+            parts = dict(zip(todo, pool.map(inheritable_thread_target(spark)(scaled), todo)))
+            jobs = [(c, k) for k in turns for c in configs]
+            got = dict(zip([(c.name, k) for c, k in jobs], pool.map(inheritable_thread_target(spark)(judged), jobs, chunksize=1)))
     finally:
-        d.unpersist()
-    return spark.createDataFrame([found[c.name] for c in configs], RESULT)
+        for h in held:
+            h.unpersist()
+        delete(spark, path)
+    out = []
+    for c in configs:
+        scores = [got[c.name, k] for k in range(folds)]
+        out.append((c.name, c.learner, len(c.features), json.dumps(c.params, sort_keys=True), float(np.mean(scores)), float(np.std(scores)), *got[c.name, -1]))
+    return spark.createDataFrame(out, RESULT)
 
 
 def base_grid(levels: list[str], every: list[str]) -> list[Config]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -24,26 +26,42 @@ from . import peaks as pk
 from .joins import by_group
 
 
-def trace_stats(trace: DataFrame, channels: list[str] = CHANNELS) -> DataFrame:
-    """Ten statistics of each channel and well, one pass: population deviation, biased skewness and excess kurtosis, exact percentiles."""
+def trace_stats(trace: DataFrame, channels: list[str] = CHANNELS, more: Sequence[Column] = ()) -> DataFrame:
+    """Ten statistics of each channel and well: population deviation, biased skewness and excess kurtosis, exact percentiles. ``more``: further aggregates of the same pass.
+
+    The percentiles come from a well's sorted values in an aggregate of their own: beside them Spark compiles no aggregate, which makes the moments cost several times as much.
+    """
     out = []
     for c in channels:
-        p = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         out += [
-            F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"), F.max(c).alias(f"{c}_max"), F.min(c).alias(f"{c}_min"), p.alias(f"_{c}"),
+            F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"), F.max(c).alias(f"{c}_max"), F.min(c).alias(f"{c}_min"),
             F.skewness(c).alias(f"{c}_skew"), F.kurtosis(c).alias(f"{c}_kurt"), F.sum(F.col(c) * F.col(c)).alias(f"{c}_energy"),
         ]
-    d = trace.groupBy(*WELL).agg(F.count(F.lit(1)).alias("n_scans"), *out)
-    for c in channels:
-        d = d.withColumns({f"{c}_p25": F.col(f"_{c}")[0], f"{c}_median": F.col(f"_{c}")[1], f"{c}_p75": F.col(f"_{c}")[2]}).drop(f"_{c}")
-    return d
+    d = trace.groupBy(*WELL).agg(F.count(F.lit(1)).alias("n_scans"), *out, *more)
+    names = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+    values = trace.groupBy(*[F.col(w).alias(f"_{w}") for w in WELL]).agg(*[F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(f"_{c}") for c in channels])
+    q = values.select(*[f"_{w}" for w in WELL], *[_sorted_percentile(f"_{c}", share).alias(f"{c}_{n}") for c in channels for n, share in names.items()])
+    same = reduce(and_, [F.col(w).eqNullSafe(F.col(f"_{w}")) for w in WELL])
+    return d.join(q, same).drop(*[f"_{w}" for w in WELL])
+
+
+def _sorted_percentile(values: str, share: float) -> Column:
+    """The percentile of a sorted array, by the arithmetic of Spark's own; null for an empty one."""
+    at = (F.size(values) - 1) * F.lit(share)
+    low, high = F.floor(at), F.ceil(at)
+    below, above = F.get(values, low.cast("int")), F.get(values, high.cast("int"))
+    return F.when(below == above, below).otherwise((high - at) * below + (at - low) * above)
+
+
+def correlation_columns(channels: list[str] = CHANNELS, least: int = 50) -> list[Column]:
+    """Aggregates of a well: Pearson correlation of all channel pairs; 0 for a constant channel, or for ``least`` scans or fewer."""
+    return [F.when(F.count(F.lit(1)) > least, F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))).otherwise(0.0).alias(f"corr_{a}_{b}") for a, b in combinations(channels, 2)]
 
 
 def correlations(trace: DataFrame, channels: list[str] = CHANNELS, low: int | None = None, high: int | None = None, least: int = 50) -> DataFrame:
-    """Pearson correlation of all channel pairs by well; 0 for a constant channel, or a region of ``least`` scans or fewer."""
+    """Pearson correlation of all channel pairs by well, see ``correlation_columns``; of a region's scans if ``low`` and ``high`` are given."""
     d = trace if low is None else trace.where((F.col("scan") >= low) & (F.col("scan") < high))
-    aggs = [F.when(F.count(F.lit(1)) > least, F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))).otherwise(0.0).alias(f"corr_{a}_{b}") for a, b in combinations(channels, 2)]
-    return d.groupBy(*WELL).agg(*aggs)
+    return d.groupBy(*WELL).agg(*correlation_columns(channels, least))
 
 
 def peak_stats(peaks: DataFrame) -> DataFrame:

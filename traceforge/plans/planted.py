@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import genotype as gt
@@ -26,14 +26,16 @@ def planted_plate(spark: SparkSession, sf: str) -> DataFrame:
     return d.withColumns({"c1": F.col("c1") + F.when(F.col("label") != 1, top).otherwise(0), "c2": F.col("c2") + F.when(F.col("label") != 0, top).otherwise(0), "c3": F.col("c3") + standard})
 
 
+def _code() -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in CODES]), (F.col("label") + 1).cast("int"))
+
+
 def planted_labels(plate: DataFrame) -> DataFrame:
     """plate, well, label (0 to 2) and code (a genotype's) of each well."""
-    code = F.element_at(F.array(*[F.lit(c) for c in CODES]), (F.col("label") + 1).cast("int"))
-    return plate.groupBy(*WELL).agg(F.first("label").alias("label")).withColumn("code", code)
+    return plate.groupBy(*WELL).agg(F.first("label").alias("label")).withColumn("code", _code())
 
 
 def planted_features(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
-    """Statistics and correlations of each planted well, its label and code; and the features' names."""
-    d = planted_plate(spark, sf)
-    f = gt.trace_stats(d).join(gt.correlations(d), WELL).join(planted_labels(d), WELL)
+    """Statistics and correlations of each planted well that lies on a plate, its label and code, from one pass and the percentiles'; and the features' names."""
+    f = gt.trace_stats(planted_plate(spark, sf).dropna(subset=WELL), more=[*gt.correlation_columns(), F.first("label").alias("label")]).withColumn("code", _code())
     return f, sorted(c for c in f.columns if c not in (*WELL, "label", "code", "n_scans"))
