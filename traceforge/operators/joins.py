@@ -37,10 +37,11 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], at: str, place: st
     return found.withColumn("_pick", F.row_number().over(order)).where("_pick = 1").drop("_pick")
 
 
-def by_group(left: DataFrame, right: DataFrame, keys: list[str], run: Callable, schema: str) -> DataFrame:
-    """``run`` on the rows of both frames that share ``keys``; either side may derive from the other, as the right one's columns are named anew."""
+def by_group(left: DataFrame, right: DataFrame, keys: list[str], run: Callable, schema: str, arrow: bool = False) -> DataFrame:
+    """``run`` on the rows of both frames that share ``keys`` (pandas frames, or with ``arrow`` Arrow tables); either side may derive from the other, as the right one's columns are named anew."""
     anew = right.select(*[F.col(c).alias(c) for c in right.columns])
-    return left.groupBy(*keys).cogroup(anew.groupBy(*keys)).applyInPandas(run, schema)
+    both = left.groupBy(*keys).cogroup(anew.groupBy(*keys))
+    return both.applyInArrow(run, schema) if arrow else both.applyInPandas(run, schema)
 
 
 def combinations4(points: DataFrame, group: list[str], place: str, score: str, spacing: float, span: float) -> DataFrame:
