@@ -295,15 +295,7 @@ def match_samples(standards: DataFrame, samples: DataFrame, low: int = 5, high:
     """For each standard peak in scan order the nearest sample peak not yet used that stands ``low`` to ``high`` scans before it."""
 
     def run(key: tuple, s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        places = sorted(p["scan"].tolist())
-        for at in sorted(s["scan"].tolist()):
-            free = [x for x in places if low <= at - x <= high and x not in used]
-            if free:
-                best = min(free, key=lambda x: (at - x, x))
-                used.add(best)
-                out.append((*key, at, best))
-        return pd.DataFrame(out, columns=[*WELL, "standard_scan", "scan"])
+        return pd.DataFrame([(*key, *x) for x in k.matched_before(s["scan"].tolist(), p["scan"].tolist(), low, high)], columns=[*WELL, "standard_scan", "scan"])
 
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in standards.select(*WELL).schema)
     return by_group(standards.select(*WELL, "scan"), samples.select(*WELL, "scan"), WELL, run, f"{keys}, standard_scan long, scan long")
