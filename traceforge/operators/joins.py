@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ def range_join(left: DataFrame, right: DataFrame, on: list[str], place: str, low
 
     Places are put in buckets of ``width``; a left row visits the buckets its interval touches, so the join is
     an equality on (on, bucket) that Spark can spread and split; the exact condition follows. ``how``: inner, left_semi or left_anti; for
-    the last two ``keys`` name the columns that tell left rows apart.
+    the last two ``keys`` name the columns that tell left rows apart (all of them if not given: equal rows share their fate).
     """
     to = lambda c: F.floor(c / width).cast("long")
     r = right.withColumn("_bucket", to(F.col(place)))
@@ -23,11 +25,13 @@ def range_join(left: DataFrame, right: DataFrame, on: list[str], place: str, low
         wide = l.where(F.col("_low") <= F.col("_high")).withColumn("_bucket", F.explode(F.sequence(to(F.col("_low")), to(F.col("_high")))))
         joined = wide.join(r, [*on, "_bucket"])
         return joined.where((F.col(place) >= F.col("_low")) & (F.col(place) <= F.col("_high"))).drop("_bucket", "_low", "_high")
-    if not keys:
-        raise ValueError("left_semi and left_anti need the keys that tell left rows apart")
-    wide = l.where(F.col("_low") <= F.col("_high")).select(*{*keys, *on}, "_low", "_high", F.explode(F.sequence(to(F.col("_low")), to(F.col("_high")))).alias("_bucket"))
+    of = keys or left.columns
+    wide = l.where(F.col("_low") <= F.col("_high")).select(*{*of, *on}, "_low", "_high", F.explode(F.sequence(to(F.col("_low")), to(F.col("_high")))).alias("_bucket"))
     hits = wide.join(r.select(*on, "_bucket", F.col(place).alias("_place")), [*on, "_bucket"]).where((F.col("_place") >= F.col("_low")) & (F.col("_place") <= F.col("_high")))
-    return left.join(hits.select(*keys).distinct(), keys, how)
+    if keys:
+        return left.join(hits.select(*keys).distinct(), keys, how)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_hit_{c}")) for c in of])
+    return left.join(hits.select(*[F.col(c).alias(f"_hit_{c}") for c in of]).distinct(), same, how)
 
 
 def nearest(left: DataFrame, right: DataFrame, on: list[str], at: str, place: str, within: float, keys: list[str]) -> DataFrame:
